@@ -130,6 +130,22 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np
     return bins, offsets
 
 
+def _packer(turn: int, last: bool, capacity: int):
+    def packed(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = pdf["length"].to_numpy()
+        bins, offsets = best_fit_decreasing(sizes, capacity)
+        used = np.bincount(bins, weights=sizes)
+        gap = len(used) - lower_bound(sizes, capacity)
+        # in a partition with a gap all but full bins go on, elsewhere only badly filled ones
+        room = capacity - used
+        again = np.zeros(len(used), bool) if last else (room > 0 if gap > 0 else room > capacity * SLACK)
+        pdf["sequence_id"] = (turn << 56) + (int(pdf["_part"].iloc[0]) << 32) + bins
+        pdf["offset"], pdf["_again"], pdf["_gap"] = offsets, again[bins], gap
+        return pdf.drop(columns="_part")
+
+    return packed
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, max_rounds: int = 8) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``length`` at most ``capacity``)."""
     columns = items.columns
@@ -140,20 +156,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PAR
         last = parts == 1 or turn == max_rounds - 1
         dealt = todo.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)))
 
-        def packed(pdf: pd.DataFrame, turn=turn, last=last) -> pd.DataFrame:
-            sizes = pdf["length"].to_numpy()
-            bins, offsets = best_fit_decreasing(sizes, capacity)
-            used = np.bincount(bins, weights=sizes)
-            gap = len(used) - lower_bound(sizes, capacity)
-            # in a partition with a gap all but full bins go on, elsewhere only badly filled ones
-            room = capacity - used
-            again = np.zeros(len(used), bool) if last else (room > 0 if gap > 0 else room > capacity * SLACK)
-            pdf["sequence_id"] = (turn << 56) + (int(pdf["_part"].iloc[0]) << 32) + bins
-            pdf["offset"], pdf["_again"], pdf["_gap"] = offsets, again[bins], gap
-            return pdf.drop(columns="_part")
-
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long, _again boolean, _gap long"
-        out = materialize(dealt.groupBy("_part").applyInPandas(packed, schema), "packed")
+        out = materialize(dealt.groupBy("_part").applyInPandas(_packer(turn, last, capacity), schema), "packed")
         done.append(out.where("not _again").drop("_again", "_gap"))
         if last:
             break
