@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, quality_classifier, quality_rules, simhash, substrings, wordpiece
+from . import bpe, chat, embeddings, packing, quality_classifier, quality_rules, simhash, substrings, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +44,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op9_embedding_near_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
