@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embeddings, packing, quality_classifier, quality_rules, simhash, substrings, wordpiece
+from . import bpe, chat, embeddings, packing, personal_data, quality_classifier, quality_rules, simhash, substrings, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op9_embedding_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op9_embedding_near_dedup, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
