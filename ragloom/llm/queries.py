@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, embeddings, packing, personal_data, quality_classifier, quality_rules, simhash, substrings, wordpiece
@@ -56,9 +57,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op9_embedding_near_dedup, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op9_embedding_near_dedup, op10_suffix_array_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can't express these operators whole; tests/llm compares each with a brute-force version."""
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
