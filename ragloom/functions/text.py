@@ -15,8 +15,8 @@ IMAGE_LINE = r"^\s*\[IMG:\s*([^\]]+)\]\s*$"
 IMAGE_FOOTER = "\n[IMAGES]\n"
 
 
-def strip(x: Column, characters: str = SPACE) -> Column:
-    return F.btrim(x, F.lit(characters))
+def strip(x: Column) -> Column:
+    return F.btrim(x, F.lit(SPACE))
 
 
 def collapse(x: Column) -> Column:

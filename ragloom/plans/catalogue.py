@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from . import retrieval_queries, text_queries  # noqa: F401  register their queries
+from .registry import QUERIES, SQL
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["hybrid_flagship"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
