@@ -3,8 +3,8 @@
 Documents are tokenised (plus an end token) and only those longer than a sequence are cut. The pieces are dealt evenly
 over partitions; each partition packs its own by best-fit decreasing. Dual feasible functions give lower bounds on the
 bins any packing of those pieces needs: a partition whose count equals its bound is certified. Partitions with a gap, and
-bins left badly filled anywhere, exchange their pieces: they are dealt anew and packed again, in ever fewer partitions,
-until one partition holds what is left. Full bins stay where they are, so each round is smaller than the one before.
+bins left badly filled anywhere, exchange their pieces: they are dealt anew and packed again, into partitions twice as
+large (``PARTITION_PIECES`` times 16 at most), until one holds what is left. Full bins stay where they are.
 
 Defined cases: null and empty texts are one end token; repeated rows are packed each; an empty table packs to nothing.
 """
@@ -146,13 +146,13 @@ def _packer(turn: int, last: bool, capacity: int):
     return packed
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, max_rounds: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, partition_pieces: int = PARTITION_PIECES, max_rounds: int = 5) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (``length`` at most ``capacity``)."""
     columns = items.columns
     todo, done = materialize(items, "pieces"), []
     for turn in range(max_rounds):
         n = todo.count()
-        parts = max(1, -(-n // partition_pieces))
+        parts = max(1, -(-n // (partition_pieces << turn)))
         last = parts == 1 or turn == max_rounds - 1
         dealt = todo.withColumn("_part", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)))
 
