@@ -11,12 +11,14 @@ Defined cases: null and empty texts are one end token; repeated rows are packed
 
 from __future__ import annotations
 
+import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ from .common import materialize, scoped
 CAPACITY, END_TOKEN = 4096, 1
 #: Pieces of one partition, on average, and the share of a bin that may stay empty without being dealt again.
 PARTITION_PIECES, SLACK = 65_536, 1 / 64
-CACHE_WORDS, CACHE_LENGTH = 400_000, 48
+CACHE_WORDS, CACHE_LENGTH = 500_000, 64
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,7 +38,12 @@ def default_tokenizer() -> str:
 
 
 class WordCache:
-    """Ids by white-space separated piece: the tokenizer drops white space, so pieces are independent of one another."""
+    """Ids by white-space separated piece: the tokenizer drops white space, so pieces are independent of one another.
+
+    It lower-cases too, so ASCII letters are lowered before the look-up, but for texts that may hold special tokens.
+    A piece of letters and then marks is two words to it; words of letters are encoded many at a time, as the last token
+    of each says that it is. Pieces not met since the cache was last full are dropped.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,23 +51,72 @@ class WordCache:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[str, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        split, found, missing, new = [], [], [], {}
+        for text in texts:
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            words = (raw if b"<|" in raw else raw.lower()).split()
+            ids = list(map(known.get, words))
+            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
+            for k in gaps:
+                w = words[k]
+                if w in before:
+                    known[w] = before[w]
+                else:
+                    new[w] = b""
+            split.append(words)
+            found.append(ids)
+            missing.append(gaps)
+        whole, parts = {}, {}
+        for w in new:
+            m = _LETTERS.fullmatch(w.decode("utf-8", "surrogatepass"))
+            if m:
+                parts[w] = m[1].encode(), m[2].encode()
+            for x in parts.get(w, (w,)):
+                if x and x not in known and x not in before:
+                    whole[x] = m is not None and x == parts[w][0]
+        self._encode_words([x for x, letters in whole.items() if letters], [x for x, letters in whole.items() if not letters])
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        extra: dict[str, bytes] = {}  # long words aren't kept
-        for lo in range(0, len(new), 2048):
-            part = new[lo : lo + 2048]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                (known if len(w) <= CACHE_LENGTH else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+        for w in new:
+            new[w] = b"".join([known[x] if x in known else before[x] for x in parts.get(w, (w,)) if x])
+        known.update((w, x) for w, x in new.items() if len(w) <= CACHE_LENGTH)
+        for words, ids, gaps in zip(split, found, missing):
+            for k in gaps:
+                ids[k] = new.get(words[k]) or known.get(words[k], b"")
+        for w in [w for w in whole if len(w) > CACHE_LENGTH]:
+            del known[w]
+        return list(map(b"".join, found))
+
+    def _encode_words(self, letters: list[bytes], others: list[bytes]) -> None:
+        for lo in range(0, len(letters), 2048):
+            part = letters[lo : lo + 2048]
+            ids = np.array(self.tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) != len(part):  # a letter that lower case or composition makes more of
+                others = others + part
+                continue
+            raw = ids.tobytes()
+            for w, s, e in zip(part, [0, *last[:-1].tolist()], last.tolist()):
+                self.known[w] = raw[4 * s : 4 * e]
+        for lo in range(0, len(others), 2048):
+            part = others[lo : lo + 2048]
+            for w, e in zip(part, self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False)):
+                n = e.ids
+                self.known[w] = struct.pack(f"<{len(n)}I", *n)
+
+
+#: Letters (but the one that lower case makes two of), then ASCII marks.
+_LETTERS = regex.compile(r"(?V1)([\p{L}--[İ]]+)([!-/:-@\[-`{-~]*)")
 
 
 @lru_cache(maxsize=4)
