@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragloom.durable import materialize
+
 from .text import strip
 
 HEADING = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
@@ -97,8 +99,10 @@ def finish_chunks(chunks: DataFrame, wrap: bool = False) -> DataFrame:
 
 
 def running_id(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Dense numbers from 0 in the given order: ranges are sorted in parallel, then shifted by the sizes of those before."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    """Dense numbers from 0 in the given order: ranges are sorted in parallel, then shifted by the sizes of those before.
+
+    The ranges are written once: borders are sampled, and both uses below must see the same ones."""
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     # one row for each range, so a window over all of them is small
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))

@@ -97,35 +97,47 @@ def normalise(v: Column) -> Column:
     return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metadata: Column | None = None, block: int = 1024) -> DataFrame:
+def _nearest(qids: list, q: np.ndarray, k: int):
+    """Best ``k`` vectors of each Arrow batch for every query of a block."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.asarray(b.column(0).to_pylist())
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            s = np.round(q @ flat.reshape(len(ids), -1).T, 9)
+            rows: list[list] = [[], [], []]
+            for qid, line in zip(qids, s):
+                near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
+                near = near[np.lexsort((ids[near], -line[near]))[:k]]
+                rows[0] += [qid] * len(near)
+                rows[1] += ids[near].tolist()
+                rows[2] += line[near].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], names=["qid", "chunk_id", "score"])
+
+    return run
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metadata: Column | None = None, block: int = 4096) -> DataFrame:
     """Exact inner-product top-k, ``vectors (chunk_id, embedding)``, ``queries (qid, embedding) -> hits``.
 
-    ``metadata`` filters vectors before anything else (pushed into the scan). Queries are cut into blocks; every vector batch
-    meets every block, multiplies once and keeps its ``k`` best for each query, so the shuffle carries ``k`` rows a batch.
+    ``metadata`` filters vectors before anything else (pushed into the scan). Vectors are never shuffled: queries go to them
+    in blocks of about ``block`` rows, the only part that passes the driver, and each batch of vectors multiplies once and keeps its ``k``
+    best for each query, so the shuffle carries ``k`` rows a query and batch. More queries than a block are further passes.
     """
     v = vectors.where(metadata) if metadata is not None else vectors
+    v = v.where("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding")
     n_blocks = max(1, -(-queries.count() // block))
-    packed = queries.select("qid", F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("b")).groupBy("b").agg(F.collect_list(F.struct("qid", "e")).alias("qs"))
-    # about one row for each thousand vectors: the unit of multiplication
-    groups = v.select("chunk_id", F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("chunk_id"), F.lit(max(8, v.sparkSession.sparkContext.defaultParallelism))).alias("g"))
-    tiles = groups.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).select("chunk_id", "e", "g", F.col("b").cast("long"))
-    left = tiles.groupBy("b", "g")
-    right = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(max(8, v.sparkSession.sparkContext.defaultParallelism) - 1)))).select(F.col("b").cast("long"), F.col("g").cast("long"), "qs")
-
-    def best(vs: pa.Table, qs: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        if vs.num_rows and qs.num_rows:
-            ids = np.array(vs["chunk_id"].to_pylist())
-            m = np.array(vs["e"].to_pylist(), np.float64)
-            for group in qs["qs"].to_pylist():
-                s = np.round(np.array([x["e"] for x in group], np.float64) @ m.T, 9)
-                for x, line in zip(group, s):
-                    near = np.lexsort((ids, -line))[:k]
-                    rows += [(x["qid"], int(ids[j]), float(line[j])) for j in near]
-        cols = list(zip(*rows)) if rows else [[]] * 3
-        return pa.table({"qid": pa.array(cols[0], pa.int64()), "chunk_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    local = left.cogroup(right.groupBy("b", "g")).applyInArrow(best, "qid long, chunk_id long, score double")
+    dealt = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("b"))
+    local = None
+    for n in range(n_blocks):
+        rows = dealt.where(F.col("b") == n).collect()  # about ``block`` rows
+        if rows:
+            part = v.mapInArrow(_nearest([r.qid for r in rows], np.array([r.e for r in rows]), k), "qid long, chunk_id long, score double")
+            local = part if local is None else local.unionByName(part)
+    if local is None:
+        local = v.sparkSession.createDataFrame([], "qid long, chunk_id long, score double")
     return top_k(local.withColumn("score", F.round("score", 6)), k, ["qid"], F.desc("score"), "chunk_id")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.durable import materialize
 from ragloom.functions import parsing
 
 Step = Callable[[DataFrame], DataFrame]
@@ -20,28 +21,15 @@ def branch(rows: DataFrame, steps: dict[str, Step], state: str = "state") -> Dat
     return out
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the reliable checkpoint folder, so that a lost executor costs no round."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            import tempfile
-
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            where = tempfile.mkdtemp(prefix="spark-shared-")
-        sc.setCheckpointDir(where)
-    return df.checkpoint()
-
-
 def loop(rows: DataFrame, step: Callable[[DataFrame, int], DataFrame], times: int, active: str = "active") -> DataFrame:
-    """At most ``times`` rounds; rows that are no longer active keep their values; ends when none is."""
+    """At most ``times`` rounds; rows that are no longer active keep their values; ends when none is.
+
+    Each round is written to the shared folder, so that models run once and lineage doesn't grow."""
     for turn in range(times):
         going = rows.where(active)
         if going.isEmpty():
             break
-        rows = checkpoint(rows.where(f"not {active}").unionByName(step(going, turn).select(*rows.columns)))
+        rows = materialize(rows.where(f"not {active}").unionByName(step(going, turn).select(*rows.columns)), "round")
     return rows
 
 
