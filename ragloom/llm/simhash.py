@@ -106,7 +106,13 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Documents without near-duplicates: of each component the row with the smallest doc_id stays, columns unchanged.
 
-    Of rows that share that doc_id all stay.
+    Of rows that repeat that doc_id and its text one stays. Rows without doc_id can't be named and stay.
     """
-    keep = near_duplicates(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    labels = materialize(near_duplicates(docs, max_bits).select("doc_id", "component_id"), "components")
+    keep = labels.where("doc_id = component_id").select("doc_id").distinct()
+    out = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    if not labels.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "text"])
+    if not labels.where("doc_id is null").isEmpty():
+        out = out.unionByName(docs.where(docs["doc_id"].isNull()))
+    return out

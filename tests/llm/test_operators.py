@@ -149,8 +149,12 @@ def test_simhash(spark):
     for i in range(len(texts)):
         assert (got[i].fingerprint, got[i].component_id) == (f"{prints[i]:016x}", root[i])
     assert simhash.near_duplicates(empty(spark)).count() == 0
-    kept = {r.doc_id for r in simhash.representatives(documents(spark, texts)).collect()}
-    assert kept == set(root.values())
+    docs = documents(spark, texts)
+    kept = [r.doc_id for r in simhash.representatives(docs).collect()]
+    assert sorted(kept) == sorted(set(root.values()))
+    odd = docs.unionByName(docs.where("doc_id < 30")).unionByName(docs.where("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long")))
+    again = [r.doc_id for r in simhash.representatives(odd).collect()]
+    assert again.count(None) == 1 and sorted(x for x in again if x is not None) == sorted(kept)
 
 
 def test_fingerprint_links_are_complete(spark):
