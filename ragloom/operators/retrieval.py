@@ -29,12 +29,20 @@ def top_k(scored: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame
 # --- lexical ---------------------------------------------------------------------------------------------------------
 
 
-def bm25_index(chunks: DataFrame, tokens: Column, stop_words: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Postings ``(term, chunk_id, tf, len)``, document frequencies ``(term, df)`` and one row ``(n, avg_len)``."""
+def bm25_index(chunks: DataFrame, tokens: Column, stop_words: tuple[str, ...] = (), only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings ``(term, chunk_id, tf, len)``, document frequencies ``(term, df)`` and one row ``(n, avg_len)``.
+
+    An index that serves known questions once may be limited to their terms (``only (term)``): other tokens then go before
+    the shuffle. Lengths and the number of chunks count everything all the same.
+    """
     words = F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
     t = chunks.select("chunk_id", words.alias("ts"))
     stats = t.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avg_len"))
-    postings = t.select("chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("term")).groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
+    # outer: plain explode would add a filter that tokenises a second time
+    terms = t.select("chunk_id", F.size("ts").alias("len"), F.explode_outer("ts").alias("term")).where("term is not null")
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
+    postings = terms.groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
     return postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats
 
 

@@ -37,7 +37,10 @@ def questions(spark, d):
 
 def lexical(spark, d, okapi=False, k=10):
     c = chunks(spark, d)
-    return rt.bm25_search(rt.bm25_index(c, ascii_tokens(F.col("contents"))), questions(spark, d), ascii_tokens(F.col("question")), k, okapi)
+    q = questions(spark, d)
+    # the classic form needs the mean idf of all terms
+    only = None if okapi else q.select(F.explode(ascii_tokens(F.col("question"))).alias("term"))
+    return rt.bm25_search(rt.bm25_index(c, ascii_tokens(F.col("contents")), only=only), q, ascii_tokens(F.col("question")), k, okapi)
 
 
 @query(f"WITH {_bm25_sql(False)} SELECT qid, chunk_id, score, rank FROM lex")
