@@ -34,16 +34,16 @@ WINDOW_TOKENS, HISTORY_TOKENS, BLOCK_TURNS = 1024, 256, 4096
 #: Fixed control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[TURN", "[/TURN]", "[ANSWER]")
 _CONTROL = "|".join(map(re.escape, CONTROLS))
-_ESCAPE = re.compile(rf"(\\*)({_CONTROL})")
-_BARE = re.compile(rf"(\\*)({_CONTROL})")
+_MARKED = re.compile(rf"(\\*)({_CONTROL})")
+_ESCAPED = re.compile(rf"\\(\\*)({_CONTROL})")
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(r"\\\1\2", text)
+    return _MARKED.sub(r"\\\1\2", text)
 
 
 def unescape(text: str) -> str:
-    return re.sub(rf"\\(\\*)({_CONTROL})", r"\1\2", text)
+    return _ESCAPED.sub(r"\1\2", text)
 
 
 _FRAMES = {"system": ("<<SYS>> ", " <</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("[ANSWER] ", " </s>")}
@@ -71,7 +71,7 @@ def parse(text: str) -> list[tuple[str, str, int, int]]:
             opener = next(o for o in _CLOSE if text.startswith(o, at))
             role, closer = _CLOSE[opener]
             start = at + len(opener) + 1
-        for m in _BARE.finditer(text, start):
+        for m in _MARKED.finditer(text, start):
             if not m[1] and m[2] == closer:
                 break
         else:
