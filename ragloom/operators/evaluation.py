@@ -240,3 +240,21 @@ def chunk_regression(chunks: DataFrame, reference: DataFrame) -> DataFrame:
 def kind_histogram(chunk_id: Column) -> Column:
     """Kind of a chunk by its id."""
     return F.when(chunk_id.rlike("_step_\\d+$"), "step").when(chunk_id.rlike("_section_\\d+$"), "section").when(chunk_id.rlike("_window_\\d+$"), "window").when(chunk_id.endswith("_intro"), "intro").otherwise("other")
+
+
+def evaluation_report(items: DataFrame, hits: DataFrame, answers: DataFrame | None = None, ks: tuple[int, ...] = (1, 5, 10), metrics: tuple[str, ...] = ("acc", "f1")) -> dict[str, DataFrame]:
+    """``items (qid, relevant_chunk_ids, tags, gold_answer)``, ``hits (qid, chunk_id, rank)``, ``answers (qid, answer)`` -> ``overall``
+    and ``per_tag`` as (scope, tag, metric, value) rows, ``failures``, and ``records`` with a row for each item."""
+    gold = items.select("qid", F.explode("relevant_chunk_ids").alias("chunk_id"))
+    records = ranking_metrics(items, gold, hits, ks).join(items.select("qid", "tags"), "qid")
+    if answers is not None:
+        a = items.where("gold_answer is not null").join(answers, "qid", "left").select(F.col("qid").alias("id"), F.array("gold_answer").alias("golds"), F.col("answer").alias("pred"))
+        records = records.join(generation_metrics(a, list(metrics)).withColumnRenamed("id", "qid"), "qid", "left")
+    names = [c for c in records.columns if c not in ("qid", "n_gold", "tags")]
+    overall = long_form(records.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in names]))
+    tagged = tag_metrics(records, names)
+    per_tag = tagged.selectExpr("tag", f"stack({len(names)}, {', '.join(f'{c!r}, cast(`{c}` as double)' for c in names)}) as (metric, value)")
+    first = F.when(F.col("mrr") > 0, F.round(1 / F.col("mrr")).cast("int"))
+    bad = failures(records.select("qid", "n_gold", first.alias("first"), (F.col("f1") if "f1" in names else F.lit(None).cast("double")).alias("f1")), min(max(ks), 5))
+    scope = lambda d, s: d.select(F.lit(s).alias("scope"), (F.col("tag") if "tag" in d.columns else F.lit("")).alias("tag"), "metric", "value")
+    return {"overall": scope(overall, "all"), "per_tag": scope(per_tag, "tag"), "failures": bad, "records": records}

@@ -552,6 +552,35 @@ def chunk_regression(spark, d):
     return cr(x.select(F.concat(i, F.when(F.col("doc_id") % 6 == 0, "_intro").otherwise("_step_1")).alias("chunk_id")), x.select(F.concat(i, F.lit("_step_1")).alias("chunk_id")))
 
 
+def _files(spark, d):
+    i = F.col("doc_id")
+    ext = F.element_at(F.array(*map(F.lit, ("md", "txt", "docx", "pdf"))), (i % 4 + 1).cast("int"))
+    body = F.when(i % 8 == 2, F.concat(F.lit("Intro\nSTEP 1: open\n"), "text", F.lit("\nSTEP 2: close"))).when(i % 8 == 0, F.concat(F.lit("# Head\n"), "text")).otherwise(F.col("text"))
+    kind = F.when(i % 3 == 0, "general").otherwise("sop")
+    return table(spark, d, "documents").select(F.lit("kb").alias("kb_id"), kind.alias("kb_type"), F.concat(F.lit("f"), i.cast("string"), F.lit("."), ext).alias("doc_id"), body.alias("contents"))
+
+
+@query(f"""WITH f AS (SELECT doc_id AS i, CASE WHEN doc_id % 8 = 2 THEN 's' WHEN doc_id % 8 = 0 THEN 'h' ELSE '' END AS mark, trim(text, {_TRIM}) AS t FROM documents WHERE doc_id % 4 < 2 OR (doc_id % 4 = 2 AND doc_id % 3 > 0))
+  SELECT 'f' || i || CASE i % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.docx' END AS doc_id, CASE WHEN i % 4 = 0 THEN 'section' WHEN mark = 's' THEN 'step' WHEN length(t) >= 800 THEN 'window' ELSE 'intro' END AS kind FROM f WHERE t <> '' OR mark = 's'""")
+def ingest_dispatch(spark, d):
+    """The last kind of each file's chunks (a STEP document also has an intro)."""
+    from .ingest import dispatch
+
+    kind = F.when(F.col("chunk_id").contains("_section_"), "section").when(F.col("chunk_id").contains("_step_"), "step").when(F.col("chunk_id").contains("_window_"), "window").otherwise("intro")
+    return dispatch(_files(spark, d)).groupBy("doc_id").agg(F.max(kind).alias("kind"))
+
+
+@query()
+def full_ingest(spark, d):
+    from .ingest import full_ingest as run
+
+    def embed(texts):
+        return [[float(len(t) % 7 + 1)] * 64 for t in texts]
+
+    out = run(_files(spark, d), embed, lambda p: p.assign(context="about " + p["chunk_id"].astype(str)))
+    return out["counts"].join(out["vectors"].groupBy(F.substring_index("chunk_id", "_", 1).alias("doc_id")).agg(F.count("*").alias("n_vectors")), "doc_id", "left")
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 

@@ -381,3 +381,23 @@ def metric_averages(spark, d):
 
     a = a.where(F.forall("golds", lambda g: norm(g) != ""))
     return ev.long_form(ev.averages(ev.generation_metrics(a, ["acc"])))
+
+
+@query(f"""WITH {_IR}, x AS (SELECT *, CASE WHEN qid % 3 > 0 THEN 'm' || qid % 3 ELSE '_untagged' END AS tag FROM ir), u AS (SELECT 'all' AS scope, '' AS tag, avg(mrr) AS mrr, avg(recall_5) AS recall_5, avg(ndcg_10) AS ndcg_10 FROM x UNION ALL
+  SELECT 'tag', tag, avg(mrr), avg(recall_5), avg(ndcg_10) FROM x GROUP BY tag HAVING count(*) >= 3)
+  SELECT scope, tag, unnest(['mrr', 'recall_5', 'ndcg_10']) AS metric, round(unnest([mrr, recall_5, ndcg_10]), 6) AS value FROM u""")
+def evaluation_report(spark, d):
+    tags = F.when(F.col("qid") % 3 > 0, F.array(F.concat(F.lit("m"), (F.col("qid") % 3).cast("string"))))
+    g = gold(spark, d).groupBy("qid").agg(F.collect_list("chunk_id").alias("relevant_chunk_ids"))
+    items = questions(spark, d).join(g, "qid", "left").select("qid", "relevant_chunk_ids", tags.alias("tags"), F.lit(None).cast("string").alias("gold_answer"))
+    r = ev.evaluation_report(items, lexical(spark, d))
+    return r["overall"].unionByName(r["per_tag"]).where("metric in ('mrr', 'recall_5', 'ndcg_10')")
+
+
+@query(f"""WITH u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM embeddings),
+  s AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(round(list_inner_product(q.e, v.e), 9), 6) AS score FROM u q, u v WHERE q.vec_id % 100 = 0)
+  SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""")
+def dense_cosine(spark, d):
+    unit = rt.normalise(F.col("embedding")).alias("embedding")
+    v, q = _vectors(spark, d).select("chunk_id", unit), _vector_queries(spark, d).select("qid", unit)
+    return rt.dense_top_k(v, q, 5).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))

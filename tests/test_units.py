@@ -221,3 +221,26 @@ def test_partitioning_does_not_matter(spark):
         return sorted(map(tuple, retrieval.bm25_search(i, q, text.ascii_tokens(F.col("question")), 10).collect()))
 
     assert hits(1) == hits(8)
+
+
+def test_ingest(spark):
+    from ragloom.plans import ingest
+
+    files = [("kb", "sop", "a.txt", "Intro\nSTEP 1: open\nSTEP 2: close"), ("kb", "general", "b.md", "# H\nbody\n## I\nmore"), ("kb", "general", "c.pdf", "x"), ("kb", "sop", "d.docx", "short"), ("kb", "sop", "e.txt", " \n"), ("kb", "general", "f.txt", "word " * 400)]
+    out = ingest.full_ingest(spark.createDataFrame(files, "kb_id string, kb_type string, doc_id string, contents string"), lambda ts: [[1.0] * 64 for _ in ts])
+    ids = {r.chunk_id for r in out["chunks"].collect()}
+    assert ids == {"a.txt_intro", "a.txt_step_1", "a.txt_step_2", "b.md_section_1", "b.md_section_2", "d.docx_intro", "f.txt_window_0"}
+    assert {r.doc_id: r.n_chunks for r in out["counts"].collect()} == {"a.txt": 3, "b.md": 2, "c.pdf": 0, "d.docx": 1, "e.txt": 0, "f.txt": 1}
+    assert out["job"].first().stages == ["register", "parse", "embed", "index", "counts"]
+    assert out["vectors"].count() == len(ids)
+
+
+def test_evaluation_report(spark):
+    items = spark.createDataFrame([(k, ["a"], ["t"] if k < 3 else [], "gold") for k in range(4)], "qid int, relevant_chunk_ids array<string>, tags array<string>, gold_answer string")
+    hits = spark.createDataFrame([(0, "a", 1), (1, "b", 1), (1, "a", 2), (2, "b", 1)], "qid int, chunk_id string, rank int")
+    answers = spark.createDataFrame([(0, "gold"), (1, "bad")], "qid int, answer string")
+    r = evaluation.evaluation_report(items, hits, answers, (1, 2))
+    overall = {x.metric: x.value for x in r["overall"].collect()}
+    assert (overall["mrr"], overall["recall_1"], overall["acc"]) == (0.375, 0.25, 0.25)
+    assert {x.tag for x in r["per_tag"].collect()} == {"t"}
+    assert {x.qid for x in r["failures"].collect()} == {1, 2, 3}
