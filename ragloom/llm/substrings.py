@@ -14,7 +14,8 @@ Two changes keep it below one row for each byte:
   greater length in narrower ranges (widths 64, 8, 1; at 1 both strings are the window itself). Of each repeated union
   whose intersection also occurs with other surroundings one range goes on, for those others to be compared with.
 
-Ranks are 128-bit hashes grouped by Spark, with map-side counts; no group is gathered anywhere.
+Ranks are 128-bit hashes grouped by Spark, with map-side counts; no group is gathered anywhere, and a rank that holds
+many rows only meets a table with one row for each rank, in a join whose large partitions can be split.
 
 Defined cases: null text is empty; texts under ``SPAN`` bytes lose nothing; repeated rows are occurrences of one another;
 rows are told apart by doc_id and text; an empty table gives an empty result. A character of which a part is removed is
@@ -157,14 +158,18 @@ def repeated_windows(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tup
     for width in WIDTHS:
         ranked = materialize(todo.mapInArrow(_rank_strings(span, width, span - seed), RANKED), "ranks")
         unions = ranked.where("u1 is not null").groupBy("u1", "u2").agg(F.count("*").alias("nu"), F.min(me).alias("first")).where("nu > 1")
-        judged = ranked.join(unions, ["u1", "u2"], "left").withColumn("whole", F.col("nu").isNotNull())
+        unions = materialize(unions, "unions")  # a table of its own, so that Spark can split a join's hot rank
+        judged = ranked
         if width > 1:
             mixed = "count(u1) < count(*) or min(u1) < max(u1) or min(u2) < max(u2)"
             inners = ranked.groupBy("i1", "i2").agg(F.count("*").alias("ni"), F.expr(mixed).alias("mixed")).where("ni > 1")
-            judged = judged.join(inners, ["i1", "i2"])  # a range with a unique intersection is done
-            judged = judged.withColumn("on", F.when(F.col("whole"), F.col("mixed") & (F.col("first") == me)).otherwise(True))
-        else:
-            judged = judged.withColumn("on", F.lit(False))
+            judged = ranked.join(materialize(inners, "inners"), ["i1", "i2"])  # a range with a unique intersection is done
+        # ranges without union are spread by a key of their own that meets none
+        own = F.coalesce("u1", F.xxhash64("d", "th", "at", "near"))
+        judged = judged.withColumn("k1", own).withColumn("k2", F.coalesce("u2", "at")).join(unions.withColumnsRenamed({"u1": "k1", "u2": "k2"}), ["k1", "k2"], "left")
+        judged = judged.withColumn("whole", F.col("nu").isNotNull() & F.col("u1").isNotNull())
+        on = F.when(F.col("whole"), F.col("mixed") & (F.col("first") == me)).otherwise(True) if width > 1 else F.lit(False)
+        judged = judged.withColumn("on", on)
         judged = materialize(judged.where("whole or on").select("d", "th", "at", "near", "far", "whole", "on"), "judged")
         part = judged.where("whole").select("d", "th", (F.col("at") - F.col("far")).alias("first"), (F.col("at") - F.col("near")).alias("last"))
         repeated = part if repeated is None else repeated.union(part)
