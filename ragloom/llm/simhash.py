@@ -27,6 +27,8 @@ from xxhash import xxh64_intdigest
 from .common import connected_components, materialize, scoped
 
 WIDTH, SEED, MAX_BITS = 4, 42, 4
+#: Ids (8 bytes each) that may be broadcast; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -108,11 +110,10 @@ def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Of rows that repeat that doc_id and its text one stays. Rows without doc_id can't be named and stay.
     """
-    labels = materialize(near_duplicates(docs, max_bits).select("doc_id", "component_id"), "components")
-    keep = labels.where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-    if not labels.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    if not labels.where("doc_id is null").isEmpty():
-        out = out.unionByName(docs.where(docs["doc_id"].isNull()))
-    return out
+    labels = materialize(near_duplicates(docs, max_bits).select("doc_id", "component_id"), "components").where("doc_id is not null")
+    ids = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("rep"))
+    ids = materialize(ids.where("n > 1 or not rep"), "ids")
+    gone = ids.where("not rep").select("doc_id")
+    # the ids that go are the smaller side; while they are few, texts stay where they are
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return out if ids.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
