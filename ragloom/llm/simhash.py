@@ -27,8 +27,6 @@ from xxhash import xxh64_intdigest
 from .common import connected_components, materialize, scoped
 
 WIDTH, SEED, MAX_BITS = 4, 42, 4
-#: Ids (8 bytes each) that may be broadcast; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -114,6 +112,6 @@ def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ids = labels.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("rep"))
     ids = materialize(ids.where("n > 1 or not rep"), "ids")
     gone = ids.where("not rep").select("doc_id")
-    # the ids that go are the smaller side; while they are few, texts stay where they are
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    # a merge join at every size: a broadcast would pass the driver, and switch plans as the table grows
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     return out if ids.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
