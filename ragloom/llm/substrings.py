@@ -53,13 +53,18 @@ def seed_hashes(data: np.ndarray, seed: int = SEED) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of a text's windows: position, seed hash, and the least and greatest distance back to their windows."""
+def anchors(data: bytes, span: int = SPAN, seed: int = SEED, segment: int = _SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of a text's windows: position, seed hash, and the least and greatest distance back to their windows.
+
+    Texts are read in segments of ``segment`` windows; an anchor is given once, also where its windows lie in several.
+    """
+    if not 0 < segment <= (1 << 24) - span:
+        raise ValueError("a segment and the span behind it must fit into 24 bits")
     n, width = len(data), span - seed + 1
     found = []
     with np.errstate(over="ignore"):
-        for lo in range(0, n - span + 1, _SEGMENT):
-            part = np.frombuffer(data, np.uint8, min(n - lo, _SEGMENT + span - 1), lo)
+        for lo in range(0, n - span + 1, segment):
+            part = np.frombuffer(data, np.uint8, min(n - lo, segment + span - 1), lo)
             h = seed_hashes(part, seed)
             key = (h >> np.uint64(24) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
             rows = -(-len(key) // width)
@@ -77,7 +82,10 @@ def anchors(data: bytes, span: int = SPAN, seed: int = SEED) -> tuple[np.ndarray
     if not found:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    return tuple(np.concatenate(x) for x in zip(*found))
+    at, h, near, far = (np.concatenate(x) for x in zip(*found))
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))  # windows of an anchor are neighbours, the farthest first
+    last = np.concatenate((first[1:], [len(at)])) - 1
+    return at[first], h[first], near[last], far[first]
 
 
 def _columns(rows, kinds, names):
@@ -89,13 +97,13 @@ def _text_bytes(scalar) -> bytes:
     return b"" if scalar.as_py() is None else scalar.as_buffer().to_pybytes()
 
 
-def _find_anchors(span, seed):
+def _find_anchors(span, seed, segment):
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 parts = [[], [], [], [], [], []]
                 for row in range(lo, min(lo + 64, b.num_rows)):
-                    at, h, near, far = anchors(_text_bytes(b.column(2)[row]), span, seed)
+                    at, h, near, far = anchors(_text_bytes(b.column(2)[row]), span, seed, segment)
                     if len(at):
                         for p, x in zip(parts, (np.full(len(at), b.column(0)[row].as_py()), np.full(len(at), b.column(1)[row].as_py()), at, h, near, far)):
                             p.append(x)
@@ -144,12 +152,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_windows(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, span: int = SPAN, seed: int = SEED, segment: int = _SEGMENT) -> tuple[DataFrame, DataFrame]:
     """Texts with a repeated seed ``(d, th, text, items)`` and runs of repeated windows ``(d, th, first, last)``."""
     if seed & (seed - 1) or span < 2 * seed:
         raise ValueError("seed must be a power of two, span at least twice as long")
     keyed = _keyed(docs)
-    found = materialize(keyed.mapInArrow(_find_anchors(span, seed), "d long, th long, at long, seed long, near long, far long"), "anchors")
+    found = materialize(keyed.mapInArrow(_find_anchors(span, seed, segment), "d long, th long, at long, seed long, near long, far long"), "anchors")
     twice = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     items = found.join(twice, "seed", "left_semi").groupBy("d", "th").agg(F.collect_set(F.struct("at", "near", "far")).alias("items"))
     texts = materialize(keyed.join(items, ["d", "th"]).select("d", "th", "text", "items"), "texts")
@@ -197,17 +205,17 @@ def _cut(span):
     return run
 
 
-def removals(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
+def removals(docs: DataFrame, span: int = SPAN, seed: int = SEED, segment: int = _SEGMENT) -> DataFrame:
     """Texts that lose bytes: ``(d, th, n_removed, n_spans, kept_sha256, kept)``, once for each distinct row."""
-    texts, repeated = repeated_windows(docs, span, seed)
+    texts, repeated = repeated_windows(docs, span, seed, segment)
     runs = repeated.groupBy("d", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     hit = texts.dropDuplicates(["d", "th"]).join(runs, ["d", "th"]).select("d", "th", "text", "runs")
     return hit.mapInArrow(_cut(span), "d long, th long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-def removal_report(docs: DataFrame, span: int = SPAN, seed: int = SEED) -> DataFrame:
+def removal_report(docs: DataFrame, span: int = SPAN, seed: int = SEED, segment: int = _SEGMENT) -> DataFrame:
     """``documents -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row for each input row."""
-    lost = removals(docs, span, seed).drop("kept")
+    lost = removals(docs, span, seed, segment).drop("kept")
     base = scoped(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id",
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"),

@@ -517,6 +517,19 @@ def test_repeated_strings(spark, span, seed):
         assert substrings.removal_report(empty(spark)).count() == 0
 
 
+def test_unique_text_over_segments(spark):
+    r = random.Random(7)
+    long = "".join(r.choice("abcdefgh ") for _ in range(5000))
+    texts = [long, long[1000:1300], None, "é" * 200]
+    for segment in (7, 333, 1000):
+        whole, cut = substrings.anchors(long.encode(), 100, 16), substrings.anchors(long.encode(), 100, 16, segment)
+        assert all((a == b).all() for a, b in zip(whole, cut))
+    for case in ([long], texts):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.removal_report(documents(spark, case), 100, 16, 333).collect()}
+        assert [got[i] for i in range(len(case))] == brute_removal(case, 100)
+    assert brute_removal([long], 100)[0][1] == 0
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 
