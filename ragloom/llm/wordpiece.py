@@ -7,7 +7,9 @@ of pieces popped on the way is stored with it. A word's count is the sum of thos
 Words are runs of characters other than space and \\x09-\\x0d. A word that can't be covered counts as one unknown token,
 whole. Null and empty texts have no words. Repeated rows, extra columns and empty tables need no special care.
 
-Vocabulary: pieces of a SentencePiece file; those with the word mark start words, the others continue them.
+Vocabulary: pieces of a SentencePiece file; those with the word mark start words, the others continue them. The bare mark
+is a piece too: a word for which no other piece with the mark fits starts with it and is continued. The mark stands for
+no character and isn't counted, as in word-piece vocabularies, which mark the continuing pieces instead.
 """
 
 from __future__ import annotations
@@ -31,13 +33,20 @@ def default_vocabulary() -> str:
 
 
 def read_pieces(path: str) -> tuple[list[str], list[str]]:
-    """Word-starting pieces (mark removed) and continuing ones."""
+    """Word-starting pieces (mark removed) and continuing ones.
+
+    With the bare mark, continuing pieces start words too, unless a piece with the mark fits there.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
     start = [p[1:] for p in pieces if p.startswith(WORD_MARK) and len(p) > 1]
-    return start, [p for p in pieces if not p.startswith(WORD_MARK)]
+    more = [p for p in pieces if not p.startswith(WORD_MARK)]
+    if WORD_MARK in pieces:
+        fits = set(start)
+        start += [p for p in more if not any(p[:k] in fits for k in range(1, len(p) + 1))]
+    return start, more
 
 
 class LongestMatch:

@@ -255,6 +255,42 @@ def test_word_pieces(spark):
     assert wordpiece.token_counts(empty(spark)).count() == 0
 
 
+def test_word_pieces_after_the_bare_mark(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=wordpiece.default_vocabulary())
+    vocab = {sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    mark = wordpiece.WORD_MARK
+    assert mark in vocab
+
+    def greedy(word):
+        """Pieces of the whole vocabulary, the bare mark left out; None if some character has no piece."""
+        rest, n = mark + word, 0
+        while rest:
+            k = next((k for k in range(min(len(rest), 40), 0, -1) if rest[:k] in vocab and (rest[:k].startswith(mark) == (len(rest) == len(word) + 1))), 0)
+            if not k:
+                return None
+            n += rest[:k] != mark
+            rest = rest[k:]
+        return n
+
+    r = random.Random(5)
+    cjk = [p for p in vocab if len(p) == 1 and "一" <= p <= "鿿"]
+    words = ["4952935900253052", "2024-01-01", "1a", "the", "7" * 5000, "中国人民", "\ue000", "1\ue000", "12the", "-5", ".net"]
+    words += ["".join(r.choice(cjk) for _ in range(r.randint(1, 300))) for _ in range(50)]
+    words += ["".join(r.choice("0123456789-.:,/()ab中ще") for _ in range(r.randint(1, 30))) for _ in range(300)]
+    got = {x.doc_id: (x.n_tokens, x.n_unknown) for x in wordpiece.token_counts(documents(spark, words)).collect()}
+    want = [greedy(w) for w in words]
+    assert [got[i] for i in range(len(words))] == [(1, 1) if n is None else (n, 0) for n in want]
+    assert want[:6] == [16, 10, 2, 1, 5000, 4] and want[6] is None and want[7] is None
+
+
+def test_chat_budget_of_digits(spark):
+    turns = [(1, k, "user" if k % 2 == 0 else "assistant", t * 600) for k, t in enumerate("1中2国")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert [(x.n_repeated, x.n_turns) for x in chat.format_conversations(df).orderBy("window").collect()] == [(0, 1)] * 4
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
