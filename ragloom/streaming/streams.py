@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ragloom.durable import shared_path
 from ragloom.functions.text import ascii_tokens, dedup_key
 from ragloom.operators.catalog import replace_documents
 
@@ -84,7 +85,20 @@ def stage_counts(events: DataFrame, window: str = "1 hour", late: str = "1 hour"
 
 
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what is there, into a memory table (tests, reports)."""
-    w = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    (w.option("checkpointLocation", checkpoint) if checkpoint else w).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there, each batch into a version of a Parquet table beside its checkpoint.
+
+    In complete mode the newest version is the result, otherwise all of them are. Nothing passes the driver, and without
+    ``checkpoint`` offsets and state are in a fresh folder of the shared one.
+    """
+    spark = stream.sparkSession
+    at = checkpoint or shared_path(spark, name)
+    table = f"{at}-table"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/v={batch_id}")
+
+    w = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).trigger(availableNow=True)
+    w.option("checkpointLocation", at).start().awaitTermination()
+    if mode == "complete" or current_version(spark, table) < 0:
+        return read_version(spark, table, stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{table}/v=*")

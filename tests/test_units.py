@@ -212,6 +212,23 @@ def test_stream_mining(spark, tmp_path):
     assert streams.run_available(s, "mined", "append").count() == 2
 
 
+def test_stream_tables(spark, tmp_path):
+    src = f"file://{tmp_path}/in"
+    schema = "doc_id long, state string, ts timestamp, event_id long"
+    parts = [[(1, "a", 1, 1), (2, "a", 2, 2)], [(1, "b", 4000, 3)], [(3, "a", 90000, 4), (1, "a", 2, 5)]]
+    for part in parts:
+        spark.createDataFrame(part, "doc_id long, state string, s long, event_id long").selectExpr("doc_id", "state", "timestamp_seconds(s) AS ts", "event_id").coalesce(1).write.mode("append").parquet(src)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    latest = streams.run_available(streams.latest_states(events), "latest", "complete", f"file://{tmp_path}/cp")
+    assert {(r.doc_id, r.state) for r in latest.collect()} == {(1, "b"), (2, "a"), (3, "a")} and latest.count() == 3
+    counts = streams.run_available(streams.stage_counts(events), "counts", "append")
+    assert {(r.state, r.n) for r in counts.collect()} >= {("b", 1)} and counts.columns == ["start", "state", "n"]
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert latest.inputFiles() and counts.inputFiles() and all(base in f for f in counts.inputFiles())
+    none = streams.run_available(streams.stage_counts(events.where("false")), "none", "append")
+    assert none.count() == 0 and none.columns == counts.columns
+
+
 def test_partitioning_does_not_matter(spark):
     c = spark.createDataFrame([(i, f"w{i % 7} common w{i % 3}") for i in range(200)], "chunk_id long, contents string")
     q = spark.createDataFrame([(1, "w1 common"), (2, "w2")], "qid long, question string")
