@@ -234,12 +234,12 @@ def ircot_rounds(spark, d):
     index = rt.bm25_index(c, ascii_tokens(F.col("contents")))
 
     def search(q):
-        return rt.bm25_search(index, q, ascii_tokens(F.col("question")), 3).join(c, "chunk_id").select("qid", "rank", F.substring("contents", 1, 200).alias("passage"))
+        return rt.bm25_search(index, q, ascii_tokens(F.col("question")), 3).join(c, "chunk_id").select("qid", "rank", F.col("contents").alias("passage"))
 
     def answer(prompts):
         return [("So the answer is " if "So far: t" in p else "the next. ") + str(len(p)) for p in prompts]
 
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 80).alias("question"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     return iterative_retrieval(q, search, answer, "ircot", 3)
 
 

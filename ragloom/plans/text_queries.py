@@ -194,7 +194,7 @@ def reflow_paragraphs(spark, d):
 @query()
 def clean_titles(spark, d):
     i = F.col("doc_id").cast("string")
-    return _docs(spark, d).select("doc_id", text.clean_title(F.concat(F.lit("## 1.2 "), F.substring("text", 1, 30))).alias("title"), text.clean_generated(F.concat(F.lit("##Head\n"), F.col("text"), F.lit(" (see section 2.1)"))).alias("contents"), text.rewrite_citations(F.concat(F.lit("x \\cite{textid3, textid"), i, F.lit("} y"))).alias("cited"))
+    return _docs(spark, d).select("doc_id", text.clean_title(F.concat(F.lit("## 1.2 "), F.col("text"))).alias("title"), text.clean_generated(F.concat(F.lit("##Head\n"), F.col("text"), F.lit(" (see section 2.1)"))).alias("contents"), text.rewrite_citations(F.concat(F.lit("x \\cite{textid3, textid"), i, F.lit("} y"))).alias("cited"))
 
 
 @query()

@@ -261,3 +261,16 @@ def test_evaluation_report(spark):
     assert (overall["mrr"], overall["recall_1"], overall["acc"]) == (0.375, 0.25, 0.25)
     assert {x.tag for x in r["per_tag"].collect()} == {"t"}
     assert {x.qid for x in r["failures"].collect()} == {1, 2, 3}
+
+
+def test_whole_texts_in_queries(spark, tmp_path):
+    from ragloom.plans import catalogue
+
+    body = "A heading of quite some length, longer than thirty characters " + "zebra stripes " * 40
+    for name, rows, schema in (("documents", [(1, body, "s", "en"), (2, "other words", "s", "en")], "doc_id long, text string, source string, lang string"), ("benchmark", [(7, "filler " * 20 + "zebra")], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    run = catalogue.queries()
+    titles = {r.doc_id: r.title for r in run["clean_titles"](spark, f"file://{tmp_path}").collect()}
+    assert titles[1] == body.strip()
+    row = run["ircot_rounds"](spark, f"file://{tmp_path}").first()
+    assert row.question == "filler " * 20 + "zebra" and int(row.so_far.split()[2]) > len(body)
