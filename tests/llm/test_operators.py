@@ -173,6 +173,20 @@ def test_fingerprint_links_are_complete(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_ball_table_is_never_broadcast(spark):
+    prints = spark.range(50_000).select(F.xxhash64("id").alias("fp"))
+    links = simhash.fingerprint_links(common.materialize(prints, "test"))
+    assert links.count() == 0
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_duplicates_without_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (4, "A b c d e"), (4, "A b c d e"), (None, "z y x w v u"), (9, None)], "doc_id long, text string")
+    got = sorted(((x.doc_id, x.component_id) for x in simhash.near_duplicates(docs).collect()), key=repr)
+    assert got == sorted([(None, 4), (None, 4), (4, 4), (4, 4), (None, None), (9, 9)], key=repr)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (200, 201), (5, 5), (200, 201), (None, 3)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
@@ -553,13 +567,42 @@ def test_repeated_strings(spark, span, seed):
         assert substrings.removal_report(empty(spark)).count() == 0
 
 
+def test_doubled_ranks():
+    r = np.random.default_rng(2)
+    data = r.integers(97, 99, 4000, dtype=np.uint8)
+    at = r.integers(0, 3900, 500)
+    with np.errstate(over="ignore"):
+        for length in (16, 17, 32, 50, 64, 100):
+            for first in (substrings.seed_hashes(data, 16).__getitem__, substrings._first_ranks(data, 16, substrings._LANES[1])):
+                rank = substrings.doubled(first, at, length, 16, substrings._LANES[0])
+                names = collections.defaultdict(set)
+                for p, k in zip(at.tolist(), rank.tolist()):
+                    names[data[p : p + length].tobytes()].add(k)
+                assert all(len(k) == 1 for k in names.values()) and len(names) == len(set(rank.tolist()))
+
+
+def test_copies_count_once_in_the_rounds(spark):
+    r = random.Random(12)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    one, two, short = text(700), text(300), text(60)
+    texts = [one, one, one, two + one[100:350] + two, short, short, None, None, "", one[600:] + text(50), text(4000)]
+    df = documents(spark, texts).unionByName(documents(spark, texts).where("doc_id in (5, 10)")).unionByName(documents(spark, [text(200)] * 2).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = df.collect()
+    want = collections.Counter((x.doc_id, *w) for x, w in zip(rows, brute_removal([x.text for x in rows], 100)))
+    got = collections.Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.removal_report(df, 100, 16).collect())
+    assert got == want
+    assert len(substrings.clean(df, 100, 16).collect()) == len(rows)
+
+
 def test_unique_text_over_segments(spark):
     r = random.Random(7)
     long = "".join(r.choice("abcdefgh ") for _ in range(5000))
     texts = [long, long[1000:1300], None, "é" * 200]
     for segment in (7, 333, 1000):
-        whole, cut = substrings.anchors(long.encode(), 100, 16), substrings.anchors(long.encode(), 100, 16, segment)
-        assert all((a == b).all() for a, b in zip(whole, cut))
+        joined = "".join(t or "" for t in texts).encode()
+        offsets = np.cumsum([0, *(len((t or "").encode()) for t in texts)])
+        whole, cut = (substrings.anchors(np.frombuffer(joined, np.uint8), offsets, 100, 16, k) for k in (1 << 20, segment))
+        assert all((a == b).all() for a, b in zip(whole, cut)) and len(whole[0])
     for case in ([long], texts):
         got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substrings.removal_report(documents(spark, case), 100, 16, 333).collect()}
         assert [got[i] for i in range(len(case))] == brute_removal(case, 100)
