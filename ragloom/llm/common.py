@@ -70,18 +70,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node with a link: ``(a long, b long) -> (node long, component long)``.
 
     Each partition first shrinks its links to a spanning forest; alternating large-star and small-star rounds then
-    turn the graph into stars. A round is two grouped minima with joins; each round's links are written to the
-    shared folder. Nodes without links aren't returned; self-links and repeated links are ignored.
+    turn the graph into stars. A round is two grouped minima with joins; links and minima are written to the shared
+    folder, so that Spark can split the join of a node that holds many links. Nodes without links aren't returned;
+    self-links and repeated links are ignored.
     """
     e = edges.toDF("a", "b").where("a is not null and b is not null and a <> b")
     e = materialize(e.mapInArrow(_local_forest, "u long, v long"), "forest")
     seen = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-stars")
         # links now point from larger to smaller node
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         e = materialize(small, "stars")
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -89,7 +89,8 @@ def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
           case when bit_count(shiftrightunsigned(a.fp ^ b.fp, 32)) <= 1 then (a.key & 4294967295) = shiftrightunsigned(a.fp, 32)
                else (a.key & 4294967295) < (shiftrightunsigned(a.fp ^ b.fp, 32) ^ (a.key & 4294967295)) end
         end)""".format(m=max_bits)
-    return a.join(b, F.expr(pair)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    # Spark doesn't see that each fingerprint becomes 66 rows, and would broadcast the table far beyond its threshold
+    return a.join(b.hint("merge"), F.expr(pair)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -97,8 +98,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     prints = materialize(fingerprints(docs), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     comp = connected_components(fingerprint_links(classes.select("fp"), max_bits))
-    named = classes.join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = materialize(classes.join(comp, classes.fp == comp.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("root")), "classes")
+    first = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id")), "first")  # written, so that a join can split a large component
     labels = named.join(first, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
