@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ragloom.llm import packing, personal_data, quality_classifier, simhash, substrings
 from ragloom.llm.common import materialize
 
+#: Fingerprints at so many differing bits are linked: one more than the stand-alone query's, the most that two segments find.
+MAX_BITS = 5
+#: Bytes of a passage: 51 words of five bytes each with its space. The stand-alone query's 400 bytes are about 65 words.
+PASSAGE_SPAN = 256
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier rejects go."""
@@ -19,12 +24,12 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, MAX_BITS)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of long strings that occur twice go."""
-    return substrings.clean(docs)
+    """Bytes of passages that occur twice go."""
+    return substrings.clean(docs, PASSAGE_SPAN)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
