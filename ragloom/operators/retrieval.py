@@ -9,13 +9,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.durable import materialize
 from ragloom.functions.text import compact
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K, DENSE_WEIGHT, LEXICAL_WEIGHT = 60, 0.7, 0.3
+# Which questions ask for a procedure, and what counts as a phrase or an id code in one.
 PROCEDURE = r"(?i)步骤|流程|操作|更换|怎么|如何|怎样|SOP|procedure|steps?|how\s+to|sequence|battery|电池|换电|充电"
 ASCII_PHRASE = r"[A-Za-z0-9][A-Za-z0-9\s_/\-:()]{2,}[A-Za-z0-9]"
 ID_CODE = r"(?i)\bID\s*0*\d+\b"
@@ -32,20 +34,35 @@ def top_k(scored: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame
 def bm25_index(chunks: DataFrame, tokens: Column, stop_words: tuple[str, ...] = (), only: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings ``(term, chunk_id, tf, len)``, document frequencies ``(term, df)`` and one row ``(n, avg_len)``.
 
-    An index that serves known questions once may be limited to their terms (``only (term)``): other tokens then go before
-    the shuffle. Lengths and the number of chunks count everything all the same.
+    Chunks are tokenised once: postings are written, with one row without term for each chunk, and the rest is counted
+    from them. An index that serves known questions once may be limited to their terms (``only (term)``): other tokens
+    then go before the shuffle. Lengths and the number of chunks count everything all the same.
     """
     words = F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
-    t = chunks.select("chunk_id", words.alias("ts"))
-    stats = t.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avg_len"))
-    # outer: plain explode would add a filter that tokenises a second time
-    terms = t.select("chunk_id", F.size("ts").alias("len"), F.explode_outer("ts").alias("term")).where("term is not null")
+    t = chunks.select("chunk_id", F.coalesce(words, F.array().cast("array<string>")).alias("ts"))
+    terms = t.select("chunk_id", F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("term"))
     if only is not None:
-        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
-    postings = terms.groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
+        terms = terms.join(only.select("term").distinct().withColumn("_wanted", F.lit(True)), "term", "left").where("_wanted or term is null")
+    return _index_of(materialize(terms.groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf")), "postings"))
+
+
+def _index_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    postings = rows.where("term is not null")
+    stats = rows.where("term is null").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     return postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats
 
 
+def save_index(index: tuple[DataFrame, DataFrame, DataFrame], path: str) -> None:
+    """The index as three Parquet tables under ``path``; an index that is there is replaced."""
+    for part, name in zip(index, ("postings", "terms", "stats")):
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A saved index; a missing part raises, as an index can't be guessed."""
+    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats"))
+
+
 def _saturated(stats: DataFrame, postings: DataFrame) -> DataFrame:
     one = stats.scalar() if len(stats.columns) == 1 else stats.select(F.struct("n", "avg_len").alias("s")).scalar()
     p = postings.withColumn("_s", one)
@@ -73,12 +90,33 @@ def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
     return top_k(scored, k, ["qid"], F.desc("score"), "chunk_id")
 
 
+def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """Texts that hold a needle, ``(chunk_id, hay), (needle) -> (chunk_id, needle)``, without comparing every pair.
+
+    A text is cut into blocks of ``g`` characters at multiples of ``g``. A needle of at least ``2 g - 1`` characters covers
+    one of them wherever it stands, and that block starts at one of the needle's first ``g`` characters: so ``g`` pieces of
+    each needle meet the blocks in an equi-join, and ``contains`` verifies. ``g`` is the largest of 1, 2, 4, 8 and 16 that
+    the needle's length allows. Null and empty needles find nothing; repeated needles count once.
+    """
+    n = needles.select("needle").where("needle <> ''").distinct()
+    fits = F.length("needle") + 1
+    n = n.withColumn("g", F.greatest(*[F.when(fits >= 2 * g, g) for g in (1, 2, 4, 8, 16)]))
+    used = sorted(r.g for r in n.select("g").distinct().collect())  # five numbers at most
+    if not used:
+        return texts.select("chunk_id", F.lit("").alias("needle")).where("false")
+    pieces = n.select("needle", F.explode(F.transform(F.sequence(F.lit(1), "g"), lambda i: F.substring("needle", i, F.col("g")))).alias("block"))
+    blocks = [F.regexp_extract_all("hay", F.lit("(?s).{%d}" % g), F.lit(0)) for g in used]
+    cut = texts.where("hay is not null").select("chunk_id", F.explode(F.array_distinct(F.concat(*blocks))).alias("block"))
+    near = cut.join(pieces, "block").select("chunk_id", "needle").distinct()
+    return near.join(texts, "chunk_id").where(F.contains("hay", "needle")).select("chunk_id", "needle")
+
+
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """First ``k`` chunks in corpus order whose title or contents hold the keyword."""
+    """First ``k`` chunks in corpus order whose title or contents hold the keyword; an empty keyword finds nothing."""
     c = chunks.select("chunk_id", F.lower(F.concat_ws("\n", "title", "contents")).alias("hay"))
     q = queries.select("qid", F.lower("keyword").alias("needle"))
-    hit = c.join(q, F.contains("hay", "needle")).select("qid", "chunk_id")
-    return top_k(hit, k, ["qid"], F.col("chunk_id"))
+    first = top_k(containing(c, q), k, ["needle"], F.col("chunk_id"))  # before repeated keywords multiply them
+    return first.join(q, "needle").select("qid", "chunk_id", "rank")
 
 
 def phrases(question: Column) -> Column:
@@ -92,7 +130,7 @@ def phrase_match(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     """Chunks whose compact text holds compact phrases of the question, ``100 + length`` each."""
     c = chunks.select("chunk_id", compact(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("contents", F.lit("")))).alias("hay"))
     q = queries.select("qid", F.explode(phrases(F.col("question"))).alias("needle"))
-    hit = c.join(q, F.contains("hay", "needle")).groupBy("qid", "chunk_id").agg(F.sum(100 + F.length("needle")).cast("double").alias("score"))
+    hit = containing(c, q).join(q, "needle").groupBy("qid", "chunk_id").agg(F.sum(100 + F.length("needle")).cast("double").alias("score"))
     return top_k(hit, k, ["qid"], F.desc("score"), "chunk_id")
 
 
@@ -105,48 +143,74 @@ def normalise(v: Column) -> Column:
     return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
 
 
-def _nearest(qids: list, q: np.ndarray, k: int):
-    """Best ``k`` vectors of each Arrow batch for every query of a block."""
+def _best_of(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+    """Best ``k`` of the vectors for each query, in the order of the final ranking."""
+    s = np.round(np.round(q @ vectors.T, 9), 6)
+    rows: list[list] = [[], [], []]
+    for qid, line in zip(qids, s):
+        near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
+        near = near[np.lexsort((ids[near], -line[near]))[:k]]
+        rows[0] += [int(qid)] * len(near)
+        rows[1] += ids[near].tolist()
+        rows[2] += line[near].tolist()
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], names=["qid", "chunk_id", "score"])
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.asarray(b.column(0).to_pylist())
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            s = np.round(q @ flat.reshape(len(ids), -1).T, 9)
-            rows: list[list] = [[], [], []]
-            for qid, line in zip(qids, s):
-                near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
-                near = near[np.lexsort((ids[near], -line[near]))[:k]]
-                rows[0] += [qid] * len(near)
-                rows[1] += ids[near].tolist()
-                rows[2] += line[near].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64())], names=["qid", "chunk_id", "score"])
-
-    return run
-
-
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metadata: Column | None = None, block: int = 4096) -> DataFrame:
+
+def _matrix(column) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(column), -1)
+
+
+NEAREST = "qid long, chunk_id long, score double"
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metadata: Column | None = None, block: int = 4096, part: int = 65_536) -> DataFrame:
     """Exact inner-product top-k, ``vectors (chunk_id, embedding)``, ``queries (qid, embedding) -> hits``.
 
-    ``metadata`` filters vectors before anything else (pushed into the scan). Vectors are never shuffled: queries go to them
-    in blocks of about ``block`` rows, the only part that passes the driver, and each batch of vectors multiplies once and keeps its ``k``
-    best for each query, so the shuffle carries ``k`` rows a query and batch. More queries than a block are further passes.
+    ``metadata`` filters vectors before anything else (pushed into the scan). Up to ``block`` queries, a size that is
+    checked, go to the vectors, which stay where they are: each batch multiplies once and keeps its ``k`` best for each
+    query. More queries meet the vectors in a grid of query blocks and vector parts, one cell a task, both sides shuffled.
     """
     v = vectors.where(metadata) if metadata is not None else vectors
     v = v.where("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding")
-    n_blocks = max(1, -(-queries.count() // block))
-    dealt = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("b"))
-    local = None
-    for n in range(n_blocks):
-        rows = dealt.where(F.col("b") == n).collect()  # about ``block`` rows
-        if rows:
-            part = v.mapInArrow(_nearest([r.qid for r in rows], np.array([r.e for r in rows]), k), "qid long, chunk_id long, score double")
-            local = part if local is None else local.unionByName(part)
-    if local is None:
-        local = v.sparkSession.createDataFrame([], "qid long, chunk_id long, score double")
-    return top_k(local.withColumn("score", F.round("score", 6)), k, ["qid"], F.desc("score"), "chunk_id")
+    q = queries.where("embedding is not null").select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("e"))
+    few = q.limit(block + 1).collect()
+    if not few:
+        return top_k(v.sparkSession.createDataFrame([], NEAREST), k, ["qid"], F.desc("score"), "chunk_id")
+    if len(few) <= block:
+        qids, rows = np.array([r.qid for r in few]), np.array([r.e for r in few])
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield _best_of(b.column(0).to_numpy(), _matrix(b.column(1)), qids, rows, k)
+
+        local = v.mapInArrow(run, NEAREST)
+    else:
+        n_blocks, n_parts = -(-q.count() // block), max(1, -(-v.count() // part))
+        both = [F.sequence(F.lit(0), F.lit(n - 1)) for n in (n_blocks, n_parts)]
+        left = v.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(n_parts)).cast("int").alias("p"), F.explode(both[0]).alias("b"))
+        right = q.select("qid", "e", F.explode(both[1]).alias("p"), F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).cast("int").alias("b"))
+
+        def cell(_, a, b):
+            if not (a.num_rows and b.num_rows):
+                return pa.table({"qid": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return pa.Table.from_batches([_best_of(a["chunk_id"].to_numpy(), _matrix(a["embedding"]), b["qid"].to_numpy(), _matrix(b["e"]), k)])
+
+        local = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInArrow(cell, NEAREST)
+    return top_k(local, k, ["qid"], F.desc("score"), "chunk_id")
+
+
+def search_collection(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The best ``k`` vectors of each question's own collection, ``(kb_id, chunk_id, embedding), (qid, kb_id, embedding)``.
+
+    Written with ``partitionBy("kb_id")`` the vectors of collections that nobody asks for aren't read (partition pruning).
+    Vectors and questions of a collection are scored in the join; only ``k`` rows a question are ranked.
+    """
+    v = vectors.where("embedding is not null").select("kb_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"))
+    q = queries.where("embedding is not null").select("kb_id", F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("e"))
+    dot = F.aggregate(F.zip_with("e", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return top_k(v.join(q, "kb_id").select("qid", "kb_id", "chunk_id", F.round(F.round(dot, 9), 6).alias("score")), k, ["qid"], F.desc("score"), "chunk_id")
 
 
 def embed_texts(texts: DataFrame, embed, batch: int = 64, dim: int = 64, retries: int = 1) -> DataFrame:
@@ -321,5 +385,8 @@ def hybrid(dense: DataFrame, lexical: DataFrame, preferred: DataFrame, chunks: D
     first = merge_preferred(preferred, fused, recall_k)
     pairs = first.select("qid", "chunk_id").join(queries.select("qid", "question"), "qid").join(chunks.select("chunk_id", rerank_text(F.col("title"), F.col("contents")).alias("text")), "chunk_id")
     ranked = rerank(pairs).select("qid", "chunk_id", "rank", "score")
-    out = merge_preferred(preferred, ranked, final_k)
-    return out.join(ranked.select("qid", "chunk_id", "score"), ["qid", "chunk_id"], "left")
+    # scores go with the rows through the merge, so that the chain stands in the plan once
+    at = [F.struct(F.lit(s).alias("s"), "rank").alias("at") for s in (0, 1)]
+    both = preferred.select("qid", "chunk_id", at[0], F.lit(None).cast("double").alias("score")).unionByName(ranked.select("qid", "chunk_id", at[1], "score"))
+    merged = both.groupBy("qid", "chunk_id").agg(F.min("at").alias("at"), F.max("score").alias("score"))
+    return top_k(merged, final_k, ["qid"], F.col("at")).select("qid", "chunk_id", "rank", "score")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ragloom.durable import materialize, shared_path
 from ragloom.functions.text import ascii_tokens
 from ragloom.operators import evaluation as ev
 from ragloom.operators import retrieval as rt
@@ -55,7 +56,9 @@ def bm25_okapi(spark, d):
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t WHERE term NOT IN ('the', 'of', 'and', 'der', 'die', 'le', 'la') GROUP BY term""")
 def bm25_index(spark, d):
-    postings, df, _ = rt.bm25_index(chunks(spark, d), ascii_tokens(F.col("contents")), ("the", "of", "and", "der", "die", "le", "la"))
+    path = shared_path(spark, "bm25")
+    rt.save_index(rt.bm25_index(chunks(spark, d), ascii_tokens(F.col("contents")), ("the", "of", "and", "der", "die", "le", "la")), path)
+    postings, df, _ = rt.load_index(spark, path)
     return df.join(postings.groupBy("term").agg(F.sum("tf").alias("cf")), "term")
 
 
@@ -81,6 +84,15 @@ def dense_filtered(spark, d):
     return rt.dense_top_k(_vectors(spark, d), _vector_queries(spark, d), 5, F.col("label").isin(1, 3)).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query("""SELECT qid, kb_id, chunk_id, score, rank FROM (SELECT q.vec_id AS qid, q.label AS kb_id, v.vec_id AS chunk_id, round(round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), 6) AS score,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY round(round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 9), 6) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0) WHERE rank <= 5""")
+def collection_search(spark, d):
+    path = shared_path(spark, "collections")
+    _vectors(spark, d).withColumnRenamed("label", "kb_id").write.partitionBy("kb_id").parquet(path)
+    hits = rt.search_collection(spark.read.parquet(path), _vector_queries(spark, d).withColumnRenamed("qlabel", "kb_id"), 5)
+    return hits.select("qid", F.col("kb_id").cast("long").alias("kb_id"), "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("""SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS square, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS first FROM embeddings""")
 def normalise_vectors(spark, d):
     sq = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x * x)
@@ -112,7 +124,8 @@ _RRF = """f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DES
 
 @query(f"WITH {_bm25_sql(False)}, lex2 AS (SELECT * FROM ({'WITH ' + _bm25_sql(True) + ' SELECT * FROM lex'})), {_RRF.format('lex', 'lex2')} SELECT qid, chunk_id, score, rank FROM f")
 def rrf_fuse(spark, d):
-    return rt.rrf([(lexical(spark, d), 0.7), (lexical(spark, d, okapi=True), 0.3)]).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    first, second = _lex_pair(spark, d)
+    return rt.rrf([(first, 0.7), (second, 0.3)]).select("qid", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {_bm25_sql(False)}, {_PHRASE}, u AS (SELECT qid, chunk_id, 0 AS s, rank FROM phr UNION ALL SELECT qid, chunk_id, 1, rank FROM lex),
@@ -244,7 +257,8 @@ _IR = f"""{_bm25_sql(False)}, {_GOLD}, fd AS (SELECT g.qid, count(*) AS n_gold,
 
 def gold(spark, d):
     b, x = table(spark, d, "benchmark"), table(spark, d, "documents")
-    return b.join(x.select("doc_id", F.col("text").alias("body")), F.contains("body", "text")).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("chunk_id"))
+    held = rt.containing(x.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("hay")), b.select(F.col("text").alias("needle")))
+    return held.join(b.withColumnRenamed("text", "needle"), "needle").select(F.col("item_id").alias("qid"), "chunk_id")
 
 
 def per_question(spark, d):
@@ -275,7 +289,8 @@ def failure_rows(spark, d):
 
 
 def _lex_pair(spark, d):
-    return lexical(spark, d), lexical(spark, d, okapi=True)
+    index = rt.bm25_index(chunks(spark, d), ascii_tokens(F.col("contents")))
+    return tuple(rt.bm25_search(index, questions(spark, d), ascii_tokens(F.col("question")), 10, okapi) for okapi in (False, True))
 
 
 _PAIR = f"{_bm25_sql(False)}, lex2 AS (SELECT * FROM ({'WITH ' + _bm25_sql(True) + ' SELECT * FROM lex'}))"
@@ -318,8 +333,8 @@ def trec_metrics(spark, d):
 
 @query()
 def permutation_test(spark, d):
-    a = per_question(spark, d)
-    b = ev.ranking_metrics(questions(spark, d), gold(spark, d), lexical(spark, d, okapi=True))
+    relevant, (first, second) = materialize(gold(spark, d), "gold"), _lex_pair(spark, d)
+    a, b = (ev.ranking_metrics(questions(spark, d), relevant, x) for x in (first, second))
     return ev.permutation_test(ev.paired_differences(a, b, "ndcg_10"))
 
 
