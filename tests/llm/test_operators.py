@@ -344,7 +344,8 @@ def test_personal_data(spark):
         assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert tuple(got[i][f"n_{k}"] for k in personal_data.KINDS) == tuple(sum(x[0] == k for x in base) for k in personal_data.KINDS)
         assert set(line.split(",")) - {""} <= set(got[i].spans.split(","))
-        assert got[i].spans == line or i >= len(ODD)
+        if i < len(ODD):
+            assert got[i].spans == line
     r = random.Random(8)
     for _ in range(4000):
         t = "".join(r.choice(r.choice(["a@.-1 ", "12.. ", "0123456789- ", "+1234567 ().-"])) for _ in range(r.randint(0, 40)))
@@ -356,6 +357,38 @@ def test_personal_data(spark):
     assert personal_data.find(empty(spark)).count() == 0
 
 
+def test_loose_personal_data():
+    """Trees learn from fixed formats; loose spans planted in other texts are found with precision, look-alikes aren't."""
+    r = random.Random(16)
+    word = lambda: "".join(r.choice("abcdeghnorst") for _ in range(r.randint(2, 8)))
+
+    def card():
+        d = [r.randint(0, 9) for _ in range(15)]
+        return "".join(map(str, d)) + str((10 - sum(sum(divmod(v * (1 + (k + 1) % 2), 10)) for k, v in enumerate(d[::-1])) % 10) % 10)
+
+    def row(loose):
+        c, ip, name = card(), ".".join(str(r.randint(1, 255)) for _ in range(4)), f"{word()}@{word()}.{word()}.com"
+        phone = f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+        if loose:
+            c, ip, name, phone = ".".join(c[k : k + 4] for k in (0, 4, 8, 12)), ip.replace(".", "[.]"), name.replace("@", " at ").replace(".", " dot "), phone[1:]
+        kind, said = r.choice([("card", c), ("ip", ip), ("email", name), ("phone", phone)])
+        before = " ".join(word() for _ in range(12)) + " "
+        return before + said + " " + " ".join(word() for _ in range(12)), (kind, len(before), len(before) + len(said))
+
+    train = [(k, y, x) for k in range(400) for y, x in personal_data.training_rows(row(False)[0] + f" {word()} at {word()}. The " + " ".join(r.choice((word(), str(r.randint(1000, 9999)))) for _ in range(4)))]
+    model = personal_data.model_of(np.array([x for _, _, x in train]), np.array([float(y) for _, y, _ in train]), np.array([k for k, _, _ in train]))
+    assert all(t < 1 for t in model.thresholds.values())
+    found = right = 0
+    planted = [row(True) for _ in range(400)]
+    for text, span in planted:
+        got = model.additions(text, personal_data.base_spans(text))
+        found += len(got)
+        right += span in got
+    assert right >= 0.8 * len(planted) and right >= 0.95 * found
+    alike = ["we meet at noon. The end of it", "card 1234.5678.9012.3456 or 1111_2222_3333_4445", "host 300[.]400[.]1[.]2 down", "from 10.20.30.40 to 11.12.13.14"]
+    assert [model.additions(t, personal_data.base_spans(t)) for t in alike] == [[]] * len(alike)
+
+
 def test_boosted_trees():
     r = np.random.default_rng(1)
     x = r.normal(size=(3000, 4))
