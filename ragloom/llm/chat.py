@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordpiece
-from .common import scoped
+from .common import materialize, scoped
 
 WINDOW_TOKENS, HISTORY_TOKENS, BLOCK_TURNS = 1024, 256, 4096
 #: Fixed control strings of the template.
@@ -172,6 +172,7 @@ def format_conversations(conversations: DataFrame, budget: int = WINDOW_TOKENS,
     # the first turn of each conversation, pre-aggregated in each task
     opening = c.groupBy("conv_id").agg(F.min(F.struct("block", "turn", "role", "text")).alias("o"))
     opening = opening.select(F.col("conv_id").alias("opened"), F.col("o.block").alias("first_block"), F.when(F.col("o.role") == "system", F.col("o.text")).alias("system"))
+    opening = materialize(opening, "openings")  # written, so that Spark can split the join of a long conversation
     rows = c.join(opening, F.expr("conv_id <=> opened")).select(
         "conv_id", "block", "role", "text", "system", (F.col("block") == F.col("first_block")).alias("first"), "turn"
     )

@@ -40,6 +40,7 @@ def _quantised(batches):
         rows = []
         for rep, n, label, vec in zip(*(c.to_pylist() for c in b.columns)):
             v = np.array(vec, np.float64)
+            v = v / np.abs(v).max()  # else squares of very large or small components overflow or vanish
             u = v / np.linalg.norm(v)
             q, scale, err = quantise(u)
             rows.append((rep, n, label, len(v), q.tobytes(), scale, err, u.tobytes()))
@@ -113,7 +114,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     classes = v.where("usable").groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
     coded = classes.select("rep", "n", "label", "e").mapInArrow(_quantised, "rep long, n long, label long, dim int, q binary, scale double, err double, unit binary")
-    blocks = classes.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    blocks = materialize(classes.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")  # so that Spark can split a label's join
     coded = coded.join(blocks, "label").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = coded.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")

@@ -128,8 +128,9 @@ def _collected(df: DataFrame, of) -> np.ndarray | None:
 
 
 def fit(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Train on ``(doc_id, x)`` and ``labels (doc_id, quality)``."""
+    """Train on ``(doc_id, x)`` and ``labels (doc_id, quality)``: a document counts once, and not at all if its labels clash."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1)")
+    marks = marks.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
     rows = marks.where(_fold() != 0).join(stats, "doc_id").select("doc_id", "x", "y", _fold().alias("fold"), F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)).alias("draw"))
     rows = materialize(rows, "training")
     share = min(1.0, max_train / max(1, rows.count()))

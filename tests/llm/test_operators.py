@@ -115,6 +115,19 @@ def test_quality_rules_keep_clean_and_use_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_quality_verdicts(spark):
+    """``p_good`` and ``kept`` of every document beside the model in numpy."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rules = quality_rules.rules()
+    votes = quality_rules.text_counts(docs).select("doc_id", F.array(*[F.lit(3 * k) + v for k, v in enumerate(rules.values())]).alias("c")).collect()
+    cells = {r.doc_id: tuple(r.c) for r in votes}
+    patterns = sorted(collections.Counter(cells.values()).items())
+    p_good = dict(zip([c for c, _ in patterns], vote_model([(list(c), n) for c, n in patterns], len(rules))))
+    for r in quality_rules.judge(docs).collect():
+        assert r.p_good == pytest.approx(p_good[cells[r.doc_id]], abs=1e-9)
+        assert r.kept == (not r.base_failed and r.p_good >= quality_rules.KEEP_AT)
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -416,6 +429,36 @@ def test_quality_classifier(spark):
     assert quality_classifier.score(empty(spark), labels).count() == 0
 
 
+def test_quality_scores_beside_a_dense_fit(spark):
+    q = quality_classifier
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    x = {i: np.array(q.statistics(t)) for i, t in texts.items()}
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and r.doc_id in x}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in x}
+    rng = np.random.default_rng(q.SEED)
+    d = len(q.STATISTICS)
+    omega, phase = rng.normal(size=(d, q.FEATURES)) * np.sqrt(2 * q.GAMMA), rng.uniform(0, 2 * np.pi, q.FEATURES)
+    main, held = ([i for i in marks if (fold[i] in (1, 2, 3)) == own and fold[i]] for own in (True, False))
+    xm, ym = np.array([x[i] for i in main]), np.array([marks[i] for i in main], float)
+    mean, scale = xm.mean(axis=0), np.sqrt(np.maximum((xm * xm).mean(axis=0) - xm.mean(axis=0) ** 2, 1e-8)) + 1e-4
+
+    def features(v):
+        return np.hstack([np.sqrt(2 / q.FEATURES) * np.cos(np.clip((v - mean) / scale, -8, 8) @ omega + phase), np.ones((len(v), 1))])
+
+    z = features(xm)
+    w = np.linalg.solve(z.T @ z + q.RIDGE * np.eye(z.shape[1]), z.T @ ym)
+    bins = np.clip((features(np.array([x[i] for i in held])) @ w + 0.5) / 2 * q.BINS, 0, q.BINS - 1).astype(int)
+    n, good = np.bincount(bins, minlength=q.BINS), np.bincount(bins, [marks[i] for i in held], minlength=q.BINS)
+    full = np.flatnonzero(n)
+    level = q.pool_adjacent_violators((good[full] + 0.01) / (n[full] + 0.02), n[full].astype(float))
+    # labels that repeat count once, clashing and null ones not at all
+    odd = labels.unionByName(labels.where("doc_id % 3 = 0")).unionByName(labels.limit(5).withColumn("quality", F.lit(None).cast(labels.schema["quality"].dataType)))
+    for got in q.score(docs, odd).collect():
+        want = np.interp(features(x[got.doc_id][None])[0] @ w, (full + 0.5) / q.BINS * 2 - 0.5, level)
+        assert got.score == pytest.approx(min(1, max(0, want)), abs=1e-6)
+
+
 def test_pool_adjacent_violators():
     got = quality_classifier.pool_adjacent_violators(np.array([1.0, 3, 2, 4]), np.array([1.0, 1, 3, 1]))
     assert got.tolist() == [1, 2.25, 2.25, 4]
@@ -447,6 +490,22 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(df.where("false"))).count() == 0
 
 
+def test_chat_blocks(spark, monkeypatch):
+    """A conversation longer than a block is formatted in several, and read back whole."""
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 7)
+    r = random.Random(4)
+    rows = [(1, 0, "system", "be brief")] + [(1, k, ("user", "assistant")[k % 2], "word " * r.randint(0, 60)) for k in range(1, 60)] + [(2, 3, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    windows = chat.format_conversations(df, 200, 40)
+    assert {w.block for w in windows.where("conv_id = 1").collect()} == set(range(9))
+    assert all(w.text.startswith("<s>") and "be brief" in w.text for w in windows.where("conv_id = 1").collect())
+    for x in chat.read_back(windows).collect():
+        mine = [(o, t or "") for c, _, o, t in rows if c == x.conv_id]
+        loss = "".join(t for o, t in mine if o == "assistant")
+        assert x.n_turns == len(mine) and x.turns_sha256 == hashlib.sha256("".join(f"{o}\n{t}\n" for o, t in mine).encode()).hexdigest()
+        assert (x.loss_chars, x.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -554,6 +613,13 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e300, 2e300, 0.0], 1), (2, [1e-300, 2e-300, 0.0], 1), (3, [1.0, 2.0, 1e-9], 1), (4, [-1e308, 1e308, 1.0], 1), (None, [1.0, 2.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), None: (0, None)}
+
+
 def test_quantisation_bound():
     r = np.random.default_rng(1)
     for _ in range(200):
@@ -645,6 +711,20 @@ def test_unique_text_over_segments(spark):
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 
+def test_passage_stage_finds_fifty_words(spark):
+    """Planted passages of 51 to 70 words go, documents without one stay as they are."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdeghinorst") for _ in range(r.randint(2, 8))) for _ in range(4000)]
+    text = lambda k: " ".join(r.choice(words) for _ in range(k))
+    shared = [text(r.randint(51, 70)) for _ in range(20)]
+    texts = [f"{text(80)} {shared[i % 20]} {text(80)}" if i < 60 else text(200) for i in range(120)]
+    got = {x.doc_id: x.text for x in corpus_pipeline.cut_repeated_passages(spark, documents(spark, texts), SF).collect()}
+    caught = sum(len(got[i].split()) < len(texts[i].split()) - 40 for i in range(60))
+    assert caught >= 0.9 * 60 and sum(got[i] == texts[i] for i in range(60, 120)) >= 0.98 * 60
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -657,11 +737,11 @@ def test_pipeline(spark):
         assert set(b) <= set(a)
         if name == "SimHash near-dedup":
             prints = {i: brute_print(t) for i, t in a.items()}
-            near = {i: [j for j in a if j != i and (prints[i] ^ prints[j]).bit_count() <= 4] for i in a}
+            near = {i: [j for j in a if j != i and (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.MAX_BITS] for i in a}
             assert set(b) == set(components(list(a), near).values())
         if name == "suffix-array dedup":
             ids = sorted(a)
-            assert [len(b[i].encode()) for i in ids] == [n - k for n, k, _, _ in brute_removal([a[i] for i in ids], 400)] and set(a) == set(b)
+            assert [len(b[i].encode()) for i in ids] == [n - k for n, k, _, _ in brute_removal([a[i] for i in ids], corpus_pipeline.PASSAGE_SPAN)] and set(a) == set(b)
         if name == "PII":
             assert all(not brute_spans(t) for t in b.values()) and all(a[i] == b[i] for i in a if not brute_spans(a[i]))
         before = after
