@@ -66,14 +66,17 @@ def multi_round(trace: DataFrame) -> DataFrame:
     )
 
 
-#: Templates of the question families (P1, P4, P9): short forms of our own; pass another to ``render``.
+#: Templates of the prompt families (P1, P4, P6, P9, P10): short forms of our own; pass another to ``render``.
 TEMPLATES = {
     "question": "Question: {question}\nAnswer:",
     "boxed": "Question: {question}\nPut the answer in \\boxed{}.",
     "choices": "Question: {question}\nChoices:\n{choices}\nAnswer:",
     "passages": "Passages:\n{passages}\nQuestion: {question}\nAnswer:",
+    "history": "{history}{answer}\n<information>{passages}</information>\n",
     "refined": "Knowledge: {knowledge}\nQuestion: {question}\nAnswer:",
     "page_init": "Question: {question}\nPlan: {plan}\nPage:",
+    "page_subq": "Question: {question}\nPlan: {plan}\nPage: {page}\nNext sub-question:",
+    "page_answer": "Page: {page}\nQuestion: {question}\nAnswer:",
     "page_fill": "Question: {question}\nPlan: {plan}\nPage: {page}\nSub-question: {subq}\nPassages:\n{passages}\nPage:",
     "survey": "Task: {instruction}\nOutline:\n{outline}\nAt: {cursor}\nKnown:\n{info}\n",
 }

@@ -31,6 +31,7 @@ def clean_text(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
+# Fixed values (T2): how a sentence ends and how the next one starts.
 _SENTENCE_END = r"[。！？!?；;…]\s*[”’」』》）】]*\s*$"
 _NEXT_START = r"^[\u4e00-\u9fff0-9a-zA-Z“\"‘’《（(【\[「『<]"
 
@@ -164,18 +165,45 @@ def unglue_steps(x: Column) -> Column:
     return F.regexp_replace(x, r"(?i)([a-zA-Z0-9.);}\]])(\s*)(STEP\s+\d+\s*:)", "$1$2\n$3")
 
 
+# Fixed values (T19): what is removed from titles and changed in contents, in this order.
+TITLE_RULES = (
+    r"(?i)^\s*section[-\s]*[\d.\uFF0E\u3002]*\s*",
+    r"^(?:第\s*[0-9一二三四五六七八九十百千]+\s*(?:章|节|部(?:分)?|篇|卷)\s*[-—:：\.、，,]?\s*)+",
+    r"^\s*\d+(?:[.\uFF0E\u3002]\d+)+[\.、，,]?\s*",
+    r"^\s*\d+[.、，,]\s*",
+    r"[\(（]\d+[\)）]\s*",
+    r"^\s*[一二三四五六七八九十]+(?:[.\uFF0E\u3002]\d+)+[\.、，,]?\s*",
+    r"^\s*[一二三四五六七八九十]+[.、，,]\s*",
+    r"[\(（][一二三四五六七八九十]+[\)）]\s*",
+    r"^[一二三四五六七八九十]+\s+",
+)
+CONTENT_RULES = (
+    (r"\bSection-(\d+(?:\.\d+)*)\b", ""),
+    (r"(?m)^[ \t]+(#{1,6})\s+", "$1 "),
+    (r"\n{3,}", "\n\n"),
+    (r"([^\n])\n(#{1,6}\s)", "$1\n\n$2"),
+    (r"(#{1,6}\s[^\n]+)\n([^\n#])", "$1\n\n$2"),
+)
+
+
+def _trimmed(x: Column) -> Column:
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def clean_title(x: Column) -> Column:
-    """T19, titles: heading marks, and numbering before the text in two scripts."""
-    x = F.regexp_replace(strip(F.coalesce(x, F.lit(""))), r"^#+\s*", "")
-    x = F.regexp_replace(x, r"^(?:第[一二三四五六七八九十百0-9]+[章节部分]|[一二三四五六七八九十]+、)\s*", "")
-    return strip(F.regexp_replace(x, r"^(?:\d+(?:\.\d+)*[.、]?\s+|[（(]\d+[)）]\s*)", ""))
+    """T19, titles: section prefixes and numbering in two scripts go."""
+    x = F.coalesce(x, F.lit(""))
+    for pattern in TITLE_RULES:
+        x = F.regexp_replace(x, pattern, "")
+    return _trimmed(x)
 
 
 def clean_generated(x: Column) -> Column:
-    """T19, contents: section references, space around headings, runs of blank lines."""
-    x = F.regexp_replace(F.coalesce(x, F.lit("")), r"\s*\((?:[Ss]ee )?[Ss]ection[- ][0-9.]+\)", "")
-    x = F.regexp_replace(x, r"(?m)^(#+)([^#\s])", "$1 $2")
-    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    """T19, contents: section references go, headings start their line and have blank lines around them."""
+    x = F.coalesce(x, F.lit(""))
+    for pattern, new in CONTENT_RULES:
+        x = F.regexp_replace(x, pattern, new)
+    return _trimmed(x)
 
 
 _UNCOUNTED = r"[!\"#$%&'()*+,\-./:;<=>?@\\\[\]^_`{|}~0-9 \n\t]"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ragloom.functions.text import eval_normalize
 
@@ -18,8 +20,21 @@ def _words(x: Column) -> Column:
 
 
 def _multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection: the k-th copy of a token matches if the other side has k of it."""
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda n, t: n + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
+    """Size of the multiset intersection: one walk over the sorted tokens of both sides, counting each token's copies."""
+    sides = (F.transform(a, lambda t: F.struct(t.alias("t"), F.lit(0).alias("s"))), F.transform(b, lambda t: F.struct(t.alias("t"), F.lit(1).alias("s"))))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+
+    def step(acc, x):
+        same = acc["t"].eqNullSafe(x["t"])
+        mine = (x["s"] == 0).cast("int")
+        return F.struct(
+            x["t"].alias("t"),
+            (F.when(same, acc["a"]).otherwise(0) + mine).alias("a"),
+            (F.when(same, acc["b"]).otherwise(0) + 1 - mine).alias("b"),
+            (acc["n"] + F.when(same, 0).otherwise(F.least(acc["a"], acc["b"]))).alias("n"),
+        )
+
+    return F.aggregate(F.array_sort(F.concat(*sides)), start, step, lambda acc: acc["n"] + F.least(acc["a"], acc["b"]))
 
 
 def _f1(overlap: Column, n: Column, m: Column) -> Column:
@@ -60,9 +75,12 @@ def _rouge_tokens(x: Column) -> Column:
 
 
 def _grams(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of ``n`` tokens; the tokens are zipped with themselves, since inside a lambda they would be found anew for each."""
+    m = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, 1, m)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, m), lambda x, y: F.concat_ws(" ", x, y))
+    return out
 
 
 def rouge_n(golds: Column, pred: Column, n: int) -> Column:
@@ -71,23 +89,34 @@ def rouge_n(golds: Column, pred: Column, n: int) -> Column:
     return _best(golds, lambda g: _f1(_multiset_overlap(_grams(_rouge_tokens(g), n), p), F.size(_grams(_rouge_tokens(g), n)), F.size(p)))
 
 
-def rouge_l(golds: Column, pred: Column) -> Column:
-    """M7: longest common subsequence by a fold over rows of its table."""
-    p = _rouge_tokens(pred)
+def common_subsequence(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence: a row of its table is the bits of one number, so memory is linear."""
+    places: dict[str, int] = {}
+    for i, t in enumerate(a):
+        places[t] = places.get(t, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    row = whole
+    for t in b:
+        hit = row & places.get(t, 0)
+        row = (row + hit | row - hit) & whole
+    return len(a) - row.bit_count()
 
-    def lcs(g):
-        def row(above, a):
-            def cell(acc, j):
-                up, before = F.get(above, j), F.when(j > 0, F.get(above, j - 1)).otherwise(0)
-                left = F.when(j > 0, F.get(acc, j - 1)).otherwise(0)
-                return F.array_append(acc, F.when(F.get(p, j) == a, before + 1).otherwise(F.greatest(up, left)))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.array().cast("array<int>"), cell)
+@F.pandas_udf(DoubleType())
+def _best_rouge_l(golds: pd.Series, pred: pd.Series) -> pd.Series:
+    def one(gs, p):
+        best = 0.0
+        for g in gs if gs is not None else ():
+            if len(g) and len(p) and (n := common_subsequence(list(g), list(p))):
+                best = max(best, 2.0 * n / (len(g) + len(p)))
+        return best
 
-        n = F.coalesce(F.array_max(F.aggregate(_rouge_tokens(g), F.array_repeat(F.lit(0), F.size(p)), row)), F.lit(0))
-        return F.when(F.size(p) > 0, _f1(n, F.size(_rouge_tokens(g)), F.size(p))).otherwise(0.0)
+    return pd.Series([one(g, p) for g, p in zip(golds, pred)], dtype="float64")
 
-    return _best(golds, lcs)
+
+def rouge_l(golds: Column, pred: Column) -> Column:
+    """M7 without stemming, on raw texts, batch by batch: built-in functions can't hold the table of two long texts."""
+    return _best_rouge_l(F.transform(golds, _rouge_tokens), _rouge_tokens(pred))
 
 
 #: M8: metric name -> column of (golds, prediction), both normalised, and whether it wants raw texts instead.

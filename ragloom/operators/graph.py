@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.durable import materialize
+
 ENTITY = "entity_id, kb_id, entity_name, entity_type, description, chunk_ids"
 RELATION = "relation_id, kb_id, source_id, target_id, relation_type, description, strength, doc_id"
 
@@ -99,10 +101,40 @@ def remap(relations: DataFrame, ids: DataFrame) -> DataFrame:
     return x.withColumn("orphan", F.col("new_source").isNull() | F.col("new_target").isNull())
 
 
-def extraction_run(chunks: DataFrame, extract, allowed: tuple[str, ...], kb: str, documents: DataFrame | None = None) -> DataFrame:
-    """The merged entity table of a knowledge base, or of the given documents of it."""
-    c = chunks if documents is None else chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
-    found = extract_entities(c, extract, allowed)
-    return merge_entities(found.select(F.lit(kb).alias("kb_id"), F.col("title").alias("entity_name"), F.col("type").alias("entity_type"), "description", "chunk_id", F.col("chunk_id").alias("ord")))
-
-
+#: What an extraction model answers for a chunk.
+RESPONSE = "entities array<struct<title string, type string, description string>>, relations array<struct<source string, target string, type string, strength string>>"
+
+
+def extraction_run(
+    chunks: DataFrame, extract, allowed: tuple[str, ...], kb: str, existing: tuple[DataFrame, DataFrame] | None = None, documents: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities ``(kb_id, entity_name, entity_type, description, chunk_ids)``, relations by entity names
+    ``(kb_id, source_id, target_id, relation_type, strength, doc_id)`` and one row of counts.
+
+    ``extract(pdf with chunk_id, contents) -> pdf with chunk_id, response`` answers JSON of ``RESPONSE``; an answer that
+    isn't readable counts as an error, not as a chunk. A full run clears the knowledge base first: of ``existing``
+    entities and relations only those of other ones stay. With ``documents (doc_id)`` only their chunks run, and what was
+    there stays and is merged with what is found (what those documents gave before is deleted by the caller, G9).
+    """
+    c = chunks if documents is None else chunks.join(documents.select("doc_id").distinct(), "doc_id", "left_semi")
+    kind = c.schema["chunk_id"].dataType.simpleString()
+    said = c.select("chunk_id", "contents").mapInPandas(lambda it: (extract(p)[["chunk_id", "response"]] for p in it), f"chunk_id {kind}, response string")
+    said = materialize(said, "responses").join(c.select("chunk_id", *(("doc_id",) if "doc_id" in c.columns else (F.lit(None).cast("string").alias("doc_id"),))), "chunk_id")
+    said = said.withColumn("r", F.from_json("response", RESPONSE)).withColumn("fine", F.col("r.entities").isNotNull())
+    e = said.where("fine").select("chunk_id", F.posexplode("r.entities").alias("no", "e"))
+    e = e.select("chunk_id", "no", F.trim("e.title").alias("title"), F.col("e.type").alias("type"), "e.description").where((F.col("title") != "") & F.col("type").isin(*allowed))
+    r = said.where("fine").select("chunk_id", "doc_id", F.posexplode("r.relations").alias("no", "r")).select("chunk_id", "doc_id", "no", F.trim("r.source").alias("source"), F.trim("r.target").alias("target"), F.col("r.type").alias("relation_type"), "r.strength")
+    r = valid_relations(r, e)
+    order = lambda: F.struct("chunk_id", "no")
+    entities = merge_entities(e.select(F.lit(kb).alias("kb_id"), F.col("title").alias("entity_name"), F.col("type").alias("entity_type"), "description", "chunk_id", order().alias("ord")))
+    relations = insert_relations(r.select(F.lit(kb).alias("kb_id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), "relation_type", "strength", "doc_id", order().alias("ord")))
+    counts = said.agg(F.count_if("fine").alias("chunk_count"), F.count_if(~F.col("fine")).alias("errors"))
+    counts = counts.withColumns({"entity_count": e.agg(F.count("*")).scalar(), "relation_count": r.agg(F.count("*")).scalar()})
+    if existing is not None:
+        other = [x if documents is not None else x.where(F.col("kb_id") != kb) for x in existing]
+        both = other[0].select(*entities.columns, F.lit(0).alias("o")).unionByName(entities.withColumn("o", F.lit(1)))
+        ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("o", "chunk_ids"))), lambda s: s["chunk_ids"])))
+        entities = both.groupBy("kb_id", "entity_name").agg(F.max_by("entity_type", "o").alias("entity_type"), F.max_by("description", "o").alias("description"), ids.alias("chunk_ids"))
+        both = other[1].select(*relations.columns, F.lit(0).alias("ord")).unionByName(relations.withColumn("ord", F.lit(1)))
+        relations = insert_relations(both)
+    return entities, relations, counts

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.functions.prompts import render
+
 MAX_STEPS, MAX_EXTENDS = 140, 12
 #: Node table: position i.j.k (0 where a level is missing) with title, plan and content.
 NODE = "qid long, i int, j int, k int, title string, plan string, content string"
@@ -57,6 +59,28 @@ def outline_summary(nodes: DataFrame) -> DataFrame:
     return x.select("qid", F.array_join(F.transform("ls", lambda s: s["s"]), "\n").alias("summary"))
 
 
+NO_SURVEY, NO_INFO = "There is no survey.", "<PAD>"  # fixed values
+
+
+def survey_prompts(tasks: DataFrame, nodes: DataFrame, template: str) -> DataFrame:
+    """P10: ``tasks (qid, instruction, info)`` -> ``(qid, prompt)``: a template over the outline's summary and cursor (V4).
+
+    A task without nodes says that there is no survey; padding counts as no information. Slots a template lacks are left
+    out, so one function serves the search, plan, write and extend steps.
+    """
+    x = tasks.join(outline_summary(nodes), "qid", "left").join(cursor(nodes).select("qid", "cursor"), "qid", "left")
+    return x.select(
+        "qid",
+        render(
+            template,
+            instruction=F.col("instruction"),
+            outline=F.coalesce("summary", F.lit(NO_SURVEY)),
+            cursor=F.concat(F.lit("You need to update "), F.coalesce("cursor", F.lit("None"))),
+            info=F.when(F.col("info") == NO_INFO, "").otherwise(F.coalesce("info", F.lit(""))),
+        ).alias("prompt"),
+    )
+
+
 def render_outline(nodes: DataFrame) -> DataFrame:
     """V5: markdown with numbered headings; citation commands become bracketed numbers."""
     from ragloom.functions.text import clean_generated, clean_title, rewrite_citations

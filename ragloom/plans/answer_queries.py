@@ -110,11 +110,11 @@ def prompt_tables(spark, d):
     )
 
 
-@query("""WITH p AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS qid, doc_id, 'p' || doc_id AS psg FROM documents WHERE doc_id % 9 = 0 OR doc_id % 9 = 1)
+@query("""WITH p AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS qid, doc_id, 'p' || doc_id AS psg FROM documents)
   SELECT b.item_id AS qid, 'Passages:' || chr(10) || string_agg(psg, chr(10) ORDER BY doc_id) || chr(10) || 'Question: q' || b.item_id || chr(10) || 'Answer:' AS prompt FROM benchmark b JOIN p ON b.item_id = p.qid GROUP BY b.item_id""")
 def prompt_passages(spark, d):
     b = table(spark, d, "benchmark")
-    p = table(spark, d, "documents").where("doc_id % 9 < 2").withColumn("qid", F.col("doc_id") % b.agg(F.count("*")).scalar())
+    p = table(spark, d, "documents").withColumn("qid", F.col("doc_id") % b.agg(F.count("*")).scalar())
     ps_ = p.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: F.concat(F.lit("p"), i.cast("string"))).alias("ps"))
     x = ps_.join(b.select(F.col("item_id").alias("qid")), "qid")
     return x.select("qid", pr.render(pr.TEMPLATES["passages"], passages=pr.passages(F.col("ps")), question=F.concat(F.lit("q"), F.col("qid").cast("string"))).alias("prompt"))
@@ -127,6 +127,23 @@ def prompt_rounds(spark, d):
     return pr.multi_round(trace).select("qid", "question", F.array_join("passages", "|").alias("passages"), "answers")
 
 
+@query(f"""WITH n AS (SELECT conv_id, turn, coalesce(text, '') AS t, {_ESC.format("coalesce(text, '')")} AS e, {_ESC.format("role")} AS r FROM conversations)
+  SELECT conv_id, turn, 'Question: ' || e || chr(10) || 'Answer:' AS question, 'Knowledge: ' || r || chr(10) || 'Question: ' || e || chr(10) || 'Answer:' AS refined,
+    e || 'a' || turn || chr(10) || '<information>p1' || chr(10) || 'p2' || chr(10) || 'p3</information>' || chr(10) AS history,
+    'Question: ' || e || chr(10) || 'Plan: ' || r || chr(10) || 'Page:' AS page_init, 'Question: ' || e || chr(10) || 'Plan: ' || r || chr(10) || 'Page: g' || chr(10) || 'Next sub-question:' AS page_subq,
+    'Question: ' || e || chr(10) || 'Plan: ' || r || chr(10) || 'Page: g' || chr(10) || 'Sub-question: s' || chr(10) || 'Passages:' || chr(10) || 'p1' || chr(10) || 'p2' || chr(10) || 'p3' || chr(10) || 'p4' || chr(10) || 'Page:' AS page_fill,
+    'Page: g' || chr(10) || 'Question: ' || e || chr(10) || 'Answer:' AS page_answer FROM n""")
+def prompt_families(spark, d):
+    q, r, psg = F.col("text"), F.col("role"), F.array(*(F.lit(f"p{k}") for k in range(1, 5)))
+    slots = {
+        "question": {"question": q}, "refined": {"knowledge": r, "question": q},
+        "history": {"history": q, "answer": F.concat(F.lit("a"), F.col("turn").cast("string")), "passages": pr.passages(psg, 3)},
+        "page_init": {"question": q, "plan": r}, "page_subq": {"question": q, "plan": r, "page": F.lit("g")},
+        "page_fill": {"question": q, "plan": r, "page": F.lit("g"), "subq": F.lit("s"), "passages": pr.passages(psg)}, "page_answer": {"page": F.lit("g"), "question": q},
+    }
+    return _talk(spark, d).select("conv_id", "turn", *(pr.render(pr.TEMPLATES[k], **v).alias(k) for k, v in slots.items()))
+
+
 # --- citations -------------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +288,15 @@ def survey_outline(spark, d):
     return sv.render_outline(sv.update_outline(n, n.where("k = 1").withColumn("content", F.lit("new"))))
 
 
+@query(f"""WITH {_NODES}, s AS (SELECT qid, string_agg(p || ' ' || title || CASE WHEN content IS NULL THEN ' [open]' ELSE ' [OK]' END, chr(10) ORDER BY o) AS summary, min_by(p, o) FILTER (content IS NULL) AS cursor FROM np GROUP BY qid)
+  SELECT item_id AS qid, 'Task: ' || {_ESC.format("text")} || chr(10) || 'Outline:' || chr(10) || coalesce(summary, 'There is no survey.') || chr(10) || 'At: You need to update ' || coalesce(cursor, 'None') || chr(10) || 'Known:' || chr(10) || CASE WHEN item_id % 2 = 0 THEN '' ELSE 'i' || item_id END || chr(10) AS prompt
+  FROM benchmark LEFT JOIN s ON item_id = qid * 2""")
+def survey_prompts(spark, d):
+    i = F.col("item_id")
+    tasks = table(spark, d, "benchmark").select(i.alias("qid"), F.col("text").alias("instruction"), F.when(i % 2 == 0, "<PAD>").otherwise(F.concat(F.lit("i"), i.cast("string"))).alias("info"))
+    return sv.survey_prompts(tasks, _nodes(spark, d).withColumn("qid", F.col("qid") * 2), pr.TEMPLATES["survey"])
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 200 >= 140 THEN 'done' WHEN doc_id % 7 = 0 THEN st ELSE CASE st WHEN 'search' THEN CASE WHEN doc_id % 2 = 0 THEN 'write' ELSE 'init' END WHEN 'init' THEN 'search'
   WHEN 'write' THEN CASE WHEN doc_id % 3 = 0 THEN 'search' WHEN doc_id % 20 < 12 THEN 'extend' ELSE 'done' END WHEN 'extend' THEN CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'search' END ELSE 'done' END END AS state FROM (SELECT doc_id, ['search', 'init', 'write', 'extend', 'done'][doc_id % 5 + 1] AS st FROM documents)""")
 def survey_state(spark, d):
@@ -325,14 +351,14 @@ def merge_item_sets(spark, d):
     return cu.merge_items([x.where("turn = 0").withColumn("source", F.lit("manual")), x.where("role = 'user'").withColumn("source", F.lit("session"))])
 
 
-@query()
+@query("""SELECT doc_id AS chunk_id, no, CASE no WHEN 0 THEN 'what is ' || doc_id ELSE 'b' END AS query, CASE no WHEN 0 THEN 'x' END AS gold_answer, 'doc:' || source AS tags, 'generated' AS source FROM documents, (SELECT unnest([0, 1]) AS no)""")
 def generated_candidates(spark, d):
     c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("text").alias("contents"))
 
     def model(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(response=['{"questions": [{"query": "what is %d", "gold_answer": "x"}, {"query": ""}, {"query": "b"}, {"query": "c"}]}' % i for i in pdf["chunk_id"]])
 
-    return cu.generate_candidates(c, model)
+    return cu.generate_candidates(c, model).withColumn("tags", F.array_join("tags", ","))
 
 
 # --- graph -----------------------------------------------------------------------------------------------------------
@@ -407,15 +433,40 @@ def kg_valid_relations(spark, d):
     return gr.valid_relations(x, e).select(F.col("chunk_id").alias("doc_id"), F.col("source").alias("source_id"), F.col("target").alias("target_id"), "strength")
 
 
-@query()
-def kg_extraction(spark, d):
-    c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("contents"))
+def _extracted(spark, d):
+    """A model that names the first word of a text and its source; every eleventh answer isn't readable."""
+    c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat_ws(" ", F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(1)), "source").alias("contents"), F.col("lang").alias("doc_id"))
 
     def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        said = ['[{"title": "%s", "type": "%s", "description": "d"}]' % ("".join(ch for ch in str(t).split(" ")[0] if ch.isalpha()), ("Place", "Other")[i % 2]) for i, t in zip(pdf["chunk_id"], pdf["contents"])]
+        said = []
+        for i, t in zip(pdf["chunk_id"], pdf["contents"]):
+            word, source = t.rsplit(" ", 1)
+            word = "".join(ch for ch in word if ch.isascii() and ch.isalpha())
+            kinds = ("Place", "Other")[i % 2]
+            said.append("no json" if i % 11 == 0 else '{"entities": [{"title": "%s", "type": "%s", "description": "d"}, {"title": "%s", "type": "Place", "description": "s"}], "relations": [{"source": "%s", "target": "%s", "type": "in", "strength": "%d"}]}' % (word, kinds, source, word, source, i % 20))
         return pdf.assign(response=said)
 
-    return gr.extraction_run(c, model, ("Place",), "kb").select("entity_name", "entity_type", F.size("chunk_ids").alias("n"))
+    return gr.extraction_run(c, model, ("Place",), "kb")
+
+
+_SAID = """sd AS (SELECT doc_id, lang, source, regexp_replace(split_part(coalesce(text, ''), ' ', 1), '[^A-Za-z]', '', 'g') AS word FROM documents WHERE doc_id % 11 <> 0),
+  en AS (SELECT doc_id, word AS name FROM sd WHERE doc_id % 2 = 0 AND word <> '' UNION ALL SELECT doc_id, source FROM sd),
+  rl AS (SELECT doc_id, lang, word, source, greatest(5, least(10, doc_id % 20)) AS strength FROM sd WHERE doc_id % 2 = 0 AND word <> '' OR word = source)"""
+
+
+@query(f"WITH {_SAID} SELECT name AS entity_name, 'Place' AS entity_type, count(DISTINCT doc_id) AS n FROM en GROUP BY name")
+def kg_extraction(spark, d):
+    return _extracted(spark, d)[0].select("entity_name", "entity_type", F.size("chunk_ids").alias("n"))
+
+
+@query(f"WITH {_SAID} SELECT word AS source, source AS target, arg_min(strength, doc_id) AS strength, arg_min(lang, doc_id) AS doc FROM rl WHERE word <> source GROUP BY word, source")
+def kg_extracted_relations(spark, d):
+    return _extracted(spark, d)[1].select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "strength", F.col("doc_id").alias("doc"))
+
+
+@query(f"WITH {_SAID} SELECT (SELECT count(*) FROM sd) AS chunk_count, (SELECT count(*) FROM documents WHERE doc_id % 11 = 0) AS errors, (SELECT count(*) FROM en) AS entity_count, (SELECT count(*) FROM rl) AS relation_count")
+def kg_extraction_counts(spark, d):
+    return _extracted(spark, d)[2]
 
 
 # --- catalogue -------------------------------------------------------------------------------------------------------
@@ -606,10 +657,10 @@ def run_parse(spark, d):
     return rd.runs(table(spark, d, "documents").select(i.alias("line_no"), line.alias("value")))
 
 
-@query("""WITH m AS (SELECT max(n) AS m FROM (SELECT role, count(*) AS n FROM conversations WHERE conv_id % 3 = 0 GROUP BY conv_id // 30, role)), x AS (SELECT conv_id // 30 AS step, role AS var, list(text ORDER BY conv_id, turn) AS vs FROM conversations WHERE conv_id % 3 = 0 GROUP BY ALL)
+@query("""WITH m AS (SELECT max(n) AS m FROM (SELECT role, count(*) AS n FROM conversations GROUP BY conv_id // 30, role)), x AS (SELECT conv_id // 30 AS step, role AS var, list(text ORDER BY conv_id, turn) AS vs FROM conversations GROUP BY ALL)
   SELECT i AS case_no, step, string_agg(var || '=' || coalesce(vs[i + 1], '-'), '|' ORDER BY var) AS vars FROM x, m, unnest(range(0, m)) u(i) GROUP BY i, step""")
 def slice_trace(spark, d):
-    t = _talk(spark, d).where("conv_id % 3 = 0").groupBy(F.floor(F.col("conv_id") / 30).alias("step"), F.col("role").alias("var")).agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), lambda s: s["text"]).alias("values"))
+    t = _talk(spark, d).groupBy(F.floor(F.col("conv_id") / 30).alias("step"), F.col("role").alias("var")).agg(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), lambda s: s["text"]).alias("values"))
     x = rd.slice_trace(t)
     return x.select(F.col("case_no").cast("long").alias("case_no"), "step", F.array_join(F.transform(F.map_entries("vars"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("-")))), "|").alias("vars"))
 
@@ -620,7 +671,7 @@ def index_payload(spark, d):
     return rd.payload(x).drop("chunk_data")
 
 
-# --- streams (rows only; tests compare them with batch results) ------------------------------------------------------
+# --- streams (the SQL gives what the watermark lets through) ------------------------------------------------------
 
 
 def _events_stream(spark, d):
@@ -641,14 +692,18 @@ def stream_latest_states(spark, d):
     return st.run_available(st.latest_states(_events_stream(spark, d)), _name(), "complete").select("doc_id", "state")
 
 
-@query()
+@query("""SELECT start, event_type AS state, count(*) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, max(ts) OVER () AS last FROM events)
+  WHERE start + INTERVAL 1 HOUR <= last - INTERVAL 1 HOUR GROUP BY ALL""")
 def stream_stage_counts(spark, d):
     from ragloom.streaming import streams as st
 
     return st.run_available(st.stage_counts(_events_stream(spark, d)), _name(), "append")
 
 
-@query()
+@query("""WITH g AS (SELECT *, max(ts) OVER () AS last, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+  s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM g)
+  SELECT user_id AS doc_id, arg_max(event_type, (ts, event_id)) AS state, count(*) AS n, max(ts) + INTERVAL 2 HOUR AS stale_at FROM s GROUP BY user_id, no, last
+  HAVING arg_max(event_type, (ts, event_id)) IN ('click', 'view') AND max(ts) + INTERVAL 2 HOUR <= last - INTERVAL 1 HOUR""")
 def stream_stale_sessions(spark, d):
     from ragloom.streaming import streams as st
 

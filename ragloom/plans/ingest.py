@@ -53,7 +53,7 @@ def full_ingest(files: DataFrame, embed, contextualise=None, extract=None, entit
     stages += ["embed", "index"]
     out = {"documents": documents, "chunks": chunks, "vectors": vectors, "postings": postings, "terms": df, "stats": stats}
     if extract is not None:
-        out["entities"] = graph.extraction_run(chunks.select("chunk_id", F.col("chunk").alias("contents")), extract, entity_types, "kb")
+        out["entities"], out["relations"], out["graph_counts"] = graph.extraction_run(chunks.select("chunk_id", "doc_id", F.col("chunk").alias("contents")), extract, entity_types, "kb")
         stages.append("graph")
     counts = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
     out["counts"] = documents.join(counts, "doc_id", "left").select("kb_id", "doc_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))

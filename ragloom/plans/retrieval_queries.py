@@ -357,13 +357,14 @@ def _f1_sql(g, p):
     return _F1.format(o=_OVER.format(g=g, p=p), g=g, p=p)
 
 
-_ANSWERS = """an AS (SELECT doc_id AS id, substr(b.text, 1, 160) AS g1, substr(d.text, 1, 60) AS g2, substr(d.text, 1, 120) AS pred FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
+_ANSWERS = """an AS (SELECT doc_id AS id, b.text AS g1, split_part(d.text, chr(10), 2) AS g2, d.text AS pred FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"""
 
 
 def answers(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 160).alias("g1"))
+    """Each document answers a benchmark row; golds are that row and the document's own second line."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("g1"))
     x = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % b.agg(F.count("*")).scalar()).join(b, "item_id")
-    return x.select(F.col("doc_id").alias("id"), F.array("g1", F.substring("text", 1, 60)).alias("golds"), F.substring("text", 1, 120).alias("pred"))
+    return x.select(F.col("doc_id").alias("id"), F.array("g1", F.split_part("text", F.lit("\n"), F.lit(2))).alias("golds"), F.col("text").alias("pred"))
 
 
 @query(f"""WITH {_ANSWERS}, n AS (SELECT id, {_NORM.format('g1')} AS g1, {_NORM.format('g2')} AS g2, {_NORM.format('pred')} AS p FROM an),

@@ -191,10 +191,26 @@ def reflow_paragraphs(spark, d):
     return _docs(spark, d).select("doc_id", text.reflow_paragraphs(F.col("text")).alias("text"))
 
 
-@query()
+def _rules_sql(x: str, rules) -> str:
+    for pattern, new in rules:
+        pattern, new = pattern.replace(r"\uFF0E", "\uff0e").replace(r"\u3002", "\u3002"), new.replace("$", "\\")
+        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+_HEADINGS = ("Section-1.2. ", "第三章 第1节：", "3.4.2，", "12、", "(4) ", "二.3 ", "十、", "（七） ", "一 ", "Plain ")
+
+
+@query(f"""WITH h AS (SELECT doc_id, CASE doc_id % 10 {" ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(_HEADINGS))} END || text AS title,
+    '  ## Head' || chr(10) || text || ' see Section-2.1 there' || chr(10) || '# Next' || chr(10) || chr(10) || chr(10) || text AS contents, text FROM documents)
+  SELECT doc_id, {_rules_sql('title', [(p, '') for p in text.TITLE_RULES])} AS title, {_rules_sql('contents', text.CONTENT_RULES)} AS contents,
+    text || ' [' || least(3, doc_id) || ']' || CASE WHEN doc_id <> 3 THEN '[' || greatest(3, doc_id) || ']' ELSE '' END || ' y' AS cited FROM h""")
 def clean_titles(spark, d):
-    i = F.col("doc_id").cast("string")
-    return _docs(spark, d).select("doc_id", text.clean_title(F.concat(F.lit("## 1.2 "), F.col("text"))).alias("title"), text.clean_generated(F.concat(F.lit("##Head\n"), F.col("text"), F.lit(" (see section 2.1)"))).alias("contents"), text.rewrite_citations(F.concat(F.lit("x \\cite{textid3, textid"), i, F.lit("} y"))).alias("cited"))
+    i, t = F.col("doc_id"), F.col("text")
+    head = F.element_at(F.array(*map(F.lit, _HEADINGS)), (i % 10 + 1).cast("int"))
+    contents = F.concat(F.lit("  ## Head\n"), t, F.lit(" see Section-2.1 there\n# Next\n\n\n"), t)
+    cited = F.concat(t, F.lit(" \\cite{textid3, textid"), i.cast("string"), F.lit("} y"))
+    return _docs(spark, d).select("doc_id", text.clean_title(F.concat(head, t)).alias("title"), text.clean_generated(contents).alias("contents"), text.rewrite_citations(cited).alias("cited"))
 
 
 @query()

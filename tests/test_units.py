@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragloom.functions import chunking, parsing, prompts, text
-from ragloom.operators import citations, curation, evaluation, retrieval
+from ragloom.operators import citations, curation, evaluation, graph, retrieval
 from ragloom.plans import loops
 from ragloom.sources import readers
 from ragloom.streaming import streams
@@ -27,7 +27,9 @@ def one(spark, column, value, kind="string"):
         (text.reflow_paragraphs, "It goes\n\non here!\n\nNew", "It goes on here!\n\nNew"),
         (text.unglue_steps, "done.STEP 2: go", "done.\nSTEP 2: go"),
         (text.rewrite_citations, "a \\cite{textid2, textid1} b", "a [1][2] b"),
-        (text.clean_title, "# 1.2 Start", "Start"),
+        (text.clean_title, "Section-1.2. Start", "Start"),
+        (text.clean_title, "第一章 第2节：开始", "开始"),
+        (text.clean_generated, "a\n  ## B\nc Section-2.1 d\n\n\n\ne", "a\n\n## B\n\nc  d\n\ne"),
         (parsing.boxed, "so \\boxed{a{b}c} end", "a{b}c"),
         (parsing.boxed, "\\boxed{\\text{yes}}", "yes"),
         (parsing.boxed, "plain", "plain"),
@@ -274,3 +276,71 @@ def test_whole_texts_in_queries(spark, tmp_path):
     assert titles[1] == body.strip()
     row = run["ircot_rounds"](spark, f"file://{tmp_path}").first()
     assert row.question == "filler " * 20 + "zebra" and int(row.so_far.split()[2]) > len(body)
+
+
+def test_containing(spark):
+    import random
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("abé中 \n") for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, ""]
+    needles = ["".join(r.choice("abé中 \n") for _ in range(r.randint(1, 40))) for _ in range(60)] + [t[a : a + n] for t in texts[:40] if t for a, n in ((3, 2), (1, 7), (0, 16), (5, 33))] + [None, "", "a"]
+    left = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, hay string")
+    got = sorted(tuple(x) for x in retrieval.containing(left, spark.createDataFrame([(n,) for n in needles], "needle string")).collect())
+    assert got == sorted((i, n) for i, t in enumerate(texts) if t is not None for n in {n for n in needles if n} if n in t)
+    assert retrieval.containing(left, spark.createDataFrame([("",)], "needle string")).count() == 0
+
+
+def test_dense_grid_equals_one_block(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, [float(x) for x in np.round(r.normal(size=4), 1)]) for i in range(200)], "chunk_id long, embedding array<float>")
+    q = v.where("chunk_id < 40").withColumnRenamed("chunk_id", "qid")
+    one, grid = (sorted(tuple(x) for x in retrieval.dense_top_k(v, q, 5, **k).collect()) for k in ({}, {"block": 7, "part": 30}))
+    assert one == grid and len(one) == 200
+
+
+def test_saved_index(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "a b b"), (2, None), (3, "b c")], "chunk_id long, contents string")
+    index = retrieval.bm25_index(chunks, text.ascii_tokens(F.col("contents")))
+    retrieval.save_index(index, f"{tmp_path}/i")
+    loaded = retrieval.load_index(spark, f"{tmp_path}/i")
+    assert tuple(loaded[2].first()) == (3, pytest.approx(5 / 3))
+    q = spark.createDataFrame([(1, "b c")], "qid long, question string")
+    a, b = ([tuple(x) for x in retrieval.bm25_search(i, q, text.ascii_tokens(F.col("question"))).collect()] for i in (index, loaded))
+    assert a == b and [x[1] for x in a] == [3, 1]
+
+
+def test_common_subsequence():
+    import random
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
+        return row[-1]
+
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randint(0, 30))] for _ in range(2))
+        assert evaluation.common_subsequence(a, b) == table(a, b)
+
+
+def test_extraction_run(spark):
+    c = spark.createDataFrame([(1, "d1", "x"), (2, "d2", "bad"), (3, "d2", "y")], "chunk_id long, doc_id string, contents string")
+
+    def model(pdf):
+        say = lambda t: "no" if t == "bad" else '{"entities": [{"title": "%s", "type": "P"}, {"title": "Z", "type": "P"}, {"title": "W", "type": "Q"}], "relations": [{"source": "%s", "target": "Z", "type": "in"}, {"source": "W", "target": "Z", "type": "in"}]}' % (t, t)
+        return pdf.assign(response=[say(t) for t in pdf["contents"]])
+
+    e, r, n = graph.extraction_run(c, model, ("P",), "kb")
+    assert {(x.entity_name, tuple(x.chunk_ids)) for x in e.collect()} == {("x", (1,)), ("y", (3,)), ("Z", (1, 3))}
+    assert {(x.source_id, x.target_id, x.strength, x.doc_id) for x in r.collect()} == {("x", "Z", 5, "d1"), ("y", "Z", 5, "d2")}
+    assert tuple(n.first()) == (2, 1, 4, 2)
+    old = spark.createDataFrame([("kb", "Z", "P", "old", [9]), ("kb2", "V", "P", None, [8])], "kb_id string, entity_name string, entity_type string, description string, chunk_ids array<long>"), r
+    full, _, _ = graph.extraction_run(c, model, ("P",), "kb", old)
+    assert {x.entity_name: x.chunk_ids for x in full.collect()} == {"x": [1], "y": [3], "Z": [1, 3], "V": [8]}
+    part, rels, n = graph.extraction_run(c, model, ("P",), "kb", old, spark.createDataFrame([("d1",)], "doc_id string"))
+    assert {x.entity_name: x.chunk_ids for x in part.collect()} == {"x": [1], "Z": [9, 1], "V": [8]} and rels.count() == 2 and n.first().chunk_count == 1
