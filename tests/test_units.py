@@ -53,6 +53,16 @@ def test_metrics(spark):
     assert evaluation.averages(m.where("id < 3")).first().avg_acc == 0.5
 
 
+def test_overlap_counts_copies(spark):
+    rows = [(1, ["a a b", None], "a b b c"), (2, ["x y x y"], "x y x"), (3, [None], "a"), (4, ["a"], ""), (5, ["a " * 200_000], "a " * 100_000)]
+    answers = spark.createDataFrame(rows, "id int, golds array<string>, pred string")
+    got = {r.id: r for r in answers.select("id", evaluation.token_f1(F.col("golds"), F.col("pred")).alias("f1"), evaluation.rouge_n(F.col("golds"), F.col("pred"), 2).alias("r2")).collect()}
+    assert got[1].f1 == pytest.approx(4 / 7) and got[1].r2 == pytest.approx(2 / 5)
+    assert got[2].f1 == pytest.approx(6 / 7) and got[2].r2 == pytest.approx(4 / 5)
+    assert (got[3].f1, got[3].r2, got[4].f1, got[4].r2) == (0, 0, 0, 0)
+    assert got[5].f1 == pytest.approx(2 / 3)
+
+
 def test_ranking(spark):
     q = spark.createDataFrame([(1,), (2,), (3,)], "qid int")
     gold = spark.createDataFrame([(1, "a"), (2, "b")], "qid int, chunk_id string")
