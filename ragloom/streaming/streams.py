@@ -29,21 +29,53 @@ def read_version(spark: SparkSession, path: str, schema, version: int | None = N
     return spark.createDataFrame([], schema) if v < 0 else spark.read.schema(schema).parquet(f"{path}/v={v}")
 
 
-def ingest_stream(documents: DataFrame, path: str, checkpoint: str, derive: Callable[[DataFrame], dict[str, DataFrame]], schemas: dict[str, str]) -> StreamingQuery:
+#: Buckets of a derived table of U1: a batch rewrites those its documents fall into. A table keeps the number it began with.
+BUCKETS = 64
+_BUCKET = "_bucket"
+
+
+def _places(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
+    """Bucket -> version that holds its rows; at most one entry for each bucket."""
+    rows = read_version(spark, f"{path}/places", f"{_BUCKET} int, version long", version)
+    return {r[0]: r[1] for r in rows.collect()}
+
+
+def read_derived(spark: SparkSession, path: str, schema: str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """A derived table of U1 as of ``version`` (the newest by default), all of it or some of its buckets."""
+    at = [f"{path}/v={v}/{_BUCKET}={b}" for b, v in sorted(_places(spark, path, version).items()) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*at) if at else spark.createDataFrame([], schema)
+
+
+def _replace_buckets(spark: SparkSession, path: str, schema: str, version: int, changed: DataFrame, rows: DataFrame, n: int) -> None:
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
+    before = min(current_version(spark, f"{path}/places"), version - 1)
+    touched = {r[0] for r in changed.select(bucket).distinct().collect()}  # at most n numbers
+    new = replace_documents(read_derived(spark, path, schema, before, touched), changed, rows).withColumn(_BUCKET, bucket)
+    new.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/v={version}")
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    folder = kind(f"{path}/v={version}")
+    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    kept = {b: v for b, v in _places(spark, path, before).items() if b not in touched}
+    kept |= {int(x.rsplit("=", 1)[1]): version for x in names if x.startswith(f"{_BUCKET}=")}  # a bucket left empty has no folder
+    places = spark.createDataFrame(list(kept.items()), f"{_BUCKET} int, version long")
+    places.coalesce(1).write.mode("overwrite").parquet(f"{path}/places/v={version}")
+
+
+def ingest_stream(
+    documents: DataFrame, path: str, checkpoint: str, derive: Callable[[DataFrame], dict[str, DataFrame]], schemas: dict[str, str], buckets: int = BUCKETS
+) -> StreamingQuery:
     """Each batch of changed documents replaces their rows in every derived table.
 
-    Batch ``n`` reads version ``n - 1`` and writes version ``n`` whole, so a repeated batch gives the same tables; a
-    version counts once its success mark is there.
+    A table is cut into ``buckets`` by document. Batch ``n`` reads the buckets of its documents as of batch ``n - 1``,
+    writes them under version ``n``, then a table of the version that holds each bucket; the batch counts once that
+    table is complete, so a repeated batch gives the same tables. Read them with :func:`read_derived`.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         changed = batch.select("doc_id").distinct()
         for name, rows in derive(batch).items():
-            at = f"{path}/{name}"
-            before = min(current_version(spark, at), batch_id - 1)
-            old = read_version(spark, at, schemas[name], before)
-            replace_documents(old, changed, rows).write.mode("overwrite").parquet(f"{at}/v={batch_id}")
+            _replace_buckets(spark, f"{path}/{name}", schemas[name], batch_id, changed, rows, buckets)
 
     return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -209,12 +209,18 @@ def test_ingest_stream(spark, tmp_path):
     def run():
         s = spark.readStream.schema("doc_id long, text string").parquet(src)
         streams.ingest_stream(s, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", streams.chunk_tables, streams.CHUNK_SCHEMAS).awaitTermination()
-        return {(r.doc_id, r.chunk) for r in streams.read_version(spark, f"file://{tmp_path}/out/chunks", streams.CHUNK_SCHEMAS["chunks"]).collect()}
+        return {(r.doc_id, r.chunk) for r in streams.read_derived(spark, f"file://{tmp_path}/out/chunks", streams.CHUNK_SCHEMAS["chunks"]).collect()}
 
     assert run() == {(1, "one two"), (2, "three")}
     docs([(2, "four")]).coalesce(1).write.mode("append").parquet(src)
     assert run() == {(1, "one two"), (2, "four")}
     assert run() == {(1, "one two"), (2, "four")}
+    files = {f.split("/chunks/")[1].split("/")[0] for f in streams.read_derived(spark, f"file://{tmp_path}/out/chunks", streams.CHUNK_SCHEMAS["chunks"]).inputFiles()}
+    assert files == {"v=0", "v=1"}  # the bucket of document 1 wasn't written again
+    docs([(2, "")]).coalesce(1).write.mode("append").parquet(src)
+    assert run() == {(1, "one two")}
+    docs([(2, "five")]).coalesce(1).write.mode("append").parquet(src)
+    assert run() == {(1, "one two"), (2, "five")}
 
 
 def test_stream_mining(spark, tmp_path):
