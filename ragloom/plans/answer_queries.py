@@ -26,19 +26,15 @@ def _talk(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _head(n):
-    return F.substring("text", 1, n)
-
-
 # --- parsing and routing ---------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, turn % 3 AS k, trim(substr(text, 1, 30), {_TRIM}) AS h, text FROM conversations)
+@query(f"""WITH x AS (SELECT conv_id, turn, turn % 3 AS k, trim(text, {_TRIM}) AS h, text FROM conversations)
   SELECT conv_id, turn, CASE k WHEN 0 THEN 'There is no query.' WHEN 1 THEN CASE WHEN h LIKE '%?' THEN h ELSE h || '?' END ELSE 'b?' END AS search_tag,
     CASE k WHEN 0 THEN '' WHEN 1 THEN trim(regexp_replace(h, '\\s+', ' ', 'g'), ' "''') ELSE 'c d' END AS search_query, CASE k WHEN 0 THEN trim(text, {_TRIM}) ELSE 'why' END AS reason,
     CASE k WHEN 2 THEN '**Final Information**' || chr(10) || h ELSE '' END AS information, CASE k WHEN 1 THEN h ELSE trim(text, {_TRIM}) END AS answer, CASE k WHEN 1 THEN h WHEN 0 THEN 'x{{y}} z' ELSE '3' END AS boxed FROM x""")
 def parse_responses(spark, d):
-    k, h = F.col("turn") % 3, _head(30)
+    k, h = F.col("turn") % 3, F.col("text")
     x = _talk(spark, d)
     tag = F.when(k == 0, F.lit("none")).when(k == 1, F.concat(F.lit("a <search>x</search> <search>"), h, F.lit("</search>"))).otherwise("<search>a? <search>b?")
     o1 = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("why<|begin_search_query|> "), h, F.lit("<|end_search_query|>"))).otherwise("why <|begin_search_query|>\"c\n d'<|end_search_query|>")
@@ -65,12 +61,12 @@ def route_states(spark, d):
     return _talk(spark, d).select("conv_id", "turn", *[f(F.col("turn").cast("string") if n == "route1" else t).alias(n) for n, f in ps.ROUTES.items()])
 
 
-@query(f"""WITH b AS (SELECT conv_id, turn, trim(substr(text, 1, 60), {_TRIM}) AS h, turn % 2 = 0 AS e FROM conversations)
+@query(f"""WITH b AS (SELECT conv_id, turn, trim(text, {_TRIM}) AS h, turn % 2 = 0 AS e FROM conversations)
   SELECT conv_id, turn, CAST(CASE WHEN e THEN 2 ELSE 0 END AS INTEGER) AS n_sections, CASE WHEN e THEN h ELSE '' END AS first, CASE WHEN e THEN h ELSE 'raw' END AS composed FROM b WHERE h <> ''""")
 def excerpt_sections(spark, d):
     from ragloom.functions.text import strip
 
-    h = strip(_head(60))
+    h = strip(F.col("text"))
     t = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<<<EXCERPT 1>>>\nold\n<<<EXCERPT 2>>>\n[跳过]\n<<< EXCERPT 1 >>>\n"), h)).otherwise(" raw ")
     x = _talk(spark, d).where(h != "").withColumn("m", ps.excerpt_sections(t))
     return x.select("conv_id", "turn", F.size("m").alias("n_sections"), F.coalesce(F.try_element_at("m", F.lit(1)), F.lit("")).alias("first"), ps.compose_answer(t, F.col("m"), F.lit(2)).alias("composed"))
@@ -329,12 +325,12 @@ def round_robin_sample(spark, d):
 def _items(spark, d):
     i = F.col("doc_id")
     return table(spark, d, "documents").select(
-        F.when(i % 5 != 0, (i % 90).cast("string")).otherwise("").alias("item_id"), F.lit("kb").alias("kb_id"), F.when(i % 7 != 0, F.substring("text", 1, 20)).alias("query"), F.when(i % 2 == 0, F.array("source")).alias("relevant_chunk_ids"),
+        F.when(i % 5 != 0, (i % 90).cast("string")).otherwise("").alias("item_id"), F.lit("kb").alias("kb_id"), F.when(i % 7 != 0, F.col("text")).alias("query"), F.when(i % 2 == 0, F.array("source")).alias("relevant_chunk_ids"),
         F.when(i % 3 == 0, "gold").alias("gold_answer"), F.lit(None).cast("array<string>").alias("tags"), F.when(i % 11 == 0, "other").otherwise("manual").alias("source"), "doc_id",
     )
 
 
-@query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'empty id' END, CASE WHEN doc_id % 7 = 0 OR trim(substr(text, 1, 20)) = '' THEN 'empty query' END, CASE WHEN doc_id % 2 <> 0 AND doc_id % 3 <> 0 THEN 'no gold' END, CASE WHEN doc_id % 11 = 0 THEN 'bad source' END) AS errors FROM documents""")
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 5 = 0 THEN 'empty id' END, CASE WHEN doc_id % 7 = 0 OR trim(text) = '' THEN 'empty query' END, CASE WHEN doc_id % 2 <> 0 AND doc_id % 3 <> 0 THEN 'no gold' END, CASE WHEN doc_id % 11 = 0 THEN 'bad source' END) AS errors FROM documents""")
 def item_validation(spark, d):
     return cu.validate_items(_items(spark, d)).select("doc_id", F.array_join("errors", ",").alias("errors"))
 

@@ -61,7 +61,7 @@ def split_images(spark, d):
 @query("""SELECT page_id, 'one=a/' || page_id || '.png|=b.png' AS images FROM pages""")
 def markdown_images(spark, d):
     p = F.col("page_id").cast("string")
-    md = F.concat(F.substring("html", 1, 50), F.lit("![one](a/"), p, F.lit(".png) ![](b.png) ![two](a/"), p, F.lit(".png)"))
+    md = F.concat(F.col("html"), F.lit("![one](a/"), p, F.lit(".png) ![](b.png) ![two](a/"), p, F.lit(".png)"))
     x = table(spark, d, "pages").select("page_id", text.markdown_images(md).alias("m"))
     return x.select("page_id", F.array_join(F.transform("m", lambda s: F.concat(s["alt"], F.lit("="), s["path"])), "|").alias("images"))
 
@@ -95,7 +95,7 @@ def index_text(spark, d):
 @query("""SELECT doc_id, 'a' || doc_id || ',b' AS keys, true AS same, doc_id % 2 = 0 AS wide_same FROM documents WHERE length(text) > 0""")
 def citation_keys(spark, d):
     i = F.col("doc_id").cast("string")
-    t = F.concat(F.substring("text", 1, 40), F.lit(" \\cite{b, a"), i, F.lit("} \\citep{#1,*,c} \\nocite{c}"))
+    t = F.concat(F.col("text"), F.lit(" \\cite{b, a"), i, F.lit("} \\citep{#1,*,c} \\nocite{c}"))
     wide = F.when(F.col("doc_id") % 2 == 0, "电池更换步骤 1.").otherwise("battery")
     x = _docs(spark, d).where(F.length("text") > 0)
     return x.select("doc_id", F.array_join(text.citation_keys(t), ",").alias("keys"), text.same_language(F.col("text"), F.lit("write")).alias("same"), text.same_language(wide, F.lit("写")).alias("wide_same"))
