@@ -43,7 +43,8 @@ def bm25_index(chunks: DataFrame, tokens: Column, stop_words: tuple[str, ...] =
     terms = t.select("chunk_id", F.size("ts").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "ts")).alias("term"))
     if only is not None:
         terms = terms.join(only.select("term").distinct().withColumn("_wanted", F.lit(True)), "term", "left").where("_wanted or term is null")
-    return _index_of(materialize(terms.groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf")), "postings"))
+    # a chunk's postings are written together, so that a search adds up most of a chunk's score before it shuffles
+    return _index_of(materialize(terms.repartition("chunk_id").groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf")), "postings"))
 
 
 def _index_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
