@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, packing, personal_data, quality_classifier, quality_rules, simhash, substrings, wordpiece
+from . import bpe, chat, embeddings, lexical_ranking, packing, personal_data, quality_classifier, quality_rules, sharding, simhash, spelling, substrings, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +58,26 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"))
+    text = F.coalesce("document.text", F.lit(""))
+    return out.select("document.doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_ranking.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op9_embedding_near_dedup, op10_suffix_array_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_near_dedup, op3_bpe, op4_pii, op5_quality_classifier, op6_chat_formatting, op7_best_fit_packing, op8_token_counts, op9_embedding_near_dedup, op10_suffix_array_dedup, op11_spelling_variants, op12_sharding, op13_ranked_search, pipeline)}
 
 
 OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -74,7 +89,20 @@ OP9_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE
   SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) LEFT JOIN n ON a = vec_id"""
 
 
+_FOLDED = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS ts FROM documents),
+  total AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+  item AS (SELECT DISTINCT item_id, unnest({_FOLDED}) AS term FROM benchmark),
+  word AS (SELECT r, unnest(ts) AS term FROM d),
+  held AS (SELECT r, term, count(*) AS tf FROM word WHERE term IN (SELECT term FROM item) GROUP BY r, term),
+  weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, total GROUP BY term, n_docs),
+  part AS (SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(ts) * n_docs) // n_terms))) AS gain FROM held JOIN weight USING (term) JOIN d USING (r), total),
+  scored AS (SELECT item_id, r, CAST(sum(gain) AS BIGINT) AS score FROM item JOIN part USING (term) GROUP BY item_id, r),
+  ranked AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored JOIN d USING (r) WHERE score > 0)
+  SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the other operators whole, or is too slow on whole tables; tests/llm compares each with a brute-force version."""
-    found = {"op9_embedding_near_dedup": OP9_SQL}
+    found = {"op9_embedding_near_dedup": OP9_SQL, "op13_ranked_search": OP13_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
