@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +30,17 @@ def window_starts(n: Column, size: int, overlap: int) -> Column:
 
 def char_windows(docs: DataFrame, size: int = 256, overlap: int = 64) -> DataFrame:
     """C1 by characters."""
+    step = size - overlap_of(size, overlap)
     text = F.coalesce("contents", F.lit(""))
-    out = docs.select("doc_id", "title", text.alias("contents"), F.posexplode(window_starts(F.length(text), size, overlap)).alias("no", "at"))
-    return out.select("doc_id", "title", "no", F.substring(F.col("contents"), F.col("at") + 1, F.lit(size)).alias("chunk"))
+    # blocks of one step, cut in a single pass; a window is a block with the beginnings of those that follow
+    n_windows = F.size(window_starts(F.length(text), size, overlap))
+    out = docs.select("doc_id", "title", F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % step), F.lit(0)).alias("blocks"), n_windows.alias("n"))
+    if size <= 2 * step:
+        after = F.concat(F.slice("blocks", 2, F.greatest(F.size("blocks"), F.lit(1))), F.array(F.lit("")))
+        windows = F.zip_with("blocks", after, lambda x, y: F.concat(x, F.substring(F.coalesce(y, F.lit("")), 1, size - step)))
+    else:
+        windows = F.transform("blocks", lambda _, k: F.substring(F.array_join(F.slice("blocks", k + 1, -(-size // step)), ""), 1, size))
+    return out.select("doc_id", "title", F.posexplode(F.slice(windows, F.lit(1), F.col("n"))).alias("no", "chunk"))
 
 
 def token_windows(docs: DataFrame, size: int = 256, overlap: int = 64) -> DataFrame:
@@ -42,47 +54,72 @@ def sentences(x: Column) -> Column:
     return F.filter(F.split(F.coalesce(x, F.lit("")), r"(?<=[.!?。！？\n])"), lambda s: strip(s) != "")
 
 
+def cuts(lengths: list[int], size: int, overlap: int = 0, least: int = 1) -> list[tuple[int, int]]:
+    """Greedy packing as (first, last) places: parts join while the length fits or there are fewer than ``least``; the next
+    chunk starts with the longest tail within ``overlap`` that isn't the whole chunk, and holds one new part at least.
+
+    Ends are found by binary search in prefix sums, so the work grows with the number of chunks.
+    """
+    if not lengths:
+        return []
+    sums, out, a, new = [0, *accumulate(lengths)], [], 0, 0
+    while True:
+        i = max(bisect_right(sums, sums[a] + size) - 1, a + least, new + 1)
+        if i >= len(lengths):
+            return [*out, (a, len(lengths) - 1)]
+        out.append((a, i - 1))
+        a, new = min(max(bisect_left(sums, sums[i] - overlap), a + 1), i), i
+
+
+def window_cuts(lengths: list[int], size: int, carry: int) -> list[tuple[int, int, bool]]:
+    """Windows as (first, last, whether the first was handed on): a window ends before the paragraph that would overfill it."""
+    if not lengths:
+        return []
+    sums, out, a, new, carried = [0, *accumulate(lengths)], [], 0, 0, False
+    while True:
+        i = bisect_right(sums, sums[a] + size) - 1
+        i = max(i + (i < len(lengths) and sums[i] == sums[a]), new + 1)
+        if i >= len(lengths):
+            return [*out, (a, len(lengths) - 1, carried)]
+        out.append((a, i - 1, carried))
+        carried = lengths[i - 1] <= carry
+        a, new = i - carried, i
+
+
 def _packed(parts: Column, size: int, overlap: int, least: int) -> Column:
-    """Greedy packing as (first, last) positions: parts join while the length fits; a chunk starts with the longest tail within ``overlap``."""
-    zero = F.lit(0)
-    state = F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("done"), zero.alias("a"), zero.alias("i"), zero.alias("n"))
-    lengths = F.transform(parts, F.length)
+    """Chunks of an array of parts, packed greedily."""
 
-    def step(s, n):
-        full = (s["n"] + n > size) & (s["i"] - s["a"] >= least)
-        back = F.aggregate(
-            F.reverse(F.slice(lengths, s["a"] + 2, F.greatest(s["i"] - s["a"] - 1, zero))),
-            F.struct(zero.alias("k"), zero.alias("n"), F.lit(True).alias("go")),
-            lambda t, m: F.when(t["go"] & (t["n"] + m <= overlap), F.struct((t["k"] + 1).alias("k"), (t["n"] + m).alias("n"), F.lit(True).alias("go"))).otherwise(F.struct(t["k"], t["n"], F.lit(False).alias("go"))),
-        )
-        cut = F.struct(F.array_append(s["done"], F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"))).alias("done"), (s["i"] - back["k"]).alias("a"), (s["i"] + 1).alias("i"), (back["n"] + n).alias("n"))
-        more = F.struct(s["done"].alias("done"), s["a"].alias("a"), (s["i"] + 1).alias("i"), (s["n"] + n).alias("n"))
-        return F.when(full, cut).otherwise(more)
+    @F.arrow_udf("array<string>")
+    def pack(column: pa.Array) -> pa.Array:
+        out = []
+        for row in column:
+            words = row.as_py() or []
+            out.append(["".join(words[a : b + 1]) for a, b in cuts([len(w) for w in words], size, overlap, least)])
+        return pa.array(out, pa.list_(pa.string()))
 
-    return F.aggregate(lengths, state, step, lambda s: F.when(s["i"] > s["a"], F.array_append(s["done"], F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b")))).otherwise(s["done"]))
+    return pack(parts)
+
+
+def _numbered(docs: DataFrame, chunks: Column) -> DataFrame:
+    return docs.select("doc_id", "title", F.posexplode(chunks).alias("no", "chunk")).withColumn("chunk", strip(F.col("chunk")))
 
 
 def sentence_chunks(docs: DataFrame, size: int = 256, overlap: int = 0, min_sentences: int = 1) -> DataFrame:
     """Whole sentences up to ``size`` characters, never fewer than ``min_sentences``."""
-    out = docs.select("doc_id", "title", sentences(F.col("contents")).alias("parts"))
-    out = out.withColumn("cuts", _packed(F.col("parts"), size, overlap, min_sentences)).select("*", F.posexplode("cuts").alias("no", "cut"))
-    return out.select("doc_id", "title", "no", strip(F.array_join(F.slice("parts", F.col("cut.a") + 1, F.col("cut.b") - F.col("cut.a") + 1), "")).alias("chunk"))
+    return _numbered(docs, _packed(sentences(F.col("contents")), size, overlap, min_sentences))
 
 
 def recursive_chunks(docs: DataFrame, size: int = 256, min_chars: int = 12) -> DataFrame:
     """Split at paragraphs, then sentences, words and characters where parts are longer than ``size``; small parts are joined again."""
-    parts = F.array(F.coalesce("contents", F.lit("")))
-    for border in (r"(?<=\n\n)", r"(?<=[.!?。！？\n])", r"(?<=\s)"):
-        parts = F.flatten(F.transform(parts, lambda p, b=border: F.when(F.length(p) > size, F.split(p, b)).otherwise(F.array(p))))
-    parts = F.flatten(
-        F.transform(
-            parts,
-            lambda p: F.when(F.length(p) > size, F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / F.lit(size)).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))).otherwise(F.array(p)),
-        )
-    )
-    out = docs.select("doc_id", "title", F.filter(parts, lambda p: p != "").alias("parts"))
-    out = out.withColumn("cuts", _packed(F.col("parts"), size, 0, 1)).select("*", F.posexplode("cuts").alias("no", "cut"))
-    out = out.select("doc_id", "title", "no", strip(F.array_join(F.slice("parts", F.col("cut.a") + 1, F.col("cut.b") - F.col("cut.a") + 1), "")).alias("chunk"))
+
+    def split_long(parts: Column, split) -> Column:
+        return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > size, split(p)).otherwise(F.array(p))))
+
+    parts = split_long(F.array(F.coalesce("contents", F.lit(""))), lambda p: F.split(p, r"(?<=\n\n)"))
+    parts = split_long(parts, lambda p: F.split(p, r"(?<=[.!?。！？\n])"))
+    parts = split_long(parts, lambda p: F.split(p, r"(?<=\s)"))
+    parts = split_long(parts, lambda p: F.regexp_extract_all(p, F.lit("(?s).{1,%d}" % size), F.lit(0)))
+    out = _numbered(docs, _packed(F.filter(parts, lambda p: p != ""), size, 0, 1))
     return out.where(F.length("chunk") >= F.when(F.col("no") == 0, 1).otherwise(min_chars))
 
 
@@ -117,25 +154,20 @@ def lines_of(docs: DataFrame, text: str = "contents") -> DataFrame:
 def sliding_windows(docs: DataFrame, size: int = WINDOW_CHARS, carry: int = CARRY_CHARS) -> DataFrame:
     """``(doc_id, parts array<struct<text, imgs>>)``: paragraphs join up to ``size`` characters; a window that ends hands its last
     paragraph on, text only, if that is short; a longer paragraph stays whole."""
-    zero = F.lit(0)
-    text_len = F.transform("parts", lambda p: F.length(p["text"]))
-    state = F.struct(F.array().cast("array<struct<a:int,b:int,carried:boolean>>").alias("done"), zero.alias("a"), zero.alias("i"), zero.alias("n"), F.lit(False).alias("c"))
-
-    def step(s, n):
-        last = F.get(text_len, s["i"] - 1)
-        keep = (last <= carry) & (s["i"] - s["a"] > 0)
-        cut = F.struct(
-            F.array_append(s["done"], F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"), s["c"].alias("carried"))).alias("done"),
-            F.when(keep, s["i"] - 1).otherwise(s["i"]).alias("a"), (s["i"] + 1).alias("i"), (F.when(keep, last).otherwise(0) + n).alias("n"), keep.alias("c"),
-        )
-        more = F.struct(s["done"].alias("done"), s["a"].alias("a"), (s["i"] + 1).alias("i"), (s["n"] + n).alias("n"), s["c"].alias("c"))
-        return F.when((s["n"] > 0) & (s["n"] + n > size), cut).otherwise(more)
-
-    cuts = F.aggregate(text_len, state, step, lambda s: F.when(s["i"] > s["a"], F.array_append(s["done"], F.struct(s["a"].alias("a"), (s["i"] - 1).alias("b"), s["c"].alias("carried")))).otherwise(s["done"]))
-    out = docs.select("doc_id", "parts", F.posexplode(cuts).alias("no", "cut"))
-    inside = F.slice("parts", F.col("cut.a") + 1, F.col("cut.b") - F.col("cut.a") + 1)
-    own = F.slice("parts", F.col("cut.a") + 1 + F.col("cut.carried").cast("int"), F.greatest(F.col("cut.b") - F.col("cut.a") + 1 - F.col("cut.carried").cast("int"), zero))
-    return out.select("doc_id", "no", F.array_join(F.transform(inside, lambda p: p["text"]), "\n").alias("chunk"), F.flatten(F.transform(own, lambda p: p["imgs"])).alias("images"))
+
+    @F.arrow_udf("array<struct<chunk: string, images: array<string>>>")
+    def windows(column: pa.Array) -> pa.Array:
+        out = []
+        for row in column:
+            parts = row.as_py() or []
+            texts = [p["text"] or "" for p in parts]
+            out.append([
+                {"chunk": "\n".join(texts[a : b + 1]), "images": [x for p in parts[a + carried : b + 1] for x in p["imgs"] or []]}
+                for a, b, carried in window_cuts([len(t) for t in texts], size, carry)
+            ])
+        return pa.array(out, pa.list_(pa.struct([("chunk", pa.string()), ("images", pa.list_(pa.string()))])))
+
+    return docs.select("doc_id", F.posexplode(windows("parts")).alias("no", "w")).select("doc_id", "no", "w.chunk", "w.images")
 
 
 def attach_images(lines: DataFrame) -> DataFrame:

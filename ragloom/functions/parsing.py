@@ -123,30 +123,6 @@ def refusal_text(x: Column, plain: Column) -> Column:
     return F.when(F.size(lines) > 0, F.array_join(lines, "\n\n")).when(strip(plain) != "", strip(plain)).otherwise(F.substring(strip(x), 1, 4000))
 
 
-def generated_questions(x: Column) -> Column:
-    """Questions of the first JSON object that have text."""
-    kind = "struct<questions: array<struct<query: string, gold_answer: string>>>"
-    parsed = F.from_json(F.regexp_extract(x, r"(\{[\s\S]*\})", 1), kind)
-    return F.filter(parsed["questions"], lambda q: strip(F.coalesce(q["query"], F.lit(""))) != "")
-
-
-def thought_action(x: Column) -> Column:
-    """struct(thought, action, score): -1 without a thought, -2 without a readable action."""
-    thought = strip(F.regexp_extract(x, r"(?s)<thought>(.*?)</thought>", 1))
-    action = F.from_json(F.regexp_extract(x, r"(?s)<action>(.*?)</action>", 1), "struct<name: string, query: array<string>>")
-    score = F.when(thought == "", -1).otherwise(0) + F.when(action["name"].isNull(), -2).otherwise(0)
-    return F.struct(thought.alias("thought"), action["name"].alias("action"), score.alias("score"))
-
-
-def valid_action(name: Column, queries: Column, n_titles: Column, content: Column, cites: Column, known: Column) -> Column:
-    """By kind: 1 to 5 queries without ``#``, 3 to 12 titles for an outline and 2 to 7 to extend, long texts with at most 12 known cites."""
-    search = F.size(queries).between(1, 5) & F.forall(queries, lambda q: ~q.contains("#"))
-    write = (F.length(content) > 50) & (F.size(cites) <= 12) & (F.size(F.array_except(cites, known)) == 0)
-    return F.coalesce(
-        F.when(name == "search", search).when(name == "init", n_titles.between(3, 12)).when(name == "extend", n_titles.between(2, 7)).when(name == "write", write), F.lit(False)
-    )
-
-
 def _any(x: Column, tokens) -> Column:
     out = F.lit(False)
     for t in tokens:

@@ -165,17 +165,18 @@ def unglue_steps(x: Column) -> Column:
     return F.regexp_replace(x, r"(?i)([a-zA-Z0-9.);}\]])(\s*)(STEP\s+\d+\s*:)", "$1$2\n$3")
 
 
-# Fixed values (T19): what is removed from titles and changed in contents, in this order.
+# Fixed values (T19): what is removed from titles and changed in contents, in this order. The first one takes a single
+# digit, bracket or dot after "section"; letters, digits and blanks are those of Unicode.
 TITLE_RULES = (
-    r"(?i)^\s*section[-\s]*[\d.\uFF0E\u3002]*\s*",
-    r"^(?:第\s*[0-9一二三四五六七八九十百千]+\s*(?:章|节|部(?:分)?|篇|卷)\s*[-—:：\.、，,]?\s*)+",
-    r"^\s*\d+(?:[.\uFF0E\u3002]\d+)+[\.、，,]?\s*",
-    r"^\s*\d+[.、，,]\s*",
-    r"[\(（]\d+[\)）]\s*",
-    r"^\s*[一二三四五六七八九十]+(?:[.\uFF0E\u3002]\d+)+[\.、，,]?\s*",
-    r"^\s*[一二三四五六七八九十]+[.、，,]\s*",
-    r"[\(（][一二三四五六七八九十]+[\)）]\s*",
-    r"^[一二三四五六七八九十]+\s+",
+    r"(?iU)^\s*section[-\s]*[\d\[.\uFF0E\u3002]\]*\s*",
+    r"(?U)^(?:第\s*[0-9一二三四五六七八九十百千]+\s*(?:章|节|部(?:分)?|篇|卷)\s*[-—:：\.、，,]?\s*)+",
+    r"(?U)^\s*\d+(?:[.\uFF0E\u3002]\d+)+[\.、，,]?\s*",
+    r"(?U)^\s*\d+[.、，,]\s*",
+    r"(?U)[\(（]\d+[\)）]\s*",
+    r"(?U)^\s*[一二三四五六七八九十]+(?:[.\uFF0E\u3002]\d+)+[\.、，,]?\s*",
+    r"(?U)^\s*[一二三四五六七八九十]+[.、，,]\s*",
+    r"(?U)[\(（][一二三四五六七八九十]+[\)）]\s*",
+    r"(?U)^[一二三四五六七八九十]+\s+",
 )
 CONTENT_RULES = (
     (r"\bSection-(\d+(?:\.\d+)*)\b", ""),
@@ -187,7 +188,7 @@ CONTENT_RULES = (
 
 
 def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def clean_title(x: Column) -> Column:

@@ -35,7 +35,7 @@ def round_robin_sample(chunks: DataFrame, n: int, seed: int = 42, order=None) ->
 
 def generate_candidates(chunks: DataFrame, generate, per_chunk: int = 2) -> DataFrame:
     """``generate(pdf with chunk_id, doc_id, contents) -> pdf with chunk_id, response`` and X15; at most ``per_chunk`` questions each."""
-    from ragloom.functions.parsing import generated_questions
+    from ragloom.functions.actions import generated_questions
 
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     said = chunks.select("chunk_id", "doc_id", "contents").mapInPandas(lambda it: (generate(p)[["chunk_id", "response"]] for p in it), f"chunk_id {kind}, response string")

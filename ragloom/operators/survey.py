@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragloom.functions import actions
 from ragloom.functions.prompts import render
 
 MAX_STEPS, MAX_EXTENDS = 140, 12
@@ -17,17 +18,36 @@ def initial_state(questions: DataFrame) -> DataFrame:
     return questions.withColumns({"state": F.lit("search"), "cursor": F.lit("outline"), "step": F.lit(0), "extend_time": F.lit(0), "extend_result": F.lit("")})
 
 
-def next_state(state: Column, parsed_ok: Column, has_outline: Column, next_open: Column, extends: Column, extend_nothing: Column, steps: Column) -> Column:
-    """V2: search -> outline or write, outline -> search, write -> search at the next open node or a plan to extend, extend -> search or done;
-    an unreadable answer keeps its state; at the cap of steps everything is done."""
+# Names of states and of what an extension came to.
+SEARCH, INIT, WRITE, EXTEND, DONE = "search", "analyst-init_plan", "write", "analyst-extend_plan", "done"
+EXTENDED, NOP, RETRY = "extended", "nop", "retry"
+
+
+def next_state(state: Column, cursor: Column, extends: Column, result: Column, step: Column, parsed: Column) -> Column:
+    """V2: ``struct(state, extend_time, step)`` after a step.
+
+    A search goes on to the first plan where the cursor is the outline, else to writing; a first plan is asked for until
+    the cursor has left the outline; after writing the next open node is searched, and without one the plan is extended,
+    which counts an attempt; an extension leads to a search, to the end (``nop``), or to another try. An unreadable answer (``parsed`` false)
+    keeps its state; an unreadable extension counts an attempt. At the caps of steps and of attempts everything is done.
+    """
+    may_extend = F.when(extends < MAX_EXTENDS, EXTEND).otherwise(DONE)
+    at_outline = cursor == "outline"
+    failed = F.when(state == EXTEND, may_extend).otherwise(state)
     moved = (
-        F.when(state == "search", F.when(has_outline, "write").otherwise("init"))
-        .when(state == "init", "search")
-        .when(state == "write", F.when(next_open.isNotNull(), "search").when(extends < MAX_EXTENDS, "extend").otherwise("done"))
-        .when(state == "extend", F.when(extend_nothing, "done").otherwise("search"))
-        .otherwise("done")
+        F.when(state == SEARCH, F.when(at_outline, INIT).when(cursor.isNotNull(), WRITE).otherwise(DONE))
+        .when(state == INIT, F.when(~at_outline, SEARCH).otherwise(INIT))
+        .when(state == WRITE, F.when(cursor.isNotNull(), SEARCH).otherwise(may_extend))
+        .when(state == EXTEND, F.when(result == EXTENDED, SEARCH).when(result == NOP, DONE).otherwise(may_extend))
+        .otherwise(DONE)
+    )
+    parsed, capped = F.coalesce(parsed, F.lit(True)), step >= MAX_STEPS
+    counts = F.when(parsed, (state == WRITE) & cursor.isNull() & (extends < MAX_EXTENDS)).otherwise(state == EXTEND)
+    return F.struct(
+        F.when(capped, DONE).when(parsed, moved).otherwise(failed).alias("state"),
+        (extends + F.when(~capped & counts, 1).otherwise(0)).alias("extend_time"),
+        (step + 1).alias("step"),
     )
-    return F.when(steps >= MAX_STEPS, "done").when(~parsed_ok, state).otherwise(moved)
 
 
 def position(i: Column, j: Column, k: Column) -> Column:
@@ -42,6 +62,45 @@ def update_outline(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return nodes.join(rows.select("qid", "i", "j", "k"), ["qid", "i", "j", "k"], "left_anti").unionByName(rows)
 
 
+def judge_actions(answers: DataFrame, nodes: DataFrame, hard: bool = True, allowed: tuple[str, ...] = actions.ACTIONS) -> DataFrame:
+    """``answers (answer_id, qid, response, cursor, instruction, known)`` with ``thought``, ``action`` (VARIANT), ``valid`` and ``score``.
+
+    Where an ``extend-plan`` points to is looked up in the outline table: the node must be there and have none below it. A
+    question without nodes has no outline yet, and any position may stand.
+    """
+    a = answers.withColumns({"thought": actions.thought(F.col("response")), "action": actions.action(F.col("response"))})
+    at = F.try_variant_get("action", "$.position", "string")
+    part = lambda n: F.regexp_extract(at, r"^[^-]*-(\d+)(?:\.(\d+))?(?:\.(\d+))?$", n)
+    level = [F.when(part(n) != "", part(n).try_cast("int")).otherwise(0).alias(c) for n, c in ((1, "i"), (2, "j"), (3, "k"))]
+    a = a.select("*", *level)
+    below = nodes.select("qid", "i", F.when(F.col("k") > 0, F.col("j")).otherwise(0).alias("j"), F.lit(0).alias("k")).where("j > 0").unionByName(
+        nodes.where("j > 0").select("qid", "i", F.lit(0).alias("j"), F.lit(0).alias("k"))
+    ).distinct().withColumn("_below", F.lit(True))
+    place = nodes.select("qid", "i", "j", "k", F.lit(True).alias("_there")).distinct().join(below, ["qid", "i", "j", "k"], "left")
+    outlined = nodes.select("qid", F.lit(True).alias("_outlined")).distinct()
+    x = a.join(outlined, "qid", "left").join(place, ["qid", "i", "j", "k"], "left")
+    is_open = F.when(F.col("_outlined"), F.coalesce("_there", F.lit(False)) & F.col("_below").isNull())
+    x = x.withColumn("valid", actions.valid_action(F.col("action"), F.col("instruction"), F.col("cursor"), is_open, F.col("known"), hard, allowed))
+    return x.withColumn("score", actions.step_score(F.col("thought").isNotNull(), F.col("valid"))).drop("i", "j", "k", "_outlined", "_there", "_below")
+
+
+def planned_nodes(judged: DataFrame) -> DataFrame:
+    """The outline rows that valid plans and extensions add, ``(qid, i, j, k, title, plan, content)``."""
+    a = F.col("action")
+    at = F.split(F.element_at(F.split(F.try_variant_get(a, "$.position", "string"), "-"), -1), r"\.")
+    up = [F.coalesce(F.try_element_at(at, F.lit(n)).try_cast("int"), F.lit(0)) for n in (1, 2)]
+    x = judged.where("valid").select("qid", F.try_variant_get(a, "$.name", "string").alias("name"), *[u.alias(f"up{n}") for n, u in enumerate(up)],
+        F.posexplode(F.coalesce(F.try_variant_get(a, "$.sections", "array<variant>"), F.try_variant_get(a, "$.subsections", "array<variant>"))).alias("no", "part"))
+    no = F.col("no") + 1
+    return x.select(
+        "qid",
+        F.when(F.col("name") == "init-plan", no).otherwise(F.col("up0")).alias("i"),
+        F.when(F.col("name") == "init-plan", 0).when(F.col("up1") == 0, no).otherwise(F.col("up1")).alias("j"),
+        F.when((F.col("name") == "init-plan") | (F.col("up1") == 0), 0).otherwise(no).alias("k"),
+        F.try_variant_get("part", "$.title", "string").alias("title"), F.try_variant_get("part", "$.plan", "string").alias("plan"), F.lit(None).cast("string").alias("content"),
+    )
+
+
 def cursor(nodes: DataFrame) -> DataFrame:
     """V4: first node in reading order without content, last one with it, and how many are done."""
     pos = F.struct("i", "j", "k")

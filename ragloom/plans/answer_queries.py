@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import pandas as pd
@@ -14,6 +15,7 @@ from ragloom.operators import catalog as ct
 from ragloom.operators import citations as ci
 from ragloom.operators import curation as cu
 from ragloom.operators import graph as gr
+from ragloom.operators import retrieval as rt
 from ragloom.operators import survey as sv
 from ragloom.sources import readers as rd
 
@@ -72,18 +74,6 @@ def excerpt_sections(spark, d):
     return x.select("conv_id", "turn", F.size("m").alias("n_sections"), F.coalesce(F.try_element_at("m", F.lit(1)), F.lit("")).alias("first"), ps.compose_answer(t, F.col("m"), F.lit(2)).alias("composed"))
 
 
-@query("""SELECT conv_id, turn, turn % 2 = 0 AS refused, CASE WHEN turn % 2 = 0 THEN '根据现有文档，无法回答。' ELSE 'plain' END AS shown, CAST(CASE turn % 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE -3 END AS INTEGER) AS score,
-  CASE WHEN turn % 3 < 2 THEN 'search' END AS action, CASE WHEN turn % 3 = 0 THEN 'q' || conv_id ELSE NULL END AS question, turn % 3 = 0 AS valid FROM conversations""")
-def response_actions(spark, d):
-    c, k = F.col("conv_id").cast("string"), F.col("turn") % 3
-    refusal = F.when(F.col("turn") % 2 == 0, F.lit("x\n根据现有文档，无法回答。\n根据现有文档，无法回答。")).otherwise("fine")
-    act = F.when(k == 0, F.lit('<thought>t</thought><action>{"name": "search", "query": ["a"]}</action>')).when(k == 1, F.lit('<action>{"name": "search"}</action>')).otherwise("nothing")
-    js = F.when(k == 0, F.concat(F.lit('text {"questions": [{"query": " "}, {"query": "q'), c, F.lit('"}]} end'))).otherwise("no json")
-    a = ps.thought_action(act)
-    valid = ps.valid_action(a["action"], F.when(k == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("#a"))), F.lit(0), F.lit(""), F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return _talk(spark, d).select("conv_id", "turn", ps.declares_no_information(refusal).alias("refused"), ps.refusal_text(refusal, F.lit("plain")).alias("shown"), a["score"].alias("score"), a["action"].alias("action"), F.get(ps.generated_questions(js), F.lit(0))["query"].alias("question"), valid.alias("valid"))
-
-
 @query("""SELECT conv_id, turn, substr(text, 1, CASE role WHEN 'user' THEN 500 WHEN 'assistant' THEN 200 ELSE 2000 END) AS text FROM conversations""")
 def compact_events(spark, d):
     kind = F.when(F.col("role") == "user", "tool_call").when(F.col("role") == "assistant", "tool_result").otherwise("thought")
@@ -106,14 +96,17 @@ def prompt_tables(spark, d):
     )
 
 
-@query("""WITH p AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS qid, doc_id, 'p' || doc_id AS psg FROM documents)
-  SELECT b.item_id AS qid, 'Passages:' || chr(10) || string_agg(psg, chr(10) ORDER BY doc_id) || chr(10) || 'Question: q' || b.item_id || chr(10) || 'Answer:' AS prompt FROM benchmark b JOIN p ON b.item_id = p.qid GROUP BY b.item_id""")
+@query(f"""WITH p AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS qid, doc_id, replace(text, chr(10), ' ') AS psg FROM documents),
+  k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY length(psg) DESC, doc_id) AS no FROM p)
+  SELECT b.item_id AS qid, 'Passages:' || chr(10) || string_agg({_ESC.format('psg')}, chr(10) ORDER BY no) || chr(10) || 'Question: ' || {_ESC.format('any_value(b.text)')} || chr(10) || 'Answer:' AS prompt FROM benchmark b JOIN k ON b.item_id = k.qid WHERE no <= 5 GROUP BY b.item_id""")
 def prompt_passages(spark, d):
+    """Each question with the five longest of its documents: a top-k keeps the prompt's size apart from the corpus's."""
     b = table(spark, d, "benchmark")
-    p = table(spark, d, "documents").withColumn("qid", F.col("doc_id") % b.agg(F.count("*")).scalar())
-    ps_ = p.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda i: F.concat(F.lit("p"), i.cast("string"))).alias("ps"))
-    x = ps_.join(b.select(F.col("item_id").alias("qid")), "qid")
-    return x.select("qid", pr.render(pr.TEMPLATES["passages"], passages=pr.passages(F.col("ps")), question=F.concat(F.lit("q"), F.col("qid").cast("string"))).alias("prompt"))
+    p = table(spark, d, "documents").select((F.col("doc_id") % b.agg(F.count("*")).scalar()).alias("qid"), "doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("psg"))
+    first = rt.top_k(p, 5, ["qid"], F.desc(F.length("psg")), F.col("doc_id"))
+    ps_ = first.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "psg"))), lambda x: x["psg"]).alias("ps"))
+    x = ps_.join(b.select(F.col("item_id").alias("qid"), "text"), "qid")
+    return x.select("qid", pr.render(pr.TEMPLATES["passages"], passages=pr.passages(F.col("ps")), question=F.col("text")).alias("prompt"))
 
 
 @query("""SELECT conv_id AS qid, min_by(text, turn) AS question, string_agg(role || turn, '|' ORDER BY turn) AS passages, coalesce(string_agg(CASE WHEN turn > 0 THEN 'a' || turn END, ' ' ORDER BY turn), '') AS answers FROM conversations GROUP BY conv_id""")
@@ -293,15 +286,6 @@ def survey_prompts(spark, d):
     return sv.survey_prompts(tasks, _nodes(spark, d).withColumn("qid", F.col("qid") * 2), pr.TEMPLATES["survey"])
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 200 >= 140 THEN 'done' WHEN doc_id % 7 = 0 THEN st ELSE CASE st WHEN 'search' THEN CASE WHEN doc_id % 2 = 0 THEN 'write' ELSE 'init' END WHEN 'init' THEN 'search'
-  WHEN 'write' THEN CASE WHEN doc_id % 3 = 0 THEN 'search' WHEN doc_id % 20 < 12 THEN 'extend' ELSE 'done' END WHEN 'extend' THEN CASE WHEN doc_id % 2 = 0 THEN 'done' ELSE 'search' END ELSE 'done' END END AS state FROM (SELECT doc_id, ['search', 'init', 'write', 'extend', 'done'][doc_id % 5 + 1] AS st FROM documents)""")
-def survey_state(spark, d):
-    i = F.col("doc_id")
-    st = F.element_at(F.array(*map(F.lit, ("search", "init", "write", "extend", "done"))), (i % 5 + 1).cast("int"))
-    nxt = sv.next_state(st, i % 7 != 0, i % 2 == 0, F.when(i % 3 == 0, "section-1"), i % 20, i % 2 == 0, i % 200)
-    return table(spark, d, "documents").select("doc_id", nxt.alias("state"))
-
-
 # --- curation --------------------------------------------------------------------------------------------------------
 
 _KEY = "translate(translate(lower(trim(text)), '，。！？、；：（）【】「」《》—…!?,.;:()[]{}\"''`', ''), ' ' || chr(9) || chr(13) || chr(10), '')"
@@ -347,12 +331,15 @@ def merge_item_sets(spark, d):
     return cu.merge_items([x.where("turn = 0").withColumn("source", F.lit("manual")), x.where("role = 'user'").withColumn("source", F.lit("session"))])
 
 
-@query("""SELECT doc_id AS chunk_id, no, CASE no WHEN 0 THEN 'what is ' || doc_id ELSE 'b' END AS query, CASE no WHEN 0 THEN 'x' END AS gold_answer, 'doc:' || source AS tags, 'generated' AS source FROM documents, (SELECT unnest([0, 1]) AS no)""")
+@query("""WITH w AS (SELECT doc_id, source, length(text) AS n, text FROM documents),
+  q AS (SELECT doc_id, source, 0 AS k, 'what is ' || doc_id AS query, CAST(n AS VARCHAR) AS gold_answer FROM w UNION ALL SELECT doc_id, source, 1, 'first letters', trim(substr(text, 1, 20), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) FROM w UNION ALL SELECT doc_id, source, 2, 'last', 'c' FROM w)
+  SELECT doc_id AS chunk_id, CAST(no AS INTEGER) AS no, query, gold_answer, 'doc:' || source AS tags, 'generated' AS source FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS no FROM q WHERE gold_answer <> '') WHERE no < 2""")
 def generated_candidates(spark, d):
     c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), F.col("text").alias("contents"))
 
     def model(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(response=['{"questions": [{"query": "what is %d", "gold_answer": "x"}, {"query": ""}, {"query": "b"}, {"query": "c"}]}' % i for i in pdf["chunk_id"]])
+        asked = lambda i, t: [{"query": f"what is {i}", "gold_answer": str(len(t))}, {"query": "", "gold_answer": "a"}, {"query": "b"}, {"query": "first letters", "gold_answer": t[:20]}, {"query": "last", "gold_answer": "c"}]
+        return pdf.assign(response=["Here: " + json.dumps({"questions": asked(i, t)}) for i, t in zip(pdf["chunk_id"], pdf["contents"].fillna(""))])
 
     return cu.generate_candidates(c, model).withColumn("tags", F.array_join("tags", ","))
 
@@ -671,10 +658,9 @@ def index_payload(spark, d):
 
 
 def _events_stream(spark, d):
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    # a stream source reads folders: the file is picked out of the table's folder
-    x = spark.readStream.schema(schema).option("pathGlobFilter", "*events.parquet").parquet(d)
-    return x.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    from ragloom.streaming.streams import stream_table
+
+    return stream_table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
 
 
 def _name() -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answer_queries, retrieval_queries, source_queries, text_queries  # noqa: F401  register their queries
+from . import answer_queries, retrieval_queries, source_queries, survey_queries, text_queries  # noqa: F401  register their queries
 from .registry import QUERIES, SQL
 
 

@@ -308,8 +308,8 @@ def store_consistency(spark, d):
 
 
 def _qrels(spark, d):
-    v = _vectors(spark, d)
-    return _vector_queries(spark, d).join(v.select("chunk_id", "label"), F.abs(F.col("label") - F.col("qlabel")) <= 1).select("qid", F.col("chunk_id").alias("docid"), (2 - F.abs(F.col("label") - F.col("qlabel"))).alias("rel"))
+    q = _vector_queries(spark, d).select("qid", "qlabel", F.explode(F.array(*[F.col("qlabel") + n for n in (-1, 0, 1)])).alias("label"))
+    return q.join(_vectors(spark, d).select("chunk_id", "label"), "label").select("qid", F.col("chunk_id").alias("docid"), (2 - F.abs(F.col("label") - F.col("qlabel"))).alias("rel"))
 
 
 _TREC = f"""{_DENSE.format('', 20)}, qr AS (SELECT q.vec_id AS qid, v.vec_id AS docid, 2 - abs(v.label - q.label) AS rel FROM embeddings q JOIN embeddings v ON abs(v.label - q.label) <= 1 WHERE q.vec_id % 100 = 0),

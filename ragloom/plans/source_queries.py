@@ -153,9 +153,7 @@ _KEY = "translate(translate(lower(text), '，。！？、；：（）【】「
 
 @query(f"SELECT DISTINCT {_KEY} AS norm FROM conversations WHERE {_KEY} <> ''")
 def stream_mined_questions(spark, d):
-    schema = spark.read.parquet(f"{d}/conversations.parquet").schema
-    # a stream source reads folders: the file is picked out of the table's folder
-    talk = spark.readStream.schema(schema).option("pathGlobFilter", "*conversations.parquet").parquet(d)
+    talk = st.stream_table(spark, d, "conversations")
     # a stream's first watermark is the epoch itself, so turns are seconds of a later day
     asked = talk.select(F.timestamp_seconds(F.col("turn") + 86_400).alias("ts"), F.col("text"))
     return st.run_available(st.mined_queries(asked), "mined", "append").select("norm")

@@ -198,32 +198,68 @@ def _rules_sql(x: str, rules) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-_HEADINGS = ("Section-1.2. ", "第三章 第1节：", "3.4.2，", "12、", "(4) ", "二.3 ", "十、", "（七） ", "一 ", "Plain ")
+#: Headings before a text, and what the title rules leave of them, worked out by hand.
+_HEADINGS = (
+    ("Section-1.2. ", ".2. "), ("第三章 第1节：", ""), ("3.4.2，", ""), ("12、", ""), ("(4) ", ""), ("二.3 ", ""), ("十、", ""), ("（七） ", ""), ("一 ", ""), ("Plain ", "Plain "),
+    ("Section Overview ", "Section Overview "), ("Sections of law ", "Sections of law "), ("Section 1.2 Intro ", ".2 Intro "), ("Section 7 ", ""), ("SECTION-[]] 3. ", ""), ("section．5", "5"), ("3. (2) 五. ", ""), ("　 4. ", ""), ("1.2", ""), ("12", "12"),
+)
 
 
-@query(f"""WITH h AS (SELECT doc_id, CASE doc_id % 10 {" ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(_HEADINGS))} END || text AS title,
+@query(f"""WITH h AS (SELECT doc_id, CASE doc_id % {len(_HEADINGS)} {" ".join(f"WHEN {k} THEN '{h[1]}'" for k, h in enumerate(_HEADINGS))} END || rtrim(regexp_replace(regexp_replace(text, '[(（][0-9]+[)）]\\s*', '', 'g'), '[(（][一二三四五六七八九十]+[)）]\\s*', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS title,
     '  ## Head' || chr(10) || text || ' see Section-2.1 there' || chr(10) || '# Next' || chr(10) || chr(10) || chr(10) || text AS contents, text FROM documents)
-  SELECT doc_id, {_rules_sql('title', [(p, '') for p in text.TITLE_RULES])} AS title, {_rules_sql('contents', text.CONTENT_RULES)} AS contents,
+  SELECT doc_id, title, {_rules_sql('contents', text.CONTENT_RULES)} AS contents,
     text || ' [' || least(3, doc_id) || ']' || CASE WHEN doc_id <> 3 THEN '[' || greatest(3, doc_id) || ']' ELSE '' END || ' y' AS cited FROM h""")
 def clean_titles(spark, d):
     i, t = F.col("doc_id"), F.col("text")
-    head = F.element_at(F.array(*map(F.lit, _HEADINGS)), (i % 10 + 1).cast("int"))
+    head = F.element_at(F.array(*[F.lit(h) for h, _ in _HEADINGS]), (i % len(_HEADINGS) + 1).cast("int"))
     contents = F.concat(F.lit("  ## Head\n"), t, F.lit(" see Section-2.1 there\n# Next\n\n\n"), t)
     cited = F.concat(t, F.lit(" \\cite{textid3, textid"), i.cast("string"), F.lit("} y"))
     return _docs(spark, d).select("doc_id", text.clean_title(F.concat(head, t)).alias("title"), text.clean_generated(contents).alias("contents"), text.rewrite_citations(cited).alias("cited"))
 
 
-@query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _packed_sql(parts: str, size: int, overlap: int) -> str:
+    """Greedy packing of the lists of ``l (doc_id, ps)``: a start's furthest end and an end's tail are looked up, and a recursion walks from chunk to chunk."""
+    return f"""WITH RECURSIVE l AS ({parts}), p AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS part FROM l),
+  e AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM p),
+  far AS (SELECT a.doc_id, a.i AS a, coalesce(min(b.i) FILTER (b.e - a.s > {size}), any_value(a.n)) AS nx, any_value(a.n) AS n FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i >= a.i GROUP BY a.doc_id, a.i),
+  tail AS (SELECT b.doc_id, b.i AS b, coalesce(min(a.i) FILTER (b.e - a.s <= {overlap}), any_value(b.i) + 1) AS ts FROM e b JOIN e a ON a.doc_id = b.doc_id AND a.i <= b.i GROUP BY b.doc_id, b.i),
+  c AS (SELECT doc_id, 0 AS no, a, greatest(nx, 1) - 1 AS b, n FROM far WHERE a = 0
+    UNION ALL SELECT c.doc_id, no + 1, f.a, greatest(f.nx, c.b + 2) - 1, c.n FROM c JOIN tail USING (doc_id, b) JOIN far f ON f.doc_id = c.doc_id AND f.a = least(greatest(tail.ts, c.a + 1), c.b + 1) WHERE c.b < c.n - 1),
+  t AS (SELECT doc_id, CAST(no AS INTEGER) AS no, trim(array_to_string(ps[a + 1 : least(b, n - 1) + 1], ''), {_BLANK}) AS chunk FROM c JOIN l USING (doc_id))
+  SELECT doc_id, CAST(NULL AS VARCHAR) AS title, no, chunk FROM t"""
+
+
+_SENTENCES = "regexp_extract_all({}, '[^.!?。！？\n]*[.!?。！？\n]|[^.!?。！？\n]+')"
+
+
+@query(_packed_sql(f"SELECT doc_id, list_filter({_SENTENCES.format('text')}, lambda x: trim(x, {_BLANK}) <> '') AS ps FROM documents", 512, 64))
 def chunk_sentences(spark, d):
     return chunking.sentence_chunks(_docs(spark, d).select("doc_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("contents")), 512, 64)
 
 
-@query()
+def _split_long(parts: str, pattern: str) -> str:
+    return f"flatten(list_transform({parts}, lambda x: CASE WHEN length(x) > 512 THEN {pattern} ELSE [x] END))"
+
+
+# a mark after each line end that follows another one
+_PARAGRAPHS = "string_split(regexp_replace(regexp_replace(replace(x, chr(10), chr(10) || chr(1)), '([^\n\x01])\n\x01', '\1' || chr(10), 'g'), '^\n\x01', chr(10)), chr(1))"
+_RECURSIVE = _split_long(_split_long(_split_long(_split_long("[text]", _PARAGRAPHS), _SENTENCES.format("x")), "regexp_extract_all(x, '[^ \t\n\x0B\f\r]*[ \t\n\x0B\f\r]|[^ \t\n\x0B\f\r]+')"), "regexp_extract_all(x, '(?s).{1,512}')")
+
+
+@query(_packed_sql(f"SELECT doc_id, list_filter({_RECURSIVE}, lambda x: x <> '') AS ps FROM documents", 512, 0) + " WHERE length(chunk) >= CASE WHEN no = 0 THEN 1 ELSE 12 END")
 def chunk_recursive(spark, d):
     return chunking.recursive_chunks(_docs(spark, d).select("doc_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("contents")), 512)
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents), p AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS part FROM l),
+  e AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM p),
+  far AS (SELECT a.doc_id, a.i AS a, coalesce(min(b.i) FILTER (b.s > a.s AND b.e - a.s > 800), any_value(a.n)) AS nx, any_value(a.n) AS n FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i >= a.i GROUP BY a.doc_id, a.i),
+  c AS (SELECT doc_id, 0 AS no, a, greatest(nx, 1) - 1 AS b, n, false AS carried FROM far WHERE a = 0
+    UNION ALL SELECT c.doc_id, no + 1, f.a, greatest(f.nx, c.b + 2) - 1, c.n, length(e.part) <= 100 FROM c JOIN e ON e.doc_id = c.doc_id AND e.i = c.b JOIN far f ON f.doc_id = c.doc_id AND f.a = CASE WHEN length(e.part) <= 100 THEN c.b ELSE c.b + 1 END WHERE c.b < c.n - 1)
+  SELECT doc_id, CAST(no AS INTEGER) AS no, array_to_string(ps[a + 1 : least(b, n - 1) + 1], chr(10)) AS chunk, [CAST(i AS VARCHAR) FOR i IN range(a + CAST(carried AS INTEGER), least(b, n - 1) + 1) IF i % 4 = 1] AS images FROM c JOIN l USING (doc_id)""")
 def sliding_windows(spark, d):
     x = _docs(spark, d).select("doc_id", F.transform(F.split("text", "\n"), lambda p, i: F.struct(p.alias("text"), F.when(i % 4 == 1, F.array(i.cast("string"))).otherwise(F.array().cast("array<string>")).alias("imgs"))).alias("parts"))
     return chunking.sliding_windows(x)

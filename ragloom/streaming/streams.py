@@ -29,6 +29,18 @@ def read_version(spark: SparkSession, path: str, schema, version: int | None = N
     return spark.createDataFrame([], schema) if v < 0 else spark.read.schema(schema).parquet(f"{path}/v={v}")
 
 
+def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder as a stream, whether it is one file ``<name>.parquet`` or a folder of part files by that name.
+
+    Stream sources read folders: a table that is a folder is read itself, one that is a file is picked out of its folder.
+    """
+    path = f"{folder}/{name}.parquet"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    is_file = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile()
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if is_file else stream.parquet(path)
+
+
 #: Buckets of a derived table of U1: a batch rewrites those its documents fall into. A table keeps the number it began with.
 BUCKETS = 64
 _BUCKET = "_bucket"

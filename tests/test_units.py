@@ -27,7 +27,11 @@ def one(spark, column, value, kind="string"):
         (text.reflow_paragraphs, "It goes\n\non here!\n\nNew", "It goes on here!\n\nNew"),
         (text.unglue_steps, "done.STEP 2: go", "done.\nSTEP 2: go"),
         (text.rewrite_citations, "a \\cite{textid2, textid1} b", "a [1][2] b"),
-        (text.clean_title, "Section-1.2. Start", "Start"),
+        (text.clean_title, "Section-1. Start", ". Start"),
+        (text.clean_title, "Section Overview", "Section Overview"),
+        (text.clean_title, "Sections of law", "Sections of law"),
+        (text.clean_title, "Section 1.2 Intro", ".2 Intro"),
+        (text.clean_title, "12.\u3000Intro", "Intro"),
         (text.clean_title, "第一章 第2节：开始", "开始"),
         (text.clean_generated, "a\n  ## B\nc Section-2.1 d\n\n\n\ne", "a\n\n## B\n\nc  d\n\ne"),
         (parsing.boxed, "so \\boxed{a{b}c} end", "a{b}c"),
