@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ragloom.durable import materialize, shared_path
 from ragloom.functions.text import ascii_tokens
 from ragloom.operators import evaluation as ev
+from ragloom.operators import postings as ps
 from ragloom.operators import retrieval as rt
 
 from .registry import query, table
@@ -36,12 +37,23 @@ def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+#: Saved indexes of this session: (session, table, its files' state) -> path. A table that changed gets a new index.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def saved_index(spark, d) -> str:
+    """The posting blocks of a folder's documents, written once for each state of the table."""
+    at = f"{d}/documents.parquet"
+    key = (spark.sparkContext.applicationId, at, ps.table_state(spark, at))
+    if key not in _INDEXES:
+        path = shared_path(spark, "blocks")
+        ps.write_blocks(chunks(spark, d), ascii_tokens(F.col("contents")), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def lexical(spark, d, okapi=False, k=10):
-    c = chunks(spark, d)
-    q = questions(spark, d)
-    # the classic form needs the mean idf of all terms
-    only = None if okapi else q.select(F.explode(ascii_tokens(F.col("question"))).alias("term"))
-    return rt.bm25_search(rt.bm25_index(c, ascii_tokens(F.col("contents")), only=only), q, ascii_tokens(F.col("question")), k, okapi)
+    return ps.search_blocks(spark, saved_index(spark, d), questions(spark, d), ascii_tokens(F.col("question")), k, okapi)
 
 
 @query(f"WITH {_bm25_sql(False)} SELECT qid, chunk_id, score, rank FROM lex")
@@ -237,10 +249,9 @@ def rewrite_queries(spark, d):
   SELECT b.item_id AS qid, s.sub_no, l.chunk_id, l.rank FROM benchmark b LEFT JOIN (SELECT s.item_id, s.sub_no, lex.chunk_id, lex.rank FROM s JOIN lex ON lex.qid = s.item_id) l ON l.item_id = b.item_id LEFT JOIN s ON s.item_id = b.item_id AND s.sub_no = l.sub_no
   WHERE l.item_id IS NOT NULL OR b.item_id % 4 = 0""")
 def nested_search(spark, d):
-    c = chunks(spark, d)
-    index = rt.bm25_index(c, ascii_tokens(F.col("contents")))
+    index = saved_index(spark, d)
     q = questions(spark, d).select("qid", F.when(F.col("qid") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("question", "question")).alias("subs"))
-    out = rt.nested_search(q, lambda x: rt.bm25_search(index, x, ascii_tokens(F.col("question")), 3), 3)
+    out = rt.nested_search(q, lambda x: ps.search_blocks(spark, index, x, ascii_tokens(F.col("question")), 3), 3)
     return out.select("qid", "sub_no", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -289,8 +300,7 @@ def failure_rows(spark, d):
 
 
 def _lex_pair(spark, d):
-    index = rt.bm25_index(chunks(spark, d), ascii_tokens(F.col("contents")))
-    return tuple(rt.bm25_search(index, questions(spark, d), ascii_tokens(F.col("question")), 10, okapi) for okapi in (False, True))
+    return lexical(spark, d), lexical(spark, d, okapi=True)
 
 
 _PAIR = f"{_bm25_sql(False)}, lex2 AS (SELECT * FROM ({'WITH ' + _bm25_sql(True) + ' SELECT * FROM lex'}))"

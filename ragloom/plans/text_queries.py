@@ -224,8 +224,8 @@ def _packed_sql(parts: str, size: int, overlap: int) -> str:
     """Greedy packing of the lists of ``l (doc_id, ps)``: a start's furthest end and an end's tail are looked up, and a recursion walks from chunk to chunk."""
     return f"""WITH RECURSIVE l AS ({parts}), p AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS part FROM l),
   e AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS e, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM p),
-  far AS (SELECT a.doc_id, a.i AS a, coalesce(min(b.i) FILTER (b.e - a.s > {size}), any_value(a.n)) AS nx, any_value(a.n) AS n FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i >= a.i GROUP BY a.doc_id, a.i),
-  tail AS (SELECT b.doc_id, b.i AS b, coalesce(min(a.i) FILTER (b.e - a.s <= {overlap}), any_value(b.i) + 1) AS ts FROM e b JOIN e a ON a.doc_id = b.doc_id AND a.i <= b.i GROUP BY b.doc_id, b.i),
+  far AS (SELECT a.doc_id, a.i AS a, coalesce(min(b.i) FILTER (b.e - a.s > {size}), any_value(a.n)) AS nx, any_value(a.n) AS n FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + {size} GROUP BY a.doc_id, a.i),
+  tail AS (SELECT b.doc_id, b.i AS b, coalesce(min(a.i) FILTER (b.e - a.s <= {overlap}), any_value(b.i) + 1) AS ts FROM e b JOIN e a ON a.doc_id = b.doc_id AND a.i BETWEEN b.i - {overlap} AND b.i GROUP BY b.doc_id, b.i),
   c AS (SELECT doc_id, 0 AS no, a, greatest(nx, 1) - 1 AS b, n FROM far WHERE a = 0
     UNION ALL SELECT c.doc_id, no + 1, f.a, greatest(f.nx, c.b + 2) - 1, c.n FROM c JOIN tail USING (doc_id, b) JOIN far f ON f.doc_id = c.doc_id AND f.a = least(greatest(tail.ts, c.a + 1), c.b + 1) WHERE c.b < c.n - 1),
   t AS (SELECT doc_id, CAST(no AS INTEGER) AS no, trim(array_to_string(ps[a + 1 : least(b, n - 1) + 1], ''), {_BLANK}) AS chunk FROM c JOIN l USING (doc_id))
@@ -245,7 +245,7 @@ def _split_long(parts: str, pattern: str) -> str:
 
 
 # a mark after each line end that follows another one
-_PARAGRAPHS = "string_split(regexp_replace(regexp_replace(replace(x, chr(10), chr(10) || chr(1)), '([^\n\x01])\n\x01', '\1' || chr(10), 'g'), '^\n\x01', chr(10)), chr(1))"
+_PARAGRAPHS = r"string_split(regexp_replace(regexp_replace(replace(x, chr(10), chr(10) || chr(1)), '([^\n\x01])\n\x01', '\1' || chr(10), 'g'), '^\n\x01', chr(10)), chr(1))"
 _RECURSIVE = _split_long(_split_long(_split_long(_split_long("[text]", _PARAGRAPHS), _SENTENCES.format("x")), "regexp_extract_all(x, '[^ \t\n\x0B\f\r]*[ \t\n\x0B\f\r]|[^ \t\n\x0B\f\r]+')"), "regexp_extract_all(x, '(?s).{1,512}')")
 
 

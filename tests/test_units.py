@@ -364,3 +364,80 @@ def test_extraction_run(spark):
     assert {x.entity_name: x.chunk_ids for x in full.collect()} == {"x": [1], "y": [3], "Z": [1, 3], "V": [8]}
     part, rels, n = graph.extraction_run(c, model, ("P",), "kb", old, spark.createDataFrame([("d1",)], "doc_id string"))
     assert {x.entity_name: x.chunk_ids for x in part.collect()} == {"x": [1], "Z": [9, 1], "V": [8]} and rels.count() == 2 and n.first().chunk_count == 1
+
+
+@pytest.mark.parametrize("okapi", [False, True])
+def test_posting_blocks_give_what_a_full_scan_gives(spark, tmp_path, okapi):
+    import random
+
+    from ragloom.operators import postings
+
+    r = random.Random(7)
+    words = [f"w{int(r.paretovariate(0.6))}" for _ in range(600)]
+    texts = [(i, " ".join(["common"] * r.randint(0, 3) + [r.choice(words) for _ in range(r.randint(0, 40))])) for i in range(900)] + [(1000, None), (1001, "")]
+    asked = [(i, " ".join(["common", r.choice(words), r.choice(words), r.choice(words)])) for i in range(20)] + [(50, "rareone"), (51, ""), (52, None), (53, "nowhere w1")]
+    texts[17] = (17, "rareone common")
+    tok = text.ascii_tokens
+    q = spark.createDataFrame(asked, "qid long, question string")
+    for name, ids in (("long", F.col("i")), ("string", F.concat(F.lit("c"), F.lpad("i", 5, "0"))), ("sparse", F.col("i") * 1_000_003)):
+        c = spark.createDataFrame(texts, "i long, contents string").select(ids.alias("chunk_id"), "contents").repartition(3)
+        want = sorted(map(tuple, retrieval.bm25_search(retrieval.bm25_index(c, tok(F.col("contents"))), q, tok(F.col("question")), 5, okapi).collect()))
+        path = f"{tmp_path}/{name}"
+        postings.write_blocks(c, tok(F.col("contents")), path, buckets=8, cell_chunks=16)
+        for full in (0, 1000):
+            got = postings.search_blocks(spark, path, q, tok(F.col("question")), 5, okapi, first_cells=2, full_scan_cells=full)
+            assert sorted(map(tuple, got.collect())) == want and len(want) > 90
+    blocks = spark.read.parquet(path + "/blocks")
+    assert blocks.where("term = 'common'").count() > 40 and blocks.agg(F.max("n")).first()[0] < 100  # a hot term has many small blocks
+    one = postings.read_blocks(spark, path, spark.createDataFrame([("rareone",)], "term string"))
+    assert len(one.inputFiles()) < len(blocks.inputFiles()) / 4 and one.count() == 1
+
+
+def test_cells_that_cannot_reach_the_threshold_are_not_scored(spark, tmp_path):
+    from ragloom.operators import postings
+
+    c = spark.range(2000).select(F.col("id").alias("chunk_id"), F.when(F.col("id") < 40, F.concat(F.lit("gold common "), F.repeat(F.lit("x "), (F.col("id") % 7).cast("int")))).otherwise(F.lit("common filler")).alias("contents"))
+    tok = text.ascii_tokens
+    q = spark.createDataFrame([(1, "gold common")], "qid long, question string")
+    postings.write_blocks(c, tok(F.col("contents")), str(tmp_path / "i"), buckets=4, cell_chunks=20)
+    stats = spark.read.parquet(str(tmp_path / "i/stats")).first()
+    wanted = postings.weighted_terms(spark, str(tmp_path / "i"), q, tok(F.col("question"))).withColumnRenamed("qid", "q")
+    cells = postings.bounds(postings.read_blocks(spark, str(tmp_path / "i"), wanted), wanted, F.lit(stats.avg_len)).orderBy("no").collect()
+    assert len(cells) == 100 and {x.cell for x in cells[:2]} == {0, 1}
+    hits = postings.search_blocks(spark, str(tmp_path / "i"), q, tok(F.col("question")), 10, first_cells=2, full_scan_cells=0).collect()
+    assert min(h.score for h in hits) > cells[2].bound + 1e-6  # so the other 98 cells fall to the threshold
+
+
+def test_index_of_an_empty_table(spark, tmp_path):
+    from ragloom.operators import postings
+
+    c = spark.createDataFrame([], "chunk_id long, contents string")
+    postings.write_blocks(c, text.ascii_tokens(F.col("contents")), str(tmp_path / "e"))
+    q = spark.createDataFrame([(1, "a")], "qid long, question string")
+    for full in (0, 64):
+        assert postings.search_blocks(spark, str(tmp_path / "e"), q, text.ascii_tokens(F.col("question")), full_scan_cells=full).collect() == []
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    from ragloom.plans import catalogue
+
+    run = catalogue.queries()
+    for name in ("events", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").repartition(3).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    for name in ("stream_latest_states", "stream_stage_counts", "stream_mined_questions", "stream_stale_sessions"):
+        one, many = (sorted(map(tuple, run[name](spark, d).collect())) for d in ("/root/testdata/sf0.001", f"file://{tmp_path}"))
+        assert one == many and one
+
+
+def test_cuts_of_a_long_text_are_linear():
+    import random
+    import time
+
+    from ragloom.functions import chunking
+
+    r = random.Random(2)
+    lengths = [r.randint(1, 90) for _ in range(400_000)]  # 18 million characters
+    began = time.time()
+    got = chunking.cuts(lengths, 256, 32)
+    assert time.time() - began < 5 and got[0][0] == 0 and got[-1][1] == len(lengths) - 1
+    assert all(sum(lengths[a : b + 1]) <= 256 and (c <= b + 1 and sum(lengths[c : b + 1]) <= 32) for (a, b), (c, _) in zip(got[:2000], got[1:2001]))
