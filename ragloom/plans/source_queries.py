@@ -137,15 +137,35 @@ def kg_delete_kb(spark, d):
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, n AS no, substr(text, n * 192 + 1, 256) AS chunk FROM documents, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(0, ceil((length(text) - 256) / 192.0)) AS BIGINT) + 1 END)) AS u(n)""")
-def stream_ingest(spark, d):
+_WINDOWS = "SELECT doc_id, n AS no, substr(text, n * 192 + 1, 256) AS chunk FROM documents, unnest(range(0, CASE WHEN length(text) = 0 THEN 0 ELSE CAST(greatest(0, ceil((length(text) - 256) / 192.0)) AS BIGINT) + 1 END)) AS u(n)"
+
+
+def _ingested(spark: SparkSession, d: str, **options) -> str:
     """Every document arrives twice: first with another text, which the second batch replaces."""
     docs, at = table(spark, d, "documents").select("doc_id", "text"), shared_path(spark, "ingest")
     for text in (F.concat(F.lit("old "), F.coalesce("text", F.lit(""))), F.col("text")):
         docs.select("doc_id", text.alias("text")).write.mode("append").parquet(f"{at}/in")
-        arrived = spark.readStream.schema(docs.schema).parquet(f"{at}/in")
-        st.ingest_stream(arrived, f"{at}/out", f"{at}/state", st.chunk_tables, st.CHUNK_SCHEMAS).awaitTermination()
-    return st.read_derived(spark, f"{at}/out/chunks", st.CHUNK_SCHEMAS["chunks"]).select("doc_id", F.col("no").cast("long").alias("no"), "chunk")
+        arrived = spark.readStream.schema(docs.schema).parquet(f"{at}/in").select("*", F.col("_metadata.file_modification_time").alias("arrived"))
+        st.ingest_stream(arrived, f"{at}/out", f"{at}/state", st.chunk_tables, st.CHUNK_SCHEMAS, buckets=8, **options).awaitTermination()
+    return f"{at}/out"
+
+
+@query(_WINDOWS)
+def stream_ingest(spark, d):
+    at = _ingested(spark, d)
+    return st.read_derived(spark, f"{at}/chunks", st.CHUNK_SCHEMAS["chunks"]).select("doc_id", F.col("no").cast("long").alias("no"), "chunk")
+
+
+def _length_and_first(texts: list[str]) -> list[list[float]]:
+    """A test model: a text's length and its first code point."""
+    return [[float(len(t)), float(ord(t[0]))] for t in texts]
+
+
+@query(f"WITH c AS ({_WINDOWS}) SELECT doc_id, no, sha256(chunk) AS key, CAST(length(chunk) AS DOUBLE) AS length, CAST(unicode(chunk) AS DOUBLE) AS first FROM c")
+def stream_vectors(spark, d):
+    at = _ingested(spark, d, embed=_length_and_first, dim=2)
+    x = st.read_derived(spark, f"{at}/{st.VECTORS}", st.VECTOR_SCHEMAS[st.VECTORS])
+    return x.select("doc_id", F.col("no").cast("long").alias("no"), "key", F.col("embedding")[0].cast("double").alias("length"), F.col("embedding")[1].cast("double").alias("first"))
 
 
 _KEY = "translate(translate(lower(text), '，。！？、；：（）【】「」《》—…!?,.;:()[]{}\"''`', ''), ' ' || chr(9) || chr(13) || chr(10), '')"

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ragloom.durable import shared_path
+from ragloom.durable import materialize, shared_path
 from ragloom.functions.text import ascii_tokens, dedup_key
 from ragloom.operators.catalog import replace_documents
+from ragloom.operators.retrieval import embed_texts
 
 
 def current_version(spark: SparkSession, path: str) -> int:
@@ -44,59 +46,161 @@ def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 #: Buckets of a derived table of U1: a batch rewrites those its documents fall into. A table keeps the number it began with.
 BUCKETS = 64
 _BUCKET = "_bucket"
+#: Snapshots that stay readable, and folders of a cache's bucket above which they become one.
+KEPT_SNAPSHOTS, CACHE_FOLDERS = 2, 8
+#: A snapshot's manifest: which folders hold each bucket of each table.
+_MANIFEST = f"name string, {_BUCKET} int, folder string"
+VECTORS, CACHE = "vectors", "vector_cache"
+VECTOR_SCHEMAS = {VECTORS: "doc_id long, no int, key string, embedding array<float>", CACHE: "key string, embedding array<float>"}
 
 
-def _places(spark: SparkSession, path: str, version: int | None = None) -> dict[int, int]:
-    """Bucket -> version that holds its rows; at most one entry for each bucket."""
-    rows = read_version(spark, f"{path}/places", f"{_BUCKET} int, version long", version)
-    return {r[0]: r[1] for r in rows.collect()}
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def read_derived(spark: SparkSession, path: str, schema: str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
-    """A derived table of U1 as of ``version`` (the newest by default), all of it or some of its buckets."""
-    at = [f"{path}/v={v}/{_BUCKET}={b}" for b, v in sorted(_places(spark, path, version).items()) if buckets is None or b in buckets]
+def _names(spark: SparkSession, path: str) -> list[str]:
+    p, fs = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+Places = dict[tuple[str, int], list[str]]
+
+
+def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Places:
+    """``(table, bucket) -> folders`` of a snapshot (the newest by default): what one manifest says about all tables."""
+    out: Places = {}
+    for r in read_version(spark, f"{path}/manifest", _MANIFEST, version).collect():  # tables times buckets, a few folders each
+        out.setdefault((r[0], r[1]), []).append(r[2])
+    return out
+
+
+def _read_places(spark: SparkSession, path: str, name: str, schema: str, places: Places, buckets: set[int] | None = None) -> DataFrame:
+    at = [f"{path}/{name}/{folder}/{_BUCKET}={b}" for (n, b), folders in sorted(places.items()) if n == name and (buckets is None or b in buckets) for folder in folders]
     return spark.read.schema(schema).parquet(*at) if at else spark.createDataFrame([], schema)
 
 
-def _replace_buckets(spark: SparkSession, path: str, schema: str, version: int, changed: DataFrame, rows: DataFrame, n: int) -> None:
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    before = min(current_version(spark, f"{path}/places"), version - 1)
-    touched = {r[0] for r in changed.select(bucket).distinct().collect()}  # at most n numbers
-    new = replace_documents(read_derived(spark, path, schema, before, touched), changed, rows).withColumn(_BUCKET, bucket)
-    new.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/v={version}")
-    kind = spark._jvm.org.apache.hadoop.fs.Path
-    folder = kind(f"{path}/v={version}")
-    names = [s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
-    kept = {b: v for b, v in _places(spark, path, before).items() if b not in touched}
-    kept |= {int(x.rsplit("=", 1)[1]): version for x in names if x.startswith(f"{_BUCKET}=")}  # a bucket left empty has no folder
-    places = spark.createDataFrame(list(kept.items()), f"{_BUCKET} int, version long")
-    places.coalesce(1).write.mode("overwrite").parquet(f"{path}/places/v={version}")
+def read_derived(spark: SparkSession, path: str, schema: str, version: int | None = None, buckets: set[int] | None = None) -> DataFrame:
+    """A derived table of U1, ``<root>/<table>``, as of a snapshot (the newest by default), all of it or some of its buckets.
 
+    Tables read with the same ``version`` belong to the same batch.
+    """
+    root, name = path.rstrip("/").rsplit("/", 1)
+    return _read_places(spark, root, name, schema, snapshot(spark, root, version), buckets)
+
+
+def _bucket_of(column: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+
+class Batch:
+    """One batch's writing: tables see the snapshot before it and add folders of their own; the manifest comes last."""
+
+    def __init__(self, spark: SparkSession, path: str, version: int, buckets: int):
+        self.spark, self.path, self.version, self.buckets = spark, path, version, buckets
+        self.places = snapshot(spark, path, min(current_version(spark, f"{path}/manifest"), version - 1))
+        self.folder = f"v={version}.{uuid.uuid4().hex}"  # a repeated batch writes beside what an earlier try has left
+
+    def touched(self, rows: DataFrame, key: str) -> set[int]:
+        return {r[0] for r in rows.select(_bucket_of(key, self.buckets)).distinct().collect()}  # at most ``buckets`` numbers
+
+    def read(self, name: str, schema: str, buckets: set[int] | None = None) -> DataFrame:
+        return _read_places(self.spark, self.path, name, schema, self.places, buckets)
+
+    def write(self, name: str, schema: str, rows: DataFrame, key: str, replaced: set[int] | None) -> DataFrame:
+        """Adds rows by bucket of ``key``; of ``replaced`` buckets nothing else stays. Returns what was written."""
+        at = f"{self.path}/{name}/{self.folder}"
+        rows.withColumn(_BUCKET, _bucket_of(key, self.buckets)).repartition(_BUCKET).write.mode("append").partitionBy(_BUCKET).parquet(at)
+        for b in replaced or ():
+            self.places.pop((name, b), None)
+        for x in _names(self.spark, at):
+            if x.startswith(f"{_BUCKET}="):  # a bucket left empty has no folder
+                held = self.places.setdefault((name, int(x.rsplit("=", 1)[1])), [])
+                held += [self.folder] * (self.folder not in held)
+        return self.spark.read.schema(schema).parquet(at).drop(_BUCKET)
+
+    def commit(self, keep: int) -> None:
+        rows = [(name, b, folder) for (name, b), folders in self.places.items() for folder in folders]
+        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={self.version}")
+        remove_unnamed(self.spark, self.path, keep)
+
+
+def remove_unnamed(spark: SparkSession, path: str, keep: int = KEPT_SNAPSHOTS) -> list[str]:
+    """Removes manifests but the newest ``keep``, then the folders up to the newest snapshot that no manifest names."""
+    done = sorted((int(x[2:]) for x in _names(spark, f"{path}/manifest") if x.startswith("v=")), reverse=True)
+    newest = current_version(spark, f"{path}/manifest")
+    named = {(name, folder) for v in done[:keep] for (name, _), folders in snapshot(spark, path, v).items() for folder in folders}
+    gone = [f"{path}/manifest/v={v}" for v in done[keep:]]
+    for name in _names(spark, path):
+        if name != "manifest":
+            folders = [x for x in _names(spark, f"{path}/{name}") if x.startswith("v=")]
+            gone += [f"{path}/{name}/{x}" for x in folders if (name, x) not in named and int(x[2:].split(".")[0]) <= newest]
+    for x in gone:
+        p, fs = _hadoop(spark, x)
+        fs.delete(p, True)
+    return gone
+
+
+def _vectors(batch: Batch, chunks: DataFrame, changed: DataFrame, touched: set[int], embed: Callable, dim: int) -> None:
+    """Vectors of changed chunks. Vectors are cached by a hash of the chunk's text, so only texts that were never seen go
+    through the model; a failed text gets a zero vector, which isn't cached."""
+    keyed = chunks.join(changed, "doc_id", "left_semi").select("doc_id", "no", F.sha2("chunk", 256).alias("key"), "chunk")
+    needed = keyed.select("key", F.col("chunk").alias("text")).dropDuplicates(["key"])
+    buckets = batch.touched(needed, "key")
+    known = batch.read(CACHE, VECTOR_SCHEMAS[CACHE], buckets)
+    new = needed.join(known.select("key"), "key", "left_anti")
+    made = embed_texts(new.withColumnRenamed("key", "chunk_id"), embed, dim=dim).select(F.col("chunk_id").alias("key"), "embedding").where(F.exists("embedding", lambda x: x != 0))
+    written = batch.write(CACHE, VECTOR_SCHEMAS[CACHE], made, "key", None)
+    zero = F.array(*[F.lit(0.0)] * dim).cast("array<float>")
+    rows = keyed.join(known.unionByName(written), "key", "left").select("doc_id", "no", "key", F.coalesce("embedding", zero).alias("embedding"))
+    batch.write(VECTORS, VECTOR_SCHEMAS[VECTORS], replace_documents(batch.read(VECTORS, VECTOR_SCHEMAS[VECTORS], touched), changed, rows), "doc_id", touched)
+    full = {b for (name, b), folders in batch.places.items() if name == CACHE and len(folders) > CACHE_FOLDERS}
+    if full:
+        whole, batch.folder = batch.read(CACHE, VECTOR_SCHEMAS[CACHE], full), f"v={batch.version}.{uuid.uuid4().hex}"
+        batch.write(CACHE, VECTOR_SCHEMAS[CACHE], whole, "key", full)
 
-def ingest_stream(
-    documents: DataFrame, path: str, checkpoint: str, derive: Callable[[DataFrame], dict[str, DataFrame]], schemas: dict[str, str], buckets: int = BUCKETS
-) -> StreamingQuery:
-    """Each batch of changed documents replaces their rows in every derived table.
 
-    A table is cut into ``buckets`` by document. Batch ``n`` reads the buckets of its documents as of batch ``n - 1``,
-    writes them under version ``n``, then a table of the version that holds each bucket; the batch counts once that
-    table is complete, so a repeated batch gives the same tables. Read them with :func:`read_derived`.
+def ingest_stream(
+    documents: DataFrame, path: str, checkpoint: str, derive: Callable[[DataFrame], dict[str, DataFrame]], schemas: dict[str, str], buckets: int = BUCKETS,
+    embed: Callable | None = None, dim: int = 64, keep: int = KEPT_SNAPSHOTS,
+) -> StreamingQuery:
+    """Each batch of changed documents replaces their rows in every derived table, in all of them at once.
+
+    A table is cut into ``buckets`` by document. Batch ``n`` reads the buckets of its documents as of the snapshot before and
+    writes them into a folder of its own; last comes one manifest that names the folders of all tables. A reader holds to
+    a manifest, so it sees all tables of one batch; a batch that stops half-way has no manifest and is repeated. With ``embed``
+    the table ``vectors`` of the derived ``chunks`` is kept too (see ``_vectors``). ``keep`` snapshots stay readable; folders
+    that none of them names are removed.
     """
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        changed = batch.select("doc_id").distinct()
-        for name, rows in derive(batch).items():
-            _replace_buckets(spark, f"{path}/{name}", schemas[name], batch_id, changed, rows, buckets)
+    def merge(rows: DataFrame, batch_id: int) -> None:
+        batch = Batch(rows.sparkSession, path, batch_id, buckets)
+        changed = materialize(rows.select("doc_id").distinct(), "changed-documents")
+        touched = batch.touched(changed, "doc_id")
+        written = {}
+        for name, new in derive(rows).items():
+            before = batch.read(name, schemas[name], touched)
+            written[name] = batch.write(name, schemas[name], replace_documents(before, changed, new), "doc_id", touched)
+        if embed is not None:
+            _vectors(batch, written["chunks"], changed, touched, embed, dim)
+        batch.commit(keep)
 
     return documents.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def chunk_tables(batch: DataFrame) -> dict[str, DataFrame]:
-    """Derived tables of U1 for plain documents: chunks and postings."""
+    """Derived tables of U1 for plain documents ``(doc_id, text[, arrived])``: chunks and postings.
+
+    Of a document that arrives more than once in a batch the version with the latest ``arrived`` stands (of the same time the
+    greatest text); without that column such a document stops the batch, as nothing says which version is the last.
+    """
     from ragloom.functions.chunking import char_windows
 
-    last = batch.groupBy("doc_id").agg(F.last("text").alias("text"))
+    if "arrived" in batch.columns:
+        last = batch.groupBy("doc_id").agg(F.max_by("text", F.struct("arrived", "text")).alias("text"))
+    else:
+        unlike = F.when(F.count_distinct(F.coalesce("text", F.lit(""))) > 1, F.raise_error(F.concat(F.lit("a batch holds two versions of document "), F.col("doc_id").cast("string"))).cast("string"))
+        last = batch.groupBy("doc_id").agg(F.coalesce(unlike, F.max("text")).alias("text"))
     chunks = char_windows(last.select("doc_id", F.lit(None).cast("string").alias("title"), F.col("text").alias("contents"))).select("doc_id", "no", "chunk")
     postings = chunks.select("doc_id", "no", F.explode(ascii_tokens(F.col("chunk"))).alias("term")).groupBy("doc_id", "no", "term").agg(F.count("*").alias("tf"))
     return {"chunks": chunks, "postings": postings}

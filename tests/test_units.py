@@ -212,14 +212,14 @@ def test_ingest_stream(spark, tmp_path):
 
     def run():
         s = spark.readStream.schema("doc_id long, text string").parquet(src)
-        streams.ingest_stream(s, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", streams.chunk_tables, streams.CHUNK_SCHEMAS).awaitTermination()
+        streams.ingest_stream(s, f"file://{tmp_path}/out", f"file://{tmp_path}/cp", streams.chunk_tables, streams.CHUNK_SCHEMAS, buckets=8).awaitTermination()
         return {(r.doc_id, r.chunk) for r in streams.read_derived(spark, f"file://{tmp_path}/out/chunks", streams.CHUNK_SCHEMAS["chunks"]).collect()}
 
     assert run() == {(1, "one two"), (2, "three")}
     docs([(2, "four")]).coalesce(1).write.mode("append").parquet(src)
     assert run() == {(1, "one two"), (2, "four")}
     assert run() == {(1, "one two"), (2, "four")}
-    files = {f.split("/chunks/")[1].split("/")[0] for f in streams.read_derived(spark, f"file://{tmp_path}/out/chunks", streams.CHUNK_SCHEMAS["chunks"]).inputFiles()}
+    files = {f.split("/chunks/")[1].split("/")[0].split(".")[0] for f in streams.read_derived(spark, f"file://{tmp_path}/out/chunks", streams.CHUNK_SCHEMAS["chunks"]).inputFiles()}
     assert files == {"v=0", "v=1"}  # the bucket of document 1 wasn't written again
     docs([(2, "")]).coalesce(1).write.mode("append").parquet(src)
     assert run() == {(1, "one two")}
@@ -379,12 +379,13 @@ def test_posting_blocks_give_what_a_full_scan_gives(spark, tmp_path, okapi):
     texts[17] = (17, "rareone common")
     tok = text.ascii_tokens
     q = spark.createDataFrame(asked, "qid long, question string")
-    for name, ids in (("long", F.col("i")), ("string", F.concat(F.lit("c"), F.lpad("i", 5, "0"))), ("sparse", F.col("i") * 1_000_003)):
+    kinds = {"string": F.concat(F.lit("c"), F.lpad(F.col("i").cast("string"), 5, "0")), "long": F.col("i"), "sparse": F.col("i") * 1_000_003}
+    for name, ids in list(kinds.items())[: 1 if okapi else 3]:
         c = spark.createDataFrame(texts, "i long, contents string").select(ids.alias("chunk_id"), "contents").repartition(3)
         want = sorted(map(tuple, retrieval.bm25_search(retrieval.bm25_index(c, tok(F.col("contents"))), q, tok(F.col("question")), 5, okapi).collect()))
         path = f"{tmp_path}/{name}"
         postings.write_blocks(c, tok(F.col("contents")), path, buckets=8, cell_chunks=16)
-        for full in (0, 1000):
+        for full in (0, 1000) if name == "string" else (0,):
             got = postings.search_blocks(spark, path, q, tok(F.col("question")), 5, okapi, first_cells=2, full_scan_cells=full)
             assert sorted(map(tuple, got.collect())) == want and len(want) > 90
     blocks = spark.read.parquet(path + "/blocks")
@@ -441,3 +442,54 @@ def test_cuts_of_a_long_text_are_linear():
     got = chunking.cuts(lengths, 256, 32)
     assert time.time() - began < 5 and got[0][0] == 0 and got[-1][1] == len(lengths) - 1
     assert all(sum(lengths[a : b + 1]) <= 256 and (c <= b + 1 and sum(lengths[c : b + 1]) <= 32) for (a, b), (c, _) in zip(got[:2000], got[1:2001]))
+
+
+def test_snapshots_cover_all_tables_and_vectors_are_made_once(spark, tmp_path):
+    from ragloom.streaming import streams
+
+    at, calls = f"file://{tmp_path}", spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    def run(rows, derive=streams.chunk_tables):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        s = spark.readStream.schema("doc_id long, text string").parquet(f"{at}/in")
+        streams.ingest_stream(s, f"{at}/out", f"{at}/cp", derive, streams.CHUNK_SCHEMAS, buckets=4, embed=model, dim=2).awaitTermination()
+
+    def see():
+        schemas = streams.CHUNK_SCHEMAS | {streams.VECTORS: streams.VECTOR_SCHEMAS[streams.VECTORS]}
+        return {n: sorted(r.doc_id for r in streams.read_derived(spark, f"{at}/out/{n}", schema).select("doc_id").distinct().collect()) for n, schema in schemas.items()}
+
+    run([(1, "a b"), (2, "c d"), (3, "a b")])
+    assert calls.value == 2 and see() == dict.fromkeys(("chunks", "postings", "vectors"), [1, 2, 3])  # equal texts go through the model once
+
+    def broken(batch):
+        tables = streams.chunk_tables(batch)
+        return tables | {"postings": tables["postings"].withColumn("tf", F.raise_error(F.lit("stopped")).cast("long"))}
+
+    with pytest.raises(Exception, match="stopped"):
+        run([(2, "new text"), (4, "more")], broken)
+    assert see() == dict.fromkeys(("chunks", "postings", "vectors"), [1, 2, 3])  # chunks were written, but no manifest names them
+    first = streams.read_derived(spark, f"{at}/out/chunks", streams.CHUNK_SCHEMAS["chunks"])
+    assert {r.chunk for r in first.collect()} == {"a b", "c d"}
+
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(f"{at}/in")
+    run([(5, "c d")])
+    assert calls.value == 4 and see()["vectors"] == [1, 2, 3, 4, 5] and {r.chunk for r in streams.read_derived(spark, f"{at}/out/chunks", streams.CHUNK_SCHEMAS["chunks"]).collect()} == {"a b", "new text", "more", "c d"}
+    for _ in range(2):
+        run([(1, "z")])
+    assert calls.value == 5
+    left = {x.name for n in ("chunks", "postings", "vectors") for x in (tmp_path / "out" / n).iterdir()}
+    named = {f for v in (p.name[2:] for p in (tmp_path / "out/manifest").iterdir() if p.name.startswith("v=")) for (n, _), fs in streams.snapshot(spark, f"{at}/out", int(v)).items() for f in fs}
+    assert left <= named and len(list((tmp_path / "out/manifest").glob("v=*"))) == 2
+
+
+def test_two_versions_in_a_batch_need_an_order(spark):
+    from ragloom.streaming import streams
+
+    rows = spark.createDataFrame([(1, "old", 1), (1, "new", 2), (2, None, 1), (2, None, 1)], "doc_id long, text string, arrived long")
+    assert {r.chunk for r in streams.chunk_tables(rows)["chunks"].collect()} == {"new"}
+    with pytest.raises(Exception, match="two versions of document 1"):
+        streams.chunk_tables(rows.drop("arrived"))["chunks"].collect()
