@@ -9,11 +9,13 @@ Template: ``<s>``, then ``<<SYS>> text <</SYS>>``, ``[INST] text [/INST]`` and `
 turns, ``[TURN "role"] text [/TURN]`` for other roles. A control string inside a text gets a backslash more than it has;
 reading takes one away, so texts come back as they were.
 
-Conversations are formatted in blocks of at most ``BLOCK_TURNS`` turn numbers, so that a very long one is spread over
-tasks; windows and history don't cross blocks. Rows stream through in order: memory holds one window.
+Turns are numbered within their conversation by position (ranges are sorted in parallel and shifted by the sizes of those
+before), so turn numbers may be negative, sparse or times. A conversation is formatted in blocks of ``BLOCK_TURNS`` positions,
+so that a very long one is spread over tasks: a window ends where its block does, and the next block's first window
+repeats history from up to ``CARRIED_TURNS`` turns before the border. Rows stream through in order: memory holds one window.
 
-Defined cases: null text is empty, null role is the role ""; rows of one turn go by role and text; repeated rows are turns
-of their own; a null conv_id is one conversation; an empty table has no windows.
+Defined cases: null text is empty, null role is the role ""; turns without a number come first; rows of one turn go by role
+and text; repeated rows are turns of their own; a null conv_id is one conversation; an empty table has no windows.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ import re
 from bisect import bisect_left
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordpiece
 from .common import materialize, scoped
 
-WINDOW_TOKENS, HISTORY_TOKENS, BLOCK_TURNS = 1024, 256, 4096
+WINDOW_TOKENS, HISTORY_TOKENS, BLOCK_TURNS, CARRIED_TURNS = 1024, 256, 4096, 256
 #: Fixed control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[TURN", "[/TURN]", "[ANSWER]")
 _CONTROL = "|".join(map(re.escape, CONTROLS))
@@ -95,6 +98,11 @@ class _Windows:
         self.window = 0
         self.skip = system is not None and first  # the system turn itself comes as the first row
 
+    def carry(self, role: str, text: str) -> None:
+        """A turn of the block before, for history."""
+        self.past.append((role, text))
+        self.past_sum.append(self.past_sum[-1] + self.count(text))
+
     def add(self, role: str, text: str):
         tokens = self.count(text)
         if self.turns and self.sum[-1] + tokens > self.budget - self.head - self._kept_tokens():
@@ -146,16 +154,19 @@ def _formatter(budget, history, vocabulary):
             return out
 
         for b in batches:
-            conv, block, role, text, system, first = (b.column(k).to_pylist() for k in range(6))
+            conv, block, role, text, system, first, carried = (b.column(k).to_pylist() for k in range(7))
             for k in range(b.num_rows):
                 if open_block is None or key != (conv[k], block[k]):
-                    if open_block is not None:
+                    if open_block is not None and open_block.turns:
                         rows.append((*key, *open_block.flush()))
                     key, open_block = (conv[k], block[k]), _Windows(system[k], first[k], budget, history, count)
-                rows += [(*key, *w) for w in open_block.add(role[k], text[k])]
+                if carried[k]:
+                    open_block.carry(role[k], text[k])
+                else:
+                    rows += [(*key, *w) for w in open_block.add(role[k], text[k])]
                 if len(rows) >= 500:
                     yield batch()
-        if open_block is not None:
+        if open_block is not None and open_block.turns:  # behind a last full block only carried turns may stand
             rows.append((*key, *open_block.flush()))
         if rows:
             yield batch()
@@ -163,20 +174,47 @@ def _formatter(budget, history, vocabulary):
     return run
 
 
+def _numbered(batches):
+    """Rows sorted by conversation -> with their task and their number within conversation and task."""
+    task, last, n = TaskContext.get().partitionId(), None, 0
+    for b in batches:
+        conv, at = b.column(0).to_pylist(), []
+        for c in conv:
+            n = n + 1 if (c,) == last else 0
+            last = (c,)
+            at.append(n)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([task] * len(conv), pa.int32()), pa.array(at, pa.int64())], names=["conv_id", "role", "text", "part", "k"])
+
+
+def positions(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, role, text) -> (conv_id, role, text, position)``, positions from 0 in the order of turn, role and text.
+
+    Only conversations that begin in an earlier range have a shift, one for each border between ranges at most.
+    """
+    order = ["conv_id", "turn", "role", "text"]
+    ranged = turns.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text")
+    ranged = materialize(ranged.mapInArrow(_numbered, "conv_id long, role string, text string, part int, k long"), "turns")
+    sizes = ranged.groupBy("conv_id", "part").agg((F.max("k") + 1).alias("n"))
+    shift = sizes.select(F.col("conv_id").alias("of"), F.col("part").alias("at"), (F.sum("n").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("n")).alias("shift")).where("shift > 0")
+    x = ranged.join(shift, F.expr("conv_id <=> of and part = at"), "left")
+    return x.select("conv_id", "role", "text", (F.col("k") + F.coalesce("shift", F.lit(0))).alias("position"))
+
+
 def format_conversations(conversations: DataFrame, budget: int = WINDOW_TOKENS, history: int = HISTORY_TOKENS, vocabulary: str | None = None) -> DataFrame:
     """``conversations (conv_id, turn, role, text)`` -> windows, see ``WINDOW_SCHEMA``; ``block`` and ``window`` order them."""
     c = scoped(conversations, "conv_id", "turn", "role", "text").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    c = c.withColumn("block", F.floor(F.coalesce("turn", F.lit(0)) / BLOCK_TURNS).cast("long"))
-    # the first turn of each conversation, pre-aggregated in each task
-    opening = c.groupBy("conv_id").agg(F.min(F.struct("block", "turn", "role", "text")).alias("o"))
-    opening = opening.select(F.col("conv_id").alias("opened"), F.col("o.block").alias("first_block"), F.when(F.col("o.role") == "system", F.col("o.text")).alias("system"))
+    c = positions(c)
+    opening = c.where("position = 0 and role = 'system'").select(F.col("conv_id").alias("opened"), F.col("text").alias("system"))
     opening = materialize(opening, "openings")  # written, so that Spark can split the join of a long conversation
-    rows = c.join(opening, F.expr("conv_id <=> opened")).select(
-        "conv_id", "block", "role", "text", "system", (F.col("block") == F.col("first_block")).alias("first"), "turn"
-    )
-    dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text").drop("turn")
+    own = F.floor(F.col("position") / BLOCK_TURNS).cast("long")
+    borders = F.col("position") % BLOCK_TURNS >= BLOCK_TURNS - CARRIED_TURNS
+    places = [F.struct(own.alias("block"), F.lit(False).alias("carried")), F.struct((own + 1).alias("block"), F.lit(True).alias("carried"))]
+    rows = c.join(opening, F.expr("conv_id <=> opened"), "left").withColumn("place", F.explode(F.when(borders, F.array(*places)).otherwise(F.array(places[0]))))
+    # the leading system turn stands in every window anyway
+    rows = rows.where("not (place.carried and position = 0 and system is not null)").select("conv_id", "place.block", "role", "text", "system", (F.col("place.block") == 0).alias("first"), "place.carried", "position")
+    dealt = rows.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "position").drop("position")
     return dealt.mapInArrow(_formatter(budget, history, vocabulary or wordpiece.default_vocabulary()), WINDOW_SCHEMA)
 
 

@@ -165,9 +165,10 @@ def test_simhash(spark):
     docs = documents(spark, texts)
     kept = [r.doc_id for r in simhash.representatives(docs).collect()]
     assert sorted(kept) == sorted(set(root.values()))
-    odd = docs.unionByName(docs.where("doc_id < 30")).unionByName(docs.where("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long")))
+    unnamed = docs.where("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long"))
+    odd = docs.unionByName(docs.where("doc_id < 30")).unionByName(unnamed).unionByName(unnamed)
     again = [r.doc_id for r in simhash.representatives(odd).collect()]
-    assert again.count(None) == 1 and sorted(x for x in again if x is not None) == sorted(kept)
+    assert again.count(None) == 2 and sorted(x for x in again if x is not None) == sorted(kept)
 
 
 def test_fingerprint_links_are_complete(spark):
@@ -506,6 +507,31 @@ def test_chat_blocks(spark, monkeypatch):
         assert (x.loss_chars, x.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_windows_follow_positions_not_numbers(spark, monkeypatch):
+    """The same turns give the same windows, however they are numbered, and history crosses a block's border."""
+    said = [("user" if k % 2 == 0 else "assistant", f"turn {k} " + "word " * 20) for k in range(30)]
+
+    def windows(numbers):
+        df = spark.createDataFrame([(1, n, o, t) for n, (o, t) in zip(numbers, said)], "conv_id long, turn long, role string, text string").repartition(4)
+        return sorted((w.block, w.window, w.text, w.n_repeated) for w in chat.format_conversations(df, 200, 80).collect())
+
+    plain = windows(range(30))
+    assert len(plain) < 10 and sum(w[3] for w in plain) > 4
+    assert windows([k * 5000 for k in range(30)]) == windows([k - 90 for k in range(30)]) == windows([None, *range(1, 30)]) == plain
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 10)
+    cut = windows(range(30))
+    assert {w[0] for w in cut} == {0, 1, 2} and all(w[3] > 0 for w in cut if w[1] or w[0])  # each but the first repeats turns
+
+
+def test_chat_repeated_turn_numbers(spark):
+    rows = [(1, 5, "user", "b"), (1, 5, "user", "b"), (1, 5, "assistant", "a"), (1, -3, "user", "z"), (1, None, "assistant", "n"), (None, 1, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {x.conv_id: x for x in chat.read_back(chat.format_conversations(df)).collect()}
+    order = [("assistant", "n"), ("user", "z"), ("assistant", "a"), ("user", "b"), ("user", "b")]
+    assert got[1].n_turns == 5 and got[1].turns_sha256 == hashlib.sha256("".join(f"{o}\n{t}\n" for o, t in order).encode()).hexdigest()
+    assert got[1].loss_chars == 2 and got[None].n_turns == 1
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
