@@ -115,4 +115,6 @@ def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     gone = ids.where("not rep").select("doc_id")
     # a merge join at every size: a broadcast would pass the driver, and switch plans as the table grows
     out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
-    return out if ids.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    if ids.where("n > 1").isEmpty():
+        return out
+    return out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null"))
