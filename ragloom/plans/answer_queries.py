@@ -232,15 +232,16 @@ def loop_rounds(spark, d):
 
 @query()
 def ircot_rounds(spark, d):
-    from ragloom.operators import retrieval as rt
+    from ragloom.operators import postings as po
 
     from .loops import iterative_retrieval
+    from .retrieval_queries import saved_index
 
     c = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("contents"))
-    index = rt.bm25_index(c, ascii_tokens(F.col("contents")))
+    index = saved_index(spark, d)
 
     def search(q):
-        return rt.bm25_search(index, q, ascii_tokens(F.col("question")), 3).join(c, "chunk_id").select("qid", "rank", F.col("contents").alias("passage"))
+        return po.search_blocks(spark, index, q, ascii_tokens(F.col("question")), 3).join(c, "chunk_id").select("qid", "rank", F.col("contents").alias("passage"))
 
     def answer(prompts):
         return [("So the answer is " if "So far: t" in p else "the next. ") + str(len(p)) for p in prompts]
@@ -249,6 +250,32 @@ def ircot_rounds(spark, d):
     return iterative_retrieval(q, search, answer, "ircot", 3)
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM benchmark), w AS (SELECT item_id AS qid, 0 AS rounds, item_id % n AS cell FROM benchmark, n
+    UNION ALL SELECT qid, rounds + 1, (cell * 7 + 3) % n FROM w, n WHERE 2 * (rounds + 1) < 2 + qid % 9 AND rounds < 10),
+  h AS (SELECT doc_id, doc_id % n AS cell, row_number() OVER (PARTITION BY doc_id % n ORDER BY doc_id) AS rank, length(text) AS size FROM documents, n)
+  SELECT qid, max(rounds) AS rounds, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rounds, rank) AS pred, CAST(sum(size) AS BIGINT) AS size FROM w JOIN h USING (cell) WHERE rank <= 2 GROUP BY qid""")
+def branch_rag_rounds(spark, d):
+    """A question's searches find the two first documents of a residue class; the models read the passages' numbers, so rows tell each arm's work."""
+    from ragloom.operators import retrieval as rt
+
+    from .loops import branch_rag
+
+    docs, n = table(spark, d, "documents"), table(spark, d, "benchmark").count()
+    hits = rt.top_k(docs.select((F.col("doc_id") % n).alias("at"), "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.replace("text", F.lit("\n"), F.lit(" "))).alias("passage")), 2, ["at"], F.col("doc_id"))
+    numbers = lambda p: [int(x.split(":")[0]) for x in p.split("Documents:\n")[1].split("\n")[:-1]]
+
+    def search(q):
+        return q.withColumn("at", F.col("question").cast("long") % n).join(hits, "at").select("qid", "rank", "passage")
+
+    def check(prompts):
+        return ["<search>more" if len(numbers(p)) < 2 + int(p.split("\n")[0].split(": ")[1]) % 9 else "enough" for p in prompts]
+
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("item_id").cast("string").alias("question"))
+    x = branch_rag(q, search, check, lambda ps: [str((numbers(p)[-1] % n * 7 + 3) % n) for p in ps], lambda ps: ["so \\boxed{%s}" % ",".join(map(str, numbers(p))) for p in ps])
+    size = F.aggregate("passages", F.lit(0).cast("long"), lambda a, p: a + F.length(p) - F.length(F.regexp_extract(p, "^[0-9]+: ", 0)))
+    return x.select("qid", F.col("rounds").cast("long").alias("rounds"), "pred", size.alias("size"))
+
+
 # --- survey ----------------------------------------------------------------------------------------------------------
 
 

@@ -83,6 +83,52 @@ def iterative_retrieval(questions: DataFrame, search: Step, fn, recipe: str, rou
     return loop(rows, step, rounds).withColumn("pred", final(F.col("answer")))
 
 
+#: Prompts of the branching recipe.
+CHECK_TEMPLATE = "Question: {question}\nDocuments:\n{documents}\nIs more needed?"
+SUBQUESTION_TEMPLATE = "Question: {question}\nDocuments:\n{documents}\nNext query:"
+ANSWER_TEMPLATE = "Question: {question}\nDocuments:\n{documents}\nAnswer:"
+
+
+def _ask(rows: DataFrame, template: str, fn, name: str) -> DataFrame:
+    """A model's answer for each row as the column ``name``."""
+    from ragloom.functions.prompts import render
+
+    prompts = rows.select("qid", render(template, question=F.col("question"), documents=F.array_join("passages", "\n")).alias("prompt"))
+    said = generate(prompts, fn).withColumnRenamed("answer", name)
+    return rows.drop(name).join(said, "qid").withColumn(name, F.coalesce(name, F.lit("")))
+
+
+def _retrieved(found: DataFrame) -> DataFrame:
+    return found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage"))), lambda s: s["passage"]).alias("_found"))
+
+
+def branch_rag(questions: DataFrame, search: Step, check, subquestion, answer, times: int = 10) -> DataFrame:
+    """X22 with a branch in the loop: ``questions (qid, question) -> (qid, question, passages, rounds, said, pred)``.
+
+    All questions are searched once. In a round a model looks at each question's passages; where it asks for a search
+    (the ``continue`` arm) it writes a sub-question, whose passages go behind those that the question has, and the
+    question takes part in the next round; where it doesn't (``stop``) the question keeps what it has. At the end, or after ``times`` rounds, every question
+    is answered from all its passages. ``search(df with qid, question) -> (qid, rank, passage)``; ``check``, ``subquestion`` and ``answer``
+    take lists of prompts. Passages of a question are one array: rounds and the search's top-k bound it.
+    """
+    none = F.array().cast("array<string>")
+    rows = questions.select("qid", "question").join(_retrieved(search(questions.select("qid", "question"))), "qid", "left")
+    rows = rows.select("qid", "question", F.coalesce("_found", none).alias("passages"), F.lit(0).alias("rounds"), F.lit("continue").alias("state"), F.lit(True).alias("active"))
+
+    def more(x: DataFrame) -> DataFrame:
+        x = _ask(x, SUBQUESTION_TEMPLATE, subquestion, "subq")
+        found = _retrieved(search(x.select("qid", F.col("subq").alias("question"))))
+        return x.join(found, "qid", "left").withColumns({"passages": F.concat("passages", F.coalesce("_found", none)), "rounds": F.col("rounds") + 1})
+
+    def step(going: DataFrame, turn: int) -> DataFrame:
+        judged = _ask(going, CHECK_TEMPLATE, check, "judged").withColumn("state", parsing.ROUTES["search_tag"](F.col("judged"))).drop("judged")
+        judged = materialize(judged, "judged")  # both arms read it, and the model runs once
+        return branch(judged, {"continue": more}).withColumn("active", F.col("state") == "continue")
+
+    done = _ask(loop(rows, step, times), ANSWER_TEMPLATE, answer, "said")
+    return done.select("qid", "question", "passages", "rounds", "said", parsing.boxed(F.col("said")).alias("pred"))
+
+
 def accumulate(trace: DataFrame) -> DataFrame:
     """``(qid, round, var, value)`` -> per question and variable the values of all rounds in order; absent rounds give none."""
     return trace.groupBy("qid", "var").agg(F.transform(F.array_sort(F.collect_list(F.struct("round", "value"))), lambda s: s["value"]).alias("values"))

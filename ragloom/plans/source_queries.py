@@ -101,6 +101,37 @@ def trace_file(spark, d):
     return spark.read.schema(t.schema).parquet(path).select("run_id", "qid", "round", "value")
 
 
+def _file_tree(spark: SparkSession, d: str, name: str) -> str:
+    """Each document as a file of its own."""
+    path = shared_path(spark, name)
+    table(spark, d, "documents").where("text is not null").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query(f"""WITH x AS (SELECT trim(regexp_replace(replace(replace(replace(text, chr(12288), ' '), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS contents FROM documents)
+  SELECT contents, true AS named FROM x WHERE contents <> ''""")
+def text_tree(spark, d):
+    x = rd.text_corpus(spark, _file_tree(spark, d, "text-tree"))
+    return x.select("contents", ((F.col("id") == F.col("title")) & F.col("id").startswith("part-")).alias("named"))
+
+
+@query("""SELECT 'kb' AS kb_id, octet_length(encode(text)) + 1 AS n_bytes, 'pending' AS state, true AS dated FROM documents WHERE text IS NOT NULL""")
+def registered_files(spark, d):
+    x = rd.register_files(spark, _file_tree(spark, d, "listing"), "kb").where(F.col("doc_id").startswith("part-"))
+    return x.select("kb_id", "n_bytes", "state", F.col("created_at").isNotNull().alias("dated"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM documents WHERE doc_id % 3 <> 0) SELECT CAST(i AS BIGINT) AS id, true AS named FROM n, unnest(range(0, n)) AS u(i)""")
+def image_tree(spark, d):
+    """Files by an image's name, a third of them without an image's first bytes."""
+    path, i = shared_path(spark, "image-tree"), F.col("doc_id")
+    head = F.when(i % 3 == 0, "plain ").when(i % 3 == 1, "GIF87a").otherwise("GIF89a")
+    rows = table(spark, d, "documents").select(F.concat(head, i.cast("string")).alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).option("extension", "gif").option("quote", "").csv(path)
+    x = rd.image_corpus(spark, path)
+    return x.select("id", (F.col("image_id") == F.regexp_extract("image_path", r"([^/]+)\.gif$", 1)).alias("named"))
+
+
 # --- operators over the same tables ----------------------------------------------------------------------------------
 
 
