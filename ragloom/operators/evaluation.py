@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ragloom.functions.stemming import stem
 from ragloom.functions.text import eval_normalize
 
 UNTAGGED, MIN_TAGGED, LOW_F1 = "_untagged", 3, 0.3
@@ -22,12 +23,18 @@ def _words(x: Column) -> Column:
     return F.filter(F.split(x, " "), lambda w: w != "")
 
 
+def _stemmed(words: list[str]) -> list[str]:
+    """Words of over three letters by their stem."""
+    return [stem(w) if len(w) > 3 else w for w in words]
+
+
 @functools.cache
-def _best_overlap(n: int):
+def _best_overlap(n: int, stems: bool = False):
     """Batch by batch: F1 of the ``n``-grams of space-separated words, the best of all golds; linear in the words."""
 
     def grams(text: str) -> Counter:
         words = [w for w in text.split(" ") if w]
+        words = _stemmed(words) if stems else words
         return Counter(words if n == 1 else zip(*(words[k:] for k in range(n))))
 
     @F.pandas_udf(DoubleType())
@@ -73,9 +80,9 @@ def _rouge_tokens(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), 0)
 
 
-def rouge_n(golds: Column, pred: Column, n: int) -> Column:
-    """M6 without stemming, on raw texts."""
-    return _best_overlap(n)(F.transform(golds, lambda g: F.array_join(_rouge_tokens(g), " ")), F.array_join(_rouge_tokens(pred), " "))
+def rouge_n(golds: Column, pred: Column, n: int, stems: bool = False) -> Column:
+    """M6: without stems for raw texts, as collections are evaluated; with them for normalised ones, as benchmarks are."""
+    return _best_overlap(n, stems)(F.transform(golds, lambda g: F.array_join(_rouge_tokens(g), " ")), F.array_join(_rouge_tokens(pred), " "))
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -91,27 +98,34 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf(DoubleType())
-def _best_rouge_l(golds: pd.Series, pred: pd.Series) -> pd.Series:
-    def one(gs, p):
-        best = 0.0
-        for g in gs if gs is not None else ():
-            if len(g) and len(p) and (n := common_subsequence(list(g), list(p))):
-                best = max(best, 2.0 * n / (len(g) + len(p)))
-        return best
+@functools.cache
+def _best_rouge_l(stems: bool):
+    @F.pandas_udf(DoubleType())
+    def best(golds: pd.Series, pred: pd.Series) -> pd.Series:
+        words = _stemmed if stems else list
 
-    return pd.Series([one(g, p) for g, p in zip(golds, pred)], dtype="float64")
+        def one(gs, p):
+            top, mine = 0.0, words(list(p))
+            for g in gs if gs is not None else ():
+                if len(g) and len(p) and (n := common_subsequence(words(list(g)), mine)):
+                    top = max(top, 2.0 * n / (len(g) + len(p)))
+            return top
+
+        return pd.Series([one(g, p) for g, p in zip(golds, pred)], dtype="float64")
+
+    return best
 
 
-def rouge_l(golds: Column, pred: Column) -> Column:
-    """M7 without stemming, on raw texts, batch by batch: built-in functions can't hold the table of two long texts."""
-    return _best_rouge_l(F.transform(golds, _rouge_tokens), _rouge_tokens(pred))
+def rouge_l(golds: Column, pred: Column, stems: bool = False) -> Column:
+    """M7, raw or stemmed as M6, batch by batch: built-in functions can't hold the table of two long texts."""
+    return _best_rouge_l(stems)(F.transform(golds, _rouge_tokens), _rouge_tokens(pred))
 
 
 #: M8: metric name -> column of (golds, prediction), both normalised, and whether it wants raw texts instead.
 METRICS = {
     "acc": (accuracy, False), "em": (exact_match, False), "coverem": (cover_match, False), "stringem": (string_match, False), "f1": (token_f1, False),
     "rouge1": (lambda g, p: rouge_n(g, p, 1), True), "rouge2": (lambda g, p: rouge_n(g, p, 2), True), "rougel": (rouge_l, True),
+    "rouge1_stem": (lambda g, p: rouge_n(g, p, 1, True), False), "rouge2_stem": (lambda g, p: rouge_n(g, p, 2, True), False), "rougel_stem": (lambda g, p: rouge_l(g, p, True), False),
 }
 
 

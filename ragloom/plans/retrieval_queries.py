@@ -395,6 +395,11 @@ def rouge_metrics(spark, d):
     return ev.generation_metrics(answers(spark, d), ["rouge1", "rouge2"])
 
 
+@query()
+def rouge_stemmed(spark, d):
+    return ev.generation_metrics(answers(spark, d), ["rouge1_stem", "rouge2_stem", "rougel_stem"])
+
+
 @query()
 def rouge_l(spark, d):
     return ev.generation_metrics(answers(spark, d), ["rougel"])

@@ -186,7 +186,18 @@ def toggle_context(spark, d):
     return chunking.toggle_context(x, on=False).select("doc_id", "context", "context_off", "flipped")
 
 
-@query()
+_END, _START = r"'[。！？!?；;…]\s*[”’」』》）】]*\s*$'", r"'^[\x{4e00}-\x{9fff}0-9a-zA-Z“"‘’《（(【\[「『<]'"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, string_split_regex(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\n{{2,}}') AS ps FROM documents),
+  p AS (SELECT doc_id, unnest(range(len(ps))) AS pn, unnest(ps) AS para FROM x),
+  l AS (SELECT doc_id, pn, unnest(range(len(string_split(para, chr(10))))) AS ln, trim(unnest(string_split(para, chr(10))), {_SPACES}) AS line FROM p),
+  k AS (SELECT *, ln = max(ln) OVER (PARTITION BY doc_id, pn) AS last FROM l WHERE line <> ''),
+  j AS (SELECT doc_id, pn, trim(regexp_replace(string_agg(CASE WHEN last THEN line WHEN NOT regexp_matches(line, {_END}) AND line LIKE '%-' AND length(line) > 1 THEN left(line, -1) ELSE line || ' ' END, '' ORDER BY ln), '[ \t\n\x0B\f\r]+', ' ', 'g'), {_SPACES}) AS t FROM k GROUP BY doc_id, pn),
+  n AS (SELECT *, lead(t) OVER (PARTITION BY doc_id ORDER BY pn) AS after FROM j),
+  t AS (SELECT doc_id, trim(string_agg(CASE WHEN after IS NULL THEN t WHEN NOT regexp_matches(t, {_END}) AND regexp_matches(after, {_START}) THEN CASE WHEN t LIKE '%-' THEN regexp_replace(t, '-+$', '') ELSE t || ' ' END ELSE t || chr(10) || chr(10) END, '' ORDER BY pn), {_SPACES}) AS text FROM n GROUP BY doc_id)
+  SELECT doc_id, coalesce(t.text, '') AS text FROM documents LEFT JOIN t USING (doc_id)""")
 def reflow_paragraphs(spark, d):
     return _docs(spark, d).select("doc_id", text.reflow_paragraphs(F.col("text")).alias("text"))
 

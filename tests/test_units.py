@@ -493,3 +493,22 @@ def test_two_versions_in_a_batch_need_an_order(spark):
     assert {r.chunk for r in streams.chunk_tables(rows)["chunks"].collect()} == {"new"}
     with pytest.raises(Exception, match="two versions of document 1"):
         streams.chunk_tables(rows.drop("arrived"))["chunks"].collect()
+
+
+def test_stems_of_fixed_words():
+    from ragloom.functions.stemming import stem
+
+    pairs = """caresses caress ponies poni ties tie cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop
+      falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky skies sky relational relat conditional condit rational ration valenci valenc digitizer digit operator oper
+      feudalism feudal decisiveness decis hopefulness hope formaliti formal triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow
+      inference infer airliner airlin adjustable adjust irritant irrit replacement replac adoption adopt communism commun effective effect bowdlerize bowdler probate probat rate rate cease ceas
+      controll control roll roll dying die died die spied spi news news enjoy enjoy geology geolog hopefully hope as as""".split()
+    assert {w: stem(w) for w in pairs[::2]} == dict(zip(pairs[::2], pairs[1::2]))
+
+
+def test_stemmed_overlap(spark):
+    a = spark.createDataFrame([(1, ["The Ponies were hopping", "x"], "a pony hops!"), (2, None, "x"), (3, [""], "")], "id long, golds array<string>, pred string")
+    got = {r.id: r for r in evaluation.generation_metrics(a, ["rouge1_stem", "rouge2_stem", "rougel_stem", "rouge1"]).collect()}
+    # ponies and pony share a stem, hopping and hops too (three letters and one); articles and marks go first
+    assert (got[1].rouge1_stem, got[1].rouge2_stem, got[1].rougel_stem) == (0.8, 0.0, 0.8) and got[1].rouge1 == 0
+    assert got[2].rouge1_stem == got[3].rougel_stem == 0
