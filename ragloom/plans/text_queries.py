@@ -186,7 +186,8 @@ def toggle_context(spark, d):
     return chunking.toggle_context(x, on=False).select("doc_id", "context", "context_off", "flipped")
 
 
-_END, _START = r"'[。！？!?；;…]\s*[”’」』》）】]*\s*$'", r"'^[\x{4e00}-\x{9fff}0-9a-zA-Z“"‘’《（(【\[「『<]'"
+_END = r"'[。！？!?；;…]\s*[”’」』》）】]*\s*$'"
+_START = r"""'^[\x{4e00}-\x{9fff}0-9a-zA-Z“"‘’《（(【\[「『<]'"""
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
