@@ -202,16 +202,31 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, metadata: C
     return top_k(local, k, ["qid"], F.desc("score"), "chunk_id")
 
 
-def search_collection(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def search_collection(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, part: int = 65_536) -> DataFrame:
     """The best ``k`` vectors of each question's own collection, ``(kb_id, chunk_id, embedding), (qid, kb_id, embedding)``.
 
     Written with ``partitionBy("kb_id")`` the vectors of collections that nobody asks for aren't read (partition pruning).
-    Vectors and questions of a collection are scored in the join; only ``k`` rows a question are ranked.
+    A collection is a grid of vector parts and question blocks, as large as its own counts ask for: a cell multiplies
+    once and keeps ``k`` rows a question, so a collection that holds most vectors, or gets most questions, is many tasks.
     """
-    v = vectors.where("embedding is not null").select("kb_id", F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.where("embedding is not null").select("kb_id", F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
     q = queries.where("embedding is not null").select("kb_id", F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("e"))
-    dot = F.aggregate(F.zip_with("e", "v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return top_k(v.join(q, "kb_id").select("qid", "kb_id", "chunk_id", F.round(F.round(dot, 9), 6).alias("score")), k, ["qid"], F.desc("score"), "chunk_id")
+    sizes = q.groupBy("kb_id").agg(F.ceil(F.count("*") / block).cast("int").alias("nb")).join(v.groupBy("kb_id").agg(F.ceil(F.count("*") / part).cast("int").alias("np")), "kb_id")
+    sizes = materialize(sizes, "collection-sizes")
+    each = [F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("nb", "np")]
+    left = v.join(sizes, "kb_id").select("kb_id", "chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), "np").cast("int").alias("p"), each[0].alias("b"))
+    right = q.join(sizes, "kb_id").select("kb_id", "qid", "e", each[1].alias("p"), F.pmod(F.xxhash64("qid"), "nb").cast("int").alias("b"))
+    kind = vectors.schema["kb_id"].dataType.simpleString()
+
+    def cell(_, a: pa.Table, c: pa.Table) -> pa.Table:
+        if not (a.num_rows and c.num_rows):
+            return pa.table({"kb_id": a["kb_id"][:0], "qid": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        found = pa.Table.from_batches([_best_of(a["chunk_id"].to_numpy(), _matrix(a["embedding"]), c["qid"].to_numpy(), _matrix(c["e"]), k)])
+        return found.add_column(0, "kb_id", a["kb_id"].take(pa.array(np.zeros(found.num_rows, np.int64))))
+
+    keys = ["kb_id", "p", "b"]
+    local = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, f"kb_id {kind}, {NEAREST}")
+    return top_k(local, k, ["qid"], F.desc("score"), F.col("chunk_id"))
 
 
 def embed_texts(texts: DataFrame, embed, batch: int = 64, dim: int = 64, retries: int = 1) -> DataFrame:

@@ -512,3 +512,19 @@ def test_stemmed_overlap(spark):
     # ponies and pony share a stem, hopping and hops too (three letters and one); articles and marks go first
     assert (got[1].rouge1_stem, got[1].rouge2_stem, got[1].rougel_stem) == (0.8, 0.0, 0.8) and got[1].rouge1 == 0
     assert got[2].rouge1_stem == got[3].rougel_stem == 0
+
+
+def test_collection_search_in_parts_and_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [("hot" if i % 3 else f"kb{i % 7}", i, [float(x) for x in r.integers(-3, 4, 3)]) for i in range(300)] + [("hot", 900, None)]
+    asked = [(i, "hot" if i % 2 else "kb3", [float(x) for x in r.integers(-3, 4, 3)]) for i in range(30)] + [(70, "nowhere", [1.0, 1.0, 1.0]), (71, "hot", None)]
+    v, q = spark.createDataFrame(rows, "kb_id string, chunk_id long, embedding array<float>"), spark.createDataFrame(asked, "qid long, kb_id string, embedding array<float>")
+    want = []
+    for qid, kb, e in asked:
+        scored = sorted((-float(np.dot(e, x)), c) for k, c, x in rows if k == kb and x is not None and e is not None)[:4]
+        want += [(qid, kb, c, -s, n + 1) for n, (s, c) in enumerate(scored)]
+    for size in ({}, {"block": 4, "part": 16}):
+        got = retrieval.search_collection(v, q, 4, **size).select("qid", "kb_id", "chunk_id", "score", "rank").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
