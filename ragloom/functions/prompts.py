@@ -78,5 +78,8 @@ TEMPLATES = {
     "page_subq": "Question: {question}\nPlan: {plan}\nPage: {page}\nNext sub-question:",
     "page_answer": "Page: {page}\nQuestion: {question}\nAnswer:",
     "page_fill": "Question: {question}\nPlan: {plan}\nPage: {page}\nSub-question: {subq}\nPassages:\n{passages}\nPage:",
-    "survey": "Task: {instruction}\nOutline:\n{outline}\nAt: {cursor}\nKnown:\n{info}\n",
+    "survey_search": "Task: {instruction}\nOutline:\n{outline}\nAt: {cursor}\nSearch for:",
+    "survey_init": "Task: {instruction}\nKnown:\n{info}\nPlan:",
+    "survey_write": "Task: {instruction}\nSurvey:\n{outline}\nAt: {cursor}\nKnown:\n{info}\nText:",
+    "survey_extend": "Task: {instruction}\nSurvey:\n{outline}\nExtend:",
 }

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragloom.functions import actions
-from ragloom.functions.prompts import render
+from ragloom.functions.prompts import TEMPLATES, render
+from ragloom.functions.text import strip
 
 MAX_STEPS, MAX_EXTENDS = 140, 12
 #: Node table: position i.j.k (0 where a level is missing) with title, plan and content.
@@ -121,23 +122,52 @@ def outline_summary(nodes: DataFrame) -> DataFrame:
 NO_SURVEY, NO_INFO = "There is no survey.", "<PAD>"  # fixed values
 
 
-def survey_prompts(tasks: DataFrame, nodes: DataFrame, template: str) -> DataFrame:
-    """P10: ``tasks (qid, instruction, info)`` -> ``(qid, prompt)``: a template over the outline's summary and cursor (V4).
+def last_done(nodes: DataFrame) -> DataFrame:
+    """V4: ``(qid, now)``: the node before the first one without content in reading order, ``outline`` if that is the first of all."""
+    pos = F.struct("i", "j", "k")
+    first = nodes.groupBy("qid").agg(F.min(F.when(F.col("content").isNull(), pos)).alias("_open"))
+    x = nodes.join(first, "qid").groupBy("qid").agg(F.max(F.when(F.col("_open").isNull() | (pos < F.col("_open")), pos)).alias("d"))
+    return x.select("qid", F.when(F.col("d").isNull(), "outline").otherwise(position(F.col("d.i"), F.col("d.j"), F.col("d.k"))).alias("now"))
+
 
-    A task without nodes says that there is no survey; padding counts as no information. Slots a template lacks are left
-    out, so one function serves the search, plan, write and extend steps.
+def outline_text(nodes: DataFrame, titles: DataFrame, detail: bool = False) -> DataFrame:
+    """P10: ``(qid, outline)``: a title line, then a line for each node with its content, or its plan where it has none.
+
+    ``titles (qid, title)``: a null title is "None". With ``detail`` nodes near the last written one show only what is written: there an
+    empty content hides the plan.
     """
-    x = tasks.join(outline_summary(nodes), "qid", "left").join(cursor(nodes).select("qid", "cursor"), "qid", "left")
-    return x.select(
-        "qid",
-        render(
-            template,
-            instruction=F.col("instruction"),
-            outline=F.coalesce("summary", F.lit(NO_SURVEY)),
-            cursor=F.concat(F.lit("You need to update "), F.coalesce("cursor", F.lit("None"))),
-            info=F.when(F.col("info") == NO_INFO, "").otherwise(F.coalesce("info", F.lit(""))),
-        ).alias("prompt"),
-    )
+    line = lambda c: strip(F.replace(c, F.lit("\n"), F.lit(" ")))
+    part, level = position(F.col("i"), F.col("j"), F.col("k")), 1 + (F.col("j") > 0).cast("int") + (F.col("k") > 0).cast("int")
+    x = nodes
+    full = F.lit(False)
+    if detail:
+        x = x.join(last_done(nodes), "qid")
+        depth = F.size(F.split("now", r"\.", -1)) - 1
+        at = [F.startswith("now", position(F.col("i"), j, F.lit(0))) for j in (F.lit(0), F.col("j"))]
+        below = F.when(level == 2, (at[0] & (depth == 1)) | (at[1] & (depth == 2))).otherwise(at[1])
+        full = F.when(level == 1, (depth == 0) | (at[0] & (depth == 1))).otherwise(below)
+    body = F.when(F.col("content") != "", F.concat(F.lit("[OK] "), line(F.col("content")))).when(F.col("plan").isNotNull() & (F.col("content").isNull() | ~full), F.concat(F.lit("[PLAN] "), line(F.col("plan")))).otherwise("")
+    shown = F.concat(F.repeat(F.lit("    "), level - 1), F.repeat(F.lit("#"), level), F.lit(" S"), F.substring(part, F.lit(2), F.length(part)), F.lit(" ["), F.coalesce("title", F.lit("")), F.lit("]: "), body, F.lit("\n"))
+    lines = x.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("i", "j", "k", shown.alias("s")))).alias("ls"))
+    title = F.when(F.col("title").isNull(), "None").when(F.col("title") == "", "").otherwise(F.concat(F.lit("[OK] "), line(F.col("title"))))
+    return titles.join(lines, "qid", "left").select("qid", F.concat(F.lit("# Title: "), title, F.lit("\n"), F.coalesce(F.array_join(F.transform("ls", lambda s: s["s"]), ""), F.lit(""))).alias("outline"))
+
+
+def survey_prompts(step: str, tasks: DataFrame, nodes: DataFrame, titles: DataFrame, template: str | None = None) -> DataFrame:
+    """P10: ``tasks (qid, instruction, cursor, info)`` -> ``(qid, prompt)`` of one of the steps search, init, write and extend.
+
+    A search sees the outline and where it goes on, a first plan what was found, writing all of these with the detail of
+    ``outline_text``, an extension the outline. A task without title row says that there is no survey; padding counts as no information.
+    """
+    text = outline_text(nodes, titles, detail=step == "write")
+    x = tasks.join(text, "qid", "left")
+    slots = {
+        "instruction": F.col("instruction"),
+        "outline": F.coalesce("outline", F.lit(NO_SURVEY)),
+        "cursor": F.concat(F.lit("You need to update "), F.coalesce("cursor", F.lit("None"))),
+        "info": F.when(F.col("info") == NO_INFO, "").otherwise(F.coalesce("info", F.lit(""))),
+    }
+    return x.select("qid", render(template or TEMPLATES[f"survey_{step}"], **slots).alias("prompt"))
 
 
 def render_outline(nodes: DataFrame) -> DataFrame:

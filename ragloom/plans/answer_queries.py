@@ -304,15 +304,6 @@ def survey_outline(spark, d):
     return sv.render_outline(sv.update_outline(n, n.where("k = 1").withColumn("content", F.lit("new"))))
 
 
-@query(f"""WITH {_NODES}, s AS (SELECT qid, string_agg(p || ' ' || title || CASE WHEN content IS NULL THEN ' [open]' ELSE ' [OK]' END, chr(10) ORDER BY o) AS summary, min_by(p, o) FILTER (content IS NULL) AS cursor FROM np GROUP BY qid)
-  SELECT item_id AS qid, 'Task: ' || {_ESC.format("text")} || chr(10) || 'Outline:' || chr(10) || coalesce(summary, 'There is no survey.') || chr(10) || 'At: You need to update ' || coalesce(cursor, 'None') || chr(10) || 'Known:' || chr(10) || CASE WHEN item_id % 2 = 0 THEN '' ELSE 'i' || item_id END || chr(10) AS prompt
-  FROM benchmark LEFT JOIN s ON item_id = qid * 2""")
-def survey_prompts(spark, d):
-    i = F.col("item_id")
-    tasks = table(spark, d, "benchmark").select(i.alias("qid"), F.col("text").alias("instruction"), F.when(i % 2 == 0, "<PAD>").otherwise(F.concat(F.lit("i"), i.cast("string"))).alias("info"))
-    return sv.survey_prompts(tasks, _nodes(spark, d).withColumn("qid", F.col("qid") * 2), pr.TEMPLATES["survey"])
-
-
 # --- curation --------------------------------------------------------------------------------------------------------
 
 _KEY = "translate(translate(lower(trim(text)), '，。！？、；：（）【】「」《》—…!?,.;:()[]{}\"''`', ''), ' ' || chr(9) || chr(13) || chr(10), '')"

@@ -131,3 +131,42 @@ def survey_state(spark, d):
     pick = lambda names: F.element_at(F.array(*[F.lit(x).cast("string") for x in names]), (i % len(names) + 1).cast("int"))
     n = sv.next_state(pick((sv.SEARCH, sv.INIT, sv.WRITE, sv.EXTEND, sv.DONE)), pick(("outline", "section-1", None)), i % 14, pick((sv.EXTENDED, sv.NOP, sv.RETRY, None)), i % 150, i % 7 != 0)
     return table(spark, d, "documents").select("doc_id", n.alias("n")).select("doc_id", F.col("n.step").cast("long").alias("step"), "n.state", F.col("n.extend_time").cast("long").alias("extend_time"))
+
+
+# --- prompts -----------------------------------------------------------------------------------------------------------
+
+_PLACES = ((1, 0, 0), (1, 1, 0), (1, 1, 1), (1, 2, 0), (2, 0, 0), (2, 1, 0), (3, 0, 0))
+_NAMES = [".".join(str(n) for n in p if n) for p in _PLACES]
+_ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&#34;')"
+
+
+def _outline_sql(full: str) -> str:
+    body = f"CASE WHEN r < done AND NOT blank THEN '[OK] ' || trim(replace(text, chr(10), ' '), {_TRIM}) WHEN r >= done OR NOT ({full}) THEN '[PLAN] ' || source ELSE '' END"
+    line = f"repeat('    ', deep) || repeat('#', deep + 1) || ' Section-' || p || ' [' || lang || r || ']: ' || {body} || chr(10)"
+    return f"'# Title: ' || CASE qid % 3 WHEN 0 THEN 'None' WHEN 1 THEN '' ELSE '[OK] Survey ' || qid END || chr(10) || string_agg({line}, '' ORDER BY r)"
+
+
+@query(f"""WITH n AS (SELECT *, doc_id // 7 AS qid, CAST(doc_id % 7 AS INTEGER) AS r, (doc_id // 7) % 9 AS done FROM documents),
+  m AS (SELECT *, {_NAMES}[r + 1] AS p, length({_NAMES}[r + 1]) // 2 AS deep, CASE WHEN done = 0 THEN 'outline' ELSE {_NAMES}[least(done, 7)] END AS now, trim(text, {_TRIM}) = '' OR (r = 3 AND qid % 2 = 1) OR (r = 0 AND qid % 5 = 1) AS blank FROM n),
+  g AS (SELECT *, CASE WHEN now = 'outline' THEN 0 ELSE length(now) // 2 END AS hire, now <> 'outline' AND starts_with(now, p[1]) AS at1, now <> 'outline' AND starts_with(now, p[1:3]) AS at2 FROM m),
+  o AS (SELECT qid, {_outline_sql('false')} AS brief, {_outline_sql("CASE deep WHEN 0 THEN hire = 0 OR (at1 AND hire = 1) WHEN 1 THEN (at1 AND hire = 1) OR (at2 AND hire = 2) ELSE at2 END")} AS whole FROM g GROUP BY qid),
+  t AS (SELECT item_id AS qid, {_ESCAPED.format('text')} AS task, {_ESCAPED.format("coalesce(brief, 'There is no survey.')")} AS brief, {_ESCAPED.format("coalesce(whole, 'There is no survey.')")} AS whole, 'You need to update ' || CASE WHEN item_id % 4 = 0 THEN 'None' ELSE 'section-' || item_id % 4 END AS at_node, CASE WHEN item_id % 2 = 0 THEN '' ELSE 'i' || item_id END AS info
+    FROM benchmark LEFT JOIN o ON o.qid * 2 = item_id)
+  SELECT qid, 'Task: ' || task || chr(10) || 'Outline:' || chr(10) || brief || chr(10) || 'At: ' || at_node || chr(10) || 'Search for:' AS search, 'Task: ' || task || chr(10) || 'Known:' || chr(10) || info || chr(10) || 'Plan:' AS init,
+    'Task: ' || task || chr(10) || 'Survey:' || chr(10) || whole || chr(10) || 'At: ' || at_node || chr(10) || 'Known:' || chr(10) || info || chr(10) || 'Text:' AS write, 'Task: ' || task || chr(10) || 'Survey:' || chr(10) || brief || chr(10) || 'Extend:' AS extend FROM t""")
+def survey_prompts(spark, d):
+    """Seven documents are an outline's nodes, so many of them written as the outline's number says; every second task has an outline."""
+    i, qid = F.col("doc_id"), F.floor(F.col("doc_id") / 7)
+    r = (i % 7).cast("int")
+    at = F.element_at(F.array(*[F.struct(*[F.lit(n).alias(c) for n, c in zip(p, "ijk")]) for p in _PLACES]), r + 1)
+    blank = (strip(F.col("text")) == "") | ((r == 3) & (qid % 2 == 1)) | ((r == 0) & (qid % 5 == 1))
+    content = F.when(r < qid % 9, F.when(blank, "").otherwise(F.col("text")))
+    nodes = table(spark, d, "documents").select((qid * 2).alias("qid"), at.alias("at"), F.concat("lang", r.cast("string")).alias("title"), F.col("source").alias("plan"), content.alias("content")).select("qid", "at.*", "title", "plan", "content")
+    x = nodes.select("qid").distinct()
+    titles = x.select("qid", F.when(F.col("qid") / 2 % 3 == 1, "").when(F.col("qid") / 2 % 3 == 2, F.concat(F.lit("Survey "), (F.col("qid") / 2).cast("long").cast("string"))).alias("title"))
+    n = F.col("item_id")
+    tasks = table(spark, d, "benchmark").select(n.alias("qid"), F.col("text").alias("instruction"), F.when(n % 4 != 0, F.concat(F.lit("section-"), (n % 4).cast("string"))).alias("cursor"), F.when(n % 2 == 0, "<PAD>").otherwise(F.concat(F.lit("i"), n.cast("string"))).alias("info"))
+    out = tasks.select("qid")
+    for step in ("search", "init", "write", "extend"):
+        out = out.join(sv.survey_prompts(step, tasks, nodes, titles).withColumnRenamed("prompt", step), "qid")
+    return out
