@@ -15,6 +15,7 @@ from ragloom.operators import graph as gr
 from ragloom.operators import survey as sv
 from ragloom.sources import readers as rd
 from ragloom.streaming import streams as st
+from ragloom.streaming import tracking as tr
 
 from .registry import query, table
 
@@ -208,3 +209,23 @@ def stream_mined_questions(spark, d):
     # a stream's first watermark is the epoch itself, so turns are seconds of a later day
     asked = talk.select(F.timestamp_seconds(F.col("turn") + 86_400).alias("ts"), F.col("text"))
     return st.run_available(st.mined_queries(asked), "mined", "append").select("norm")
+
+
+def _tracked(spark: SparkSession, d: str, name: str) -> DataFrame:
+    at = shared_path(spark, "tracked")
+    events = st.stream_table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("state"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    tr.keep_tracked(tr.tracked(events, 120, ("click", "view")), f"{at}/out", f"{at}/state", buckets=8)
+    return tr.read_tracked(spark, f"{at}/out", name)
+
+
+_LAST = "SELECT user_id AS doc_id, event_type AS state, event_id, epoch_us(ts) // 1000 AS at_ms, ts, max(ts) OVER () AS last, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS k FROM events"
+
+
+@query(f"SELECT doc_id, state, at_ms, event_id FROM ({_LAST}) WHERE k = 1")
+def stream_tracked_states(spark, d):
+    return _tracked(spark, d, tr.STATES)
+
+
+@query(f"SELECT doc_id, state, at_ms FROM ({_LAST}) WHERE k = 1 AND state IN ('click', 'view') AND ts + INTERVAL 2 HOUR <= last - INTERVAL 1 HOUR")
+def stream_stale_documents(spark, d):
+    return _tracked(spark, d, tr.ALARMS).select("doc_id", "state", "at_ms")

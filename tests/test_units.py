@@ -528,3 +528,28 @@ def test_collection_search_in_parts_and_blocks(spark):
     for size in ({}, {"block": 4, "part": 16}):
         got = retrieval.search_collection(v, q, 4, **size).select("qid", "kb_id", "chunk_id", "score", "rank").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_tracked_states_in_update_mode(spark, tmp_path):
+    from ragloom.streaming import tracking
+
+    at = f"file://{tmp_path}"
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "doc_id long, state string, t string, event_id long").select("doc_id", "state", F.col("t").cast("timestamp").alias("ts"), "event_id")
+        df.coalesce(1).write.mode("append").parquet(f"{at}/in")
+        s = spark.readStream.schema(df.schema).parquet(f"{at}/in")
+        tracking.keep_tracked(tracking.tracked(s, 60, ("parsing",), "10 minutes", 2), f"{at}/out", f"{at}/cp", buckets=2)
+        return [sorted((r.doc_id, r.state) for r in tracking.read_tracked(spark, f"{at}/out", n).collect()) for n in (tracking.STATES, tracking.ALARMS)]
+
+    day = "2024-01-01 "
+    states, alarms = run([(1, "parsing", day + "10:00:00", 1), (2, "parsing", day + "10:00:00", 2), (2, "done", day + "10:30:00", 3), (3, "done", day + "10:40:00", 4)])
+    assert states == [(1, "parsing"), (2, "done"), (3, "done")] and alarms == []
+    # an event older than the held one changes nothing, even if it isn't late; the watermark passes the alarm of document 1
+    states, alarms = run([(3, "parsing", day + "10:35:00", 5), (4, "done", day + "11:30:00", 6)])
+    assert states == [(1, "parsing"), (2, "done"), (3, "done"), (4, "done")] and alarms == [(1, "parsing")]
+    # behind the watermark: left out
+    states, alarms = run([(1, "done", day + "10:10:00", 7), (5, "parsing", day + "11:40:00", 8)])
+    assert (1, "parsing") in states and (5, "parsing") in states and alarms == [(1, "parsing")]
+    states, alarms = run([(5, "done", day + "11:45:00", 9), (6, "done", "2024-01-05 00:00:00", 10)])
+    assert (5, "done") in states and alarms == [(1, "parsing")]  # a newer event took the alarm away
