@@ -23,6 +23,10 @@ ASCII_PHRASE = r"[A-Za-z0-9][A-Za-z0-9\s_/\-:()]{2,}[A-Za-z0-9]"
 ID_CODE = r"(?i)\bID\s*0*\d+\b"
 
 
+#: Pieces of needles that are looked for in the scan of the texts.
+PUSHED_BLOCKS = 10_000
+
+
 def top_k(scored: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     """First ``k`` rows of each ``by`` group with their rank."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
@@ -97,7 +101,9 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     A text is cut into blocks of ``g`` characters at multiples of ``g``. A needle of at least ``2 g - 1`` characters covers
     one of them wherever it stands, and that block starts at one of the needle's first ``g`` characters: so ``g`` pieces of
     each needle meet the blocks in an equi-join, and ``contains`` verifies. ``g`` is the largest of 1, 2, 4, 8 and 16 that
-    the needle's length allows. Null and empty needles find nothing; repeated needles count once.
+    the needle's length allows. Up to ``PUSHED_BLOCKS`` different pieces are looked for where the texts are cut, so that
+    only blocks some needle has leave the scan; more of them, like fewer, meet the blocks in the join. Null and empty needles
+    find nothing; repeated needles count once.
     """
     n = needles.select("needle").where("needle <> ''").distinct()
     fits = F.length("needle") + 1
@@ -108,6 +114,9 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     pieces = n.select("needle", F.explode(F.transform(F.sequence(F.lit(1), "g"), lambda i: F.substring("needle", i, F.col("g")))).alias("block"))
     blocks = [F.regexp_extract_all("hay", F.lit("(?s).{%d}" % g), F.lit(0)) for g in used]
     cut = texts.where("hay is not null").select("chunk_id", F.explode(F.array_distinct(F.concat(*blocks))).alias("block"))
+    few = [r.block for r in pieces.select("block").distinct().limit(PUSHED_BLOCKS + 1).collect()]
+    if len(few) <= PUSHED_BLOCKS:
+        cut = cut.where(F.col("block").isin(few))
     near = cut.join(pieces, "block").select("chunk_id", "needle").distinct()
     return near.join(texts, "chunk_id").where(F.contains("hay", "needle")).select("chunk_id", "needle")
 

@@ -281,3 +281,20 @@ def sliding_windows(spark, d):
 def route_documents(spark, d):
     t = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("\n step 3: go"))).when(F.col("doc_id") % 4 == 1, F.concat("text", F.lit("\n## Head"))).otherwise(F.col("text"))
     return _docs(spark, d).select("doc_id", chunking.route_document(t).alias("route"))
+
+
+#: Ideographs that stand for the letters a to z, so that texts of letters become runs without spaces.
+_IDEOGRAPHS = "".join(chr(0x4E00 + i) for i in range(26))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+@query()
+def segmented_words(spark, d):
+    """Letters become ideographs and everything between them goes, then words are found again with a dictionary of the benchmark's words."""
+    from ragloom.functions import segmentation as sg
+
+    said = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("w"))
+    words = sg.dictionary(said.groupBy(F.translate("w", _LETTERS, _IDEOGRAPHS).alias("word")).agg(F.count("*").alias("freq")))
+    run = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), _LETTERS, _IDEOGRAPHS)
+    x = _docs(spark, d).select("doc_id", run.alias("run")).select("doc_id", F.length("run").alias("n_letters"), sg.segmented_tokens(F.col("run"), words).alias("ts"))
+    return x.select("doc_id", "n_letters", F.size("ts").alias("n_words"), F.array_join("ts", "").alias("joined")).select("doc_id", "n_letters", "n_words", (F.length("joined") == F.col("n_letters")).alias("whole"))

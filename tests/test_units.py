@@ -553,3 +553,32 @@ def test_tracked_states_in_update_mode(spark, tmp_path):
     assert (1, "parsing") in states and (5, "parsing") in states and alarms == [(1, "parsing")]
     states, alarms = run([(5, "done", day + "11:45:00", 9), (6, "done", "2024-01-05 00:00:00", 10)])
     assert (5, "done") in states and alarms == [(1, "parsing")]  # a newer event took the alarm away
+
+
+def test_segments_are_the_best_path(spark):
+    import itertools
+    import math
+    import random
+
+    from ragloom.functions import segmentation as sg
+
+    r = random.Random(5)
+    letters = "\u4e00\u4e8c\u4e09\u56db\u4e94"
+    words = {"".join(r.choice(letters[:4]) for _ in range(r.randint(1, 4))): r.randint(1, 50) for _ in range(25)}
+    table, total = sg.prefix_table(words)
+    for _ in range(200):
+        run = "".join(r.choice(letters) for _ in range(r.randint(1, 9)))
+        got = sg.segment(run, table, total)
+        assert "".join(got) == run
+        # a place where some word starts takes a word there, any other one code point
+        fits = lambda i, w: w in words or (len(w) == 1 and not any(run.startswith(x, i) for x in words))
+        paths = []
+        for cuts in itertools.product((False, True), repeat=len(run) - 1):
+            at = [0, *[k + 1 for k, c in enumerate(cuts) if c], len(run)]
+            path = [run[a:b] for a, b in zip(at, at[1:])]
+            if all(fits(a, w) for a, w in zip(at, path)):
+                paths.append(sum(math.log(words.get(w, 1)) - total for w in path))
+        assert sum(math.log(words.get(w, 1)) - total for w in got) == pytest.approx(max(paths))
+    d = sg.dictionary(spark.createDataFrame([("\u542f\u52a8", 5), ("\u542f", 1), ("\u542f\u52a8", 4), ("", 3), ("x", None)], "word string, freq long"))
+    x = spark.createDataFrame([("AGV \u542f\u52a8\u5668 STEP 3",), (None,)], "t string")
+    assert [r.k for r in x.select(sg.segmented_tokens(F.col("t"), d).alias("k")).collect()] == [["AGV", "\u542f\u52a8", "\u5668", "STEP", "3", "agv", "step", "3"], []]
