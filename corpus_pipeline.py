@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of ``documents``; ``n_chars`` follows changed texts.
+
+Defined cases: rows without ``doc_id`` are scored, cut and redacted like others; they can't be named, so the near-duplicate
+stage keeps them all, and they are packed under a null ``doc_id``. Of rows that repeat a ``doc_id`` and its text the near-duplicate
+stage keeps one. Null texts are empty. Extra columns pass through all stages but the last, which returns its own. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
