@@ -4,7 +4,8 @@ Documents are tokenised (plus an end token) and only those longer than a sequenc
 over partitions; each partition packs its own by best-fit decreasing. Dual feasible functions give lower bounds on the
 bins any packing of those pieces needs: a partition whose count equals its bound is certified. Partitions with a gap, and
 bins left badly filled anywhere, exchange their pieces: they are dealt anew and packed again, into partitions twice as
-large (``PARTITION_PIECES`` times 16 at most), until one holds what is left. Full bins stay where they are.
+large (``PARTITION_PIECES`` times 16 at most), until one holds what is left or the rounds are over: beyond about a million pieces
+the last round is split and may leave gaps. Full bins stay where they are.
 
 Defined cases: null and empty texts are one end token; repeated rows are packed each; an empty table packs to nothing.
 """

@@ -774,3 +774,25 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {x.doc_id for x in rows} == set(b)
     check_packing(rows, [x.length for x in rows], 4096)
+
+
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    """Rows without id stay, null texts are empty, clashing extra columns pass through, an empty table gives an empty result."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.lit("x") for c in ("fp", "label", "score", "d", "th", "n", "piece")})
+    odd = docs.where("doc_id < 40").unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id in (5, 7)").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.unionByName(docs.where("doc_id = 41").withColumn("text", F.lit(None).cast("string")))
+    before = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.materialize(stage(spark, before, SF), "odd")
+        assert after.columns == odd.columns
+        if name == "SimHash near-dedup":
+            assert after.where("doc_id is null").count() == before.where("doc_id is null").count() and after.where("doc_id = 3").count() <= 1
+        before = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, SF)
+    assert packed.where("piece = 0").count() == before.count()
+    (tmp_path / "sf").mkdir()
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"file://{tmp_path}/sf/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/sf").count() == 0
