@@ -253,6 +253,12 @@ def search_blocks(spark: SparkSession, path: str, queries: DataFrame, tokens: Co
     return top_k(found, k, ["q"], F.desc("score"), F.col("chunk_id")).join(numbers, "q").select("qid", "chunk_id", "score", "rank")
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether an index was written whole: its statistics come last."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def table_state(spark: SparkSession, path: str) -> str:
     """Names, sizes and times of a table's files, as text: an index of another state of the table isn't fresh."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

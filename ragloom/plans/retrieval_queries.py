@@ -45,7 +45,7 @@ def saved_index(spark, d) -> str:
     """The posting blocks of a folder's documents, written once for each state of the table."""
     at = f"{d}/documents.parquet"
     key = (spark.sparkContext.applicationId, at, ps.table_state(spark, at))
-    if key not in _INDEXES:
+    if key not in _INDEXES or not ps.is_there(spark, _INDEXES[key]):
         path = shared_path(spark, "blocks")
         ps.write_blocks(chunks(spark, d), ascii_tokens(F.col("contents")), path)
         _INDEXES[key] = path
