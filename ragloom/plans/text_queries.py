@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ragloom.functions import chunking, text
@@ -203,11 +205,30 @@ def reflow_paragraphs(spark, d):
     return _docs(spark, d).select("doc_id", text.reflow_paragraphs(F.col("text")).alias("text"))
 
 
+def _re2(pattern: str) -> str:
+    """A Java pattern as RE2 reads it: flag U goes, blanks and digits are written out, a line begins after each of Java's line ends."""
+    wide = pattern.startswith(("(?U)", "(?iU)"))
+    pattern = pattern.replace("(?U)", "").replace("(?iU)", "(?i)")
+    kinds = {r"\s": r"\t-\r\x{85}\p{Z}" if wide else r"\t-\r ", r"\d": r"\p{Nd}" if wide else "0-9"}
+    out, inside = "", False
+    for x in re.findall(r"\\u[0-9A-F]{4}|\\.|.", pattern, re.S):
+        if x in kinds:
+            out += kinds[x] if inside else f"[{kinds[x]}]"
+        elif x.startswith(r"\u"):
+            out += f"\\x{{{x[2:]}}}"
+        else:
+            inside = x == "[" or (inside and x != "]")
+            out += x
+    return out
+
+
 def _rules_sql(x: str, rules) -> str:
     for pattern, new in rules:
-        pattern, new = pattern.replace(r"\uFF0E", "\uff0e").replace(r"\u3002", "\u3002"), new.replace("$", "\\")
-        x = f"regexp_replace({x}, '{pattern}', '{new}', 'g')"
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+        if pattern.startswith("(?m)^"):  # the line end before is taken along and put back as group 1
+            pattern, new = r"(^|[\n\r\x85\x{2028}\x{2029}])" + pattern[5:], "$1" + new.replace("$1", "$2")
+        x = f"regexp_replace({x}, '{_re2(pattern)}', '{new.replace('$', chr(92))}', 'g')"
+    blank = r"[\t-\r\x1c-\x1f\x{85}\p{Z}]+"
+    return f"regexp_replace({x}, '^{blank}|{blank}$', '', 'g')"
 
 
 #: Headings before a text, and what the title rules leave of them, worked out by hand.
@@ -217,9 +238,9 @@ _HEADINGS = (
 )
 
 
-@query(f"""WITH h AS (SELECT doc_id, CASE doc_id % {len(_HEADINGS)} {" ".join(f"WHEN {k} THEN '{h[1]}'" for k, h in enumerate(_HEADINGS))} END || rtrim(regexp_replace(regexp_replace(text, '[(（][0-9]+[)）]\\s*', '', 'g'), '[(（][一二三四五六七八九十]+[)）]\\s*', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS title,
-    '  ## Head' || chr(10) || text || ' see Section-2.1 there' || chr(10) || '# Next' || chr(10) || chr(10) || chr(10) || text AS contents, text FROM documents)
-  SELECT doc_id, title, {_rules_sql('contents', text.CONTENT_RULES)} AS contents,
+@query(f"""WITH h AS (SELECT doc_id, coalesce(CASE doc_id % {len(_HEADINGS)} {" ".join(f"WHEN {k} THEN '{h[0]}'" for k, h in enumerate(_HEADINGS))} END || text, '') AS title,
+    coalesce('  ## Head' || chr(10) || text || ' see Section-2.1 there' || chr(10) || '# Next' || chr(10) || chr(10) || chr(10) || text, '') AS contents, text FROM documents)
+  SELECT doc_id, {_rules_sql('title', [(p, '') for p in text.TITLE_RULES])} AS title, {_rules_sql('contents', text.CONTENT_RULES)} AS contents,
     text || ' [' || least(3, doc_id) || ']' || CASE WHEN doc_id <> 3 THEN '[' || greatest(3, doc_id) || ']' ELSE '' END || ' y' AS cited FROM h""")
 def clean_titles(spark, d):
     i, t = F.col("doc_id"), F.col("text")
