@@ -105,7 +105,7 @@ def trace_file(spark, d):
 def _file_tree(spark: SparkSession, d: str, name: str) -> str:
     """Each document as a file of its own."""
     path = shared_path(spark, name)
-    table(spark, d, "documents").where("text is not null").select("text").write.option("maxRecordsPerFile", 1).text(path)
+    rd.write_tree(table(spark, d, "documents").where("text is not null"), path, "txt")
     return path
 
 
@@ -127,8 +127,7 @@ def image_tree(spark, d):
     """Files by an image's name, a third of them without an image's first bytes."""
     path, i = shared_path(spark, "image-tree"), F.col("doc_id")
     head = F.when(i % 3 == 0, "plain ").when(i % 3 == 1, "GIF87a").otherwise("GIF89a")
-    rows = table(spark, d, "documents").select(F.concat(head, i.cast("string")).alias("value"))
-    rows.write.option("maxRecordsPerFile", 1).option("extension", "gif").option("quote", "").csv(path)
+    rd.write_tree(table(spark, d, "documents").select(F.concat(head, i.cast("string")).alias("text")), path, "gif")
     x = rd.image_corpus(spark, path)
     return x.select("id", (F.col("image_id") == F.regexp_extract("image_path", r"([^/]+)\.gif$", 1)).alias("named"))
 

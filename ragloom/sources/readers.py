@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragloom.durable import materialize
 from ragloom.functions.text import clean_text, reflow_paragraphs, strip
 
 BENCHMARK = "id string, question string, golden_answers array<string>"
@@ -21,6 +24,12 @@ IMAGE_MAGIC = ("ffd8ff", "89504e470d0a1a0a", "474946383761", "474946383961", "42
 IMAGE_NAMES = r"(?i)\.(jpe?g|png|gif|bmp|webp)$"
 
 
+#: Folders of a tree that is written as files, and what a file counts beside its bytes where a task's share of a tree is cut.
+FOLDERS, FILE_COST = 256, 65_536
+#: Bytes of files that a task reads.
+TASK_BYTES = 64 << 20
+
+
 def benchmark(spark: SparkSession, path: str, schema: str = BENCHMARK) -> DataFrame:
     """Json lines, a json array, or parquet, by extension."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -79,12 +88,51 @@ def lenient_index(spark: SparkSession, path: str) -> DataFrame:
     return x.where(strip(F.coalesce("text", F.lit(""))) != "").select("text", F.map_filter("m", lambda k, v: k != "contents").alias("metadata"), "file_name", "segment_id")
 
 
+def write_tree(files: DataFrame, path: str, extension: str) -> None:
+    """``(text)`` as a tree with a file for each row, ``<folder>/part-<n>.<extension>``, a line end after the text.
+
+    The tasks write the files themselves: a commit of Spark's writer renames file by file on the driver. Names come from the
+    row's place in its partition, so a repeated task writes the same files again: ``files`` is a scan, without a shuffle.
+    """
+    base = files.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    base.getFileSystem(files.sparkSession._jsc.hadoopConfiguration()).mkdirs(base)  # there for an empty table too
+
+    def write(batches):
+        fs, root = pafs.FileSystem.from_uri(path)
+        made = set()
+        for b in batches:
+            for n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                folder = f"{root}/{n % FOLDERS}"
+                if folder not in made:
+                    fs.create_dir(folder)
+                    made.add(folder)
+                with fs.open_output_stream(f"{folder}/part-{n}.{extension}", compression=None) as f:
+                    f.write(f"{text or ''}\n".encode())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    files.select(F.monotonically_increasing_id(), "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def _read_tree(files: DataFrame, *columns: Column, name: str) -> DataFrame:
+    """Columns of a tree's files, read once and written as a table: a file costs its bytes and ``FILE_COST``, not 4 MB, so that small
+    files are read many to a task."""
+    conf, wanted = files.sparkSession.conf, {"spark.sql.files.openCostInBytes": str(FILE_COST), "spark.sql.files.maxPartitionBytes": str(TASK_BYTES)}
+    before = {k: conf.get(k) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            conf.set(k, v)
+        return materialize(files.select(*columns), name)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 def text_corpus(spark: SparkSession, path: str, reflow: bool = False) -> DataFrame:
     """Text files of a tree: the stem is id and title, contents are cleaned, empty ones go."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
     name = F.regexp_replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), r"\.[^.]+$", "")
     body = clean_text(F.col("value"))
-    out = files.select(name.alias("id"), name.alias("title"), (reflow_paragraphs(body) if reflow else body).alias("contents"))
+    out = _read_tree(files, name.alias("id"), name.alias("title"), (reflow_paragraphs(body) if reflow else body).alias("contents"), name="text-corpus")
     return out.where("contents <> ''")
 
 
@@ -93,11 +141,11 @@ def image_corpus(spark: SparkSession, path: str) -> DataFrame:
     from ragloom.functions.chunking import running_id
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    head = F.lower(F.hex(F.substring("content", 1, 8)))
+    heads = _read_tree(files.where(F.col("path").rlike(IMAGE_NAMES)), F.col("path").alias("image_path"), F.lower(F.hex(F.substring("content", 1, 8))).alias("head"), name="image-heads")
     fine = F.lit(False)
     for magic in IMAGE_MAGIC:
-        fine = fine | head.startswith(magic)
-    found = files.where(F.col("path").rlike(IMAGE_NAMES) & fine).select(F.col("path").alias("image_path"))
+        fine = fine | F.col("head").startswith(magic)
+    found = heads.where(fine).select("image_path")
     x = running_id(found, ["image_path"], "id")
     return x.select("id", F.regexp_replace(F.element_at(F.split("image_path", "/"), -1), r"\.[^.]+$", "").alias("image_id"), "image_path")
 
@@ -175,7 +223,8 @@ def query_list(spark: SparkSession, path: str) -> DataFrame:
 
 def register_files(spark: SparkSession, path: str, kb_id: str) -> DataFrame:
     """Pending document rows of a file listing; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = _read_tree(files, *map(F.col, ("path", "modificationTime", "length")), name="file-listing")
     return files.select(F.lit(kb_id).alias("kb_id"), F.element_at(F.split("path", "/"), -1).alias("doc_id"), "path", F.col("length").alias("n_bytes"), F.lit("pending").alias("state"), F.col("modificationTime").alias("created_at"))
 
 
