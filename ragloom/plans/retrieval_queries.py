@@ -144,7 +144,7 @@ def rrf_fuse(spark, d):
   m AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY min(s * 1000 + rank)) AS merged FROM u GROUP BY qid, chunk_id), a AS (SELECT qid, count(*) AS n FROM u GROUP BY qid)
   SELECT qid, chunk_id, merged, n AS appended FROM m JOIN a USING (qid)""")
 def merge_lists(spark, d):
-    p, x = rt.phrase_match(chunks(spark, d), questions(spark, d)), lexical(spark, d)
+    p, x = materialize(rt.phrase_match(chunks(spark, d), questions(spark, d)), "phrase-hits"), materialize(lexical(spark, d), "lexical-hits")  # both are read twice
     n = rt.append_lists(p, x).groupBy("qid").agg(F.max("rank").cast("long").alias("appended"))
     return rt.merge_preferred(p, x).select("qid", "chunk_id", F.col("rank").cast("long").alias("merged")).join(n, "qid")
 
@@ -181,7 +181,8 @@ _HYBRID = f"""{_bm25_sql(False, 20)}, {_PHRASE},
 def hybrid_hits(spark, d, final_k=5):
     q, c = questions(spark, d), chunks(spark, d)
     qv = q.select("qid").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid")
-    return rt.hybrid(rt.dense_top_k(_doc_vectors(spark, d), qv, 20), lexical(spark, d, k=20), rt.phrase_match(c, q), c, q, final_k)
+    preferred = materialize(rt.phrase_match(c, q), "phrase-hits")  # read twice
+    return rt.hybrid(rt.dense_top_k(_doc_vectors(spark, d), qv, 20), lexical(spark, d, k=20), preferred, c, q, final_k)
 
 
 @query(f"WITH {_HYBRID} SELECT h.qid, h.chunk_id, h.rank, r.score FROM h LEFT JOIN r ON h.qid = r.qid AND h.chunk_id = r.chunk_id")
