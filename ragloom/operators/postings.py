@@ -26,7 +26,7 @@ from ragloom.durable import materialize
 from .retrieval import EPSILON, K1, B, top_k
 
 #: Chunks of a cell, folders of an index, chunks of which one task holds a folder's blocks, cells that set the threshold.
-CELL_CHUNKS, BUCKETS, SLICE_CHUNKS, FIRST_CELLS = 512, 64, 1 << 20, 4
+CELL_CHUNKS, BUCKETS, SLICE_CHUNKS, FIRST_CELLS = 512, 64, 1 << 15, 4
 #: Cells up to which bounds don't pay.
 FULL_SCAN_CELLS = 64
 #: Questions that a task scores together, and terms that it takes at a time.
@@ -102,10 +102,11 @@ def _block_rows(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*[columns[c].take(first) for c in ("bucket", "term", "cell")], pa.array(np.diff(edges).astype(np.int32)), *lists], names=["bucket", "term", "cell", "n", "tops", "postings"])
 
 
-def write_blocks(chunks: DataFrame, tokens: Column, path: str, stop_words: tuple[str, ...] = (), buckets: int = BUCKETS, cell_chunks: int = CELL_CHUNKS) -> None:
+def write_blocks(chunks: DataFrame, tokens: Column, path: str, stop_words: tuple[str, ...] = (), buckets: int = BUCKETS, cell_chunks: int = CELL_CHUNKS, slice_chunks: int = SLICE_CHUNKS) -> None:
     """``chunks (chunk_id, ...)`` as blocks, document frequencies and one row of statistics under ``path``.
 
-    Each chunk's tokens are counted where they are; one shuffle brings a term's postings together. Cells follow the ids
+    Each chunk's tokens are counted where they are; one shuffle brings a term's postings of a slice together. A task sorts one
+    folder's postings of about ``slice_chunks`` chunks, so its memory doesn't grow with the table. Cells follow the ids
     where these are whole numbers without large gaps, since neighbours are alike, and a hash of the id otherwise.
     """
     words = F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
@@ -119,8 +120,10 @@ def write_blocks(chunks: DataFrame, tokens: Column, path: str, stop_words: tuple
     cell = F.floor(F.col("chunk_id") / cell_chunks) if dense else F.pmod(F.xxhash64("chunk_id"), F.lit(-(-n // cell_chunks)))
     rows = rows.withColumns({"cell": cell.cast("long"), "bucket": _bucket(F.col("term"), buckets)})
     # a folder's slice of the cells is in one partition, sorted, so that blocks are cut where term or cell change
-    of_slice = F.pmod(F.xxhash64("cell"), F.lit(-(-n // SLICE_CHUNKS)))
-    rows = rows.repartition("bucket", of_slice).sortWithinPartitions("bucket", "term", "cell", "chunk_id")
+    slices = -(-n // slice_chunks)
+    of_slice = F.pmod(F.xxhash64("cell"), F.lit(slices)).cast("int")
+    n_parts = min((buckets + 1) * slices, max(8, n // cell_chunks))  # a small table's folders share tasks
+    rows = rows.repartitionById(n_parts, F.pmod(of_slice * (buckets + 1) + F.col("bucket"), F.lit(n_parts))).sortWithinPartitions("bucket", "term", "cell", "chunk_id")
     blocks = rows.mapInArrow(_blocks, f"bucket int, term string, cell long, n int, tops array<struct<tf: int, len: int>>, postings array<struct<chunk_id: {kind}, tf: int, len: int>>")
     blocks.sortWithinPartitions("bucket", "term", "cell").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     spark = chunks.sparkSession
