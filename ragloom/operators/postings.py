@@ -15,121 +15,198 @@ The result is the one of a full scan. Rows without term hold each chunk's length
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StringType
 
 from ragloom.durable import materialize
 
 from .retrieval import EPSILON, K1, B, top_k
 
 #: Chunks of a cell, folders of an index, chunks of which one task holds a folder's blocks, cells that set the threshold.
-CELL_CHUNKS, BUCKETS, SLICE_CHUNKS, FIRST_CELLS = 512, 64, 1 << 15, 4
-#: Cells up to which bounds don't pay.
-FULL_SCAN_CELLS = 64
+CELL_CHUNKS, BUCKETS, SLICE_CHUNKS, FIRST_CELLS = 2048, 64, 1 << 15, 4
+#: Chunks of a task that writes blocks, in small tables.
+PART_CHUNKS = 512
+#: Cells up to which bounds don't pay: long questions of frequent terms reach the threshold in all cells, and are read thrice.
+FULL_SCAN_CELLS = 1 << 14
 #: Questions that a task scores together, and terms that it takes at a time.
 QUERY_BLOCK, TERM_ROWS = 2048, 1024
 #: Columns of the block table.
-BLOCK = "term string, cell long, n int, tops array<struct<tf: int, len: int>>, postings array<struct<chunk_id: {kind}, tf: int, len: int>>, bucket int"
-#: Tokens that are counted at a time.
-COUNTED_TOKENS = 1 << 20
+BLOCK = "bucket int, term string, cell long, n int, tops array<struct<tf: int, len: int>>, ids array<{kind}>, tfs array<int>, lens array<int>"
+#: Bytes of texts whose tokens are counted at a time; which bytes belong to a token.
+COUNTED_BYTES = 1 << 24
+_IN_RUN = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 #: Up to so many distinct question terms are pushed into the scan.
 PUSHED_TERMS = 2000
 _INTEGRAL = ("tinyint", "smallint", "int", "bigint")
 
 
 def _bucket(term: Column, buckets: int) -> Column:
-    """A term's folder; lengths (no term) have one of their own."""
-    return F.coalesce(F.when(term.isNotNull(), F.pmod(F.xxhash64(term), F.lit(buckets))), F.lit(buckets)).cast("int")
-
-
-def _counted(batches):
-    """``(chunk_id, ts array)`` -> a row for each term of a chunk with its count, and one without term for the chunk's length."""
-    names = ["chunk_id", "len", "term", "tf"]
-    for b in batches:
-        ids, lists = b.column(0), b.column(1)
-        lengths = lists.value_lengths().to_numpy().astype(np.int32)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(lengths), pa.nulls(len(ids), pa.string()), pa.array(np.zeros(len(ids), np.int32))], names=names)
-        ends, lo = np.cumsum(lengths, dtype=np.int64), 0
-        while lo < len(ids):  # so many chunks at a time that their tokens stay bounded
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COUNTED_TOKENS, side="right")))
-            coded = lists.slice(lo, hi - lo).flatten().dictionary_encode()
-            key = np.repeat(np.arange(lo, hi), lengths[lo:hi]) * max(1, len(coded.dictionary)) + coded.indices.to_numpy()
-            found, tf = np.unique(key, return_counts=True)
-            row, code = np.divmod(found, max(1, len(coded.dictionary)))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(lengths[row]), coded.dictionary.take(pa.array(code)), pa.array(tf.astype(np.int32))], names=names)
-            lo = hi
-
-
-def _blocks(batches):
-    """Rows sorted by term, cell and chunk -> one row for each term and cell."""
-    rest = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-        starts = _starts(t)
-        if len(starts) > 1:
-            yield _block_rows(t.slice(0, starts[-1]), starts[:-1])
-        rest = t.slice(starts[-1])
-    if rest is not None:
-        yield _block_rows(rest, np.zeros(1, np.int64))
-
-
-def _starts(t: pa.Table) -> np.ndarray:
-    term = t["term"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
-    cell = t["cell"].to_numpy()
-    return np.concatenate(([0], 1 + np.flatnonzero((term[1:] != term[:-1]) | (cell[1:] != cell[:-1]))))
-
-
-def _block_rows(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    t = t.combine_chunks()
-    columns = {name: t[name].chunk(0) for name in t.column_names}
-    edges = np.append(starts, t.num_rows)
-    group, tf, length = np.repeat(np.arange(len(starts)), np.diff(edges)), t["tf"].to_numpy(), t["len"].to_numpy()
-    order = np.lexsort((length, tf, group))  # of equal frequencies in a block the least length comes first
-    least = order[np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (tf[order][1:] != tf[order][:-1])))]
-    lists = [
-        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays(parts, names))
-        for at, parts, names in (
-            (np.searchsorted(group[least], np.arange(len(starts) + 1)), [columns["tf"].take(pa.array(least)), columns["len"].take(pa.array(least))], ["tf", "len"]),
-            (edges, [columns["chunk_id"], columns["tf"], columns["len"]], ["chunk_id", "tf", "len"]),
-        )
-    ]
-    first = pa.array(starts)
-    return pa.RecordBatch.from_arrays([*[columns[c].take(first) for c in ("bucket", "term", "cell")], pa.array(np.diff(edges).astype(np.int32)), *lists], names=["bucket", "term", "cell", "n", "tops", "postings"])
+    """A term's folder, as ``_folders`` has it; lengths (no term) have one of their own."""
+    return F.coalesce(F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(buckets)), F.lit(buckets)).cast("int")
+
+
+def _folders(terms: pa.Array, buckets: int) -> np.ndarray:
+    return np.array([buckets if t is None else crc32(t) % buckets for t in terms.cast(pa.binary()).to_pylist()], np.int64)
+
+
+def ascii_runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The runs of ``[a-z0-9]`` of all texts in a row, and how many each text has."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    part = _IN_RUN[data]
+    begins = part.copy()
+    begins[1:] &= ~part[:-1]
+    first = at[:-1][np.diff(at) > 0]  # a text goes on with no run of the one before
+    begins[first] = part[first]
+    stops = part.copy()
+    stops[:-1] &= ~part[1:] | begins[1:]
+    starts = np.flatnonzero(begins)
+    edges = np.concatenate(([0], np.cumsum(np.flatnonzero(stops) + 1 - starts))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(edges), pa.py_buffer(data[part])), np.diff(np.searchsorted(starts, at))
+
+
+def _posting_schema(kind: DataType) -> pa.Schema:
+    return pa.schema([("chunk_id", to_arrow_type(kind)), ("term", pa.string()), ("cell", pa.int64()), ("tf", pa.int32()), ("len", pa.int32())])
+
+
+def _packed(buckets: int, n_parts: int, schema: pa.Schema):
+    """``(chunk_id, tokens or text, cell, slice)`` -> ``(part, folder, piece)``: many chunks' postings for a folder's slice, as an Arrow message.
+
+    A term has a row for each chunk with its count, and each chunk one without term for its length.
+    """
+
+    def run(batches):
+        for b in batches:
+            column, lo = b.column(1), 0
+            sizes = column.value_lengths().fill_null(0).to_numpy() * 8 if pa.types.is_list(column.type) else pc.binary_length(column).fill_null(0).to_numpy()
+            ends = np.cumsum(sizes, dtype=np.int64)
+            while lo < b.num_rows:  # so many chunks at a time that their tokens stay bounded
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COUNTED_BYTES, side="right")))
+                yield pieces(b.slice(lo, hi - lo))
+                lo = hi
+
+    def pieces(b):
+        column, n = b.column(1), b.num_rows
+        words, lengths = (column.flatten(), column.value_lengths().fill_null(0).to_numpy()) if pa.types.is_list(column.type) else ascii_runs(column)
+        coded = words.dictionary_encode()
+        # terms are numbered by folder, the last number is no term; sorted keys (slice, term, row) are counted and in order at once
+        folders = np.append(_folders(coded.dictionary, buckets), buckets)
+        by_folder = np.argsort(folders, kind="stable")
+        number = np.empty(len(folders), np.int64)
+        number[by_folder] = np.arange(len(folders))
+        row_bits, term_bits, last = n.bit_length(), len(folders).bit_length(), len(folders) - 1
+        of_row = (b.column(3).to_numpy() << (row_bits + term_bits)) | np.arange(n)
+        key = np.sort(np.concatenate((np.repeat(of_row, lengths) | (number[coded.indices.to_numpy()] << row_bits), of_row | (last << row_bits))))
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tf, key = np.diff(np.append(first, len(key))), key[first]
+        row, term, group = key & ((1 << row_bits) - 1), (key >> row_bits) & ((1 << term_bits) - 1), key >> (row_bits + term_bits)
+        group = group * (buckets + 1) + folders[by_folder][term]
+        tf[term == last] = 0
+        at = pa.array(row)
+        terms = coded.dictionary.take(pa.array(by_folder)[: last]).take(pa.array(term, mask=term == last))
+        out = pa.RecordBatch.from_arrays([b.column(0).take(at), terms, b.column(2).take(at), pa.array(tf.astype(np.int32)), pa.array(lengths[row].astype(np.int32))], schema=schema)
+        edges = np.concatenate(([0], 1 + np.flatnonzero(group[1:] != group[:-1]), [len(group)]))
+        cut = [out.slice(x, y - x).serialize().to_pybytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        group = group[edges[:-1]].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(group % n_parts), pa.array(group), pa.array(cut, pa.binary())], names=["part", "folder", "piece"])
+
+    return run
+
+
+def _ranks(values: pa.Array) -> np.ndarray:
+    """Numbers in the order of the values; nulls first."""
+    coded = values.dictionary_encode()
+    of = np.empty(len(coded.dictionary) + 1, np.int64)
+    of[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(coded.dictionary))
+    of[-1] = -1
+    return of[coded.indices.fill_null(-1).to_numpy()]
+
+
+def _blocks(buckets: int, schema: pa.Schema):
+    """``(folder, piece)``, all pieces of some folders' slices -> one row for each term and cell."""
+
+    def run(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for b in batches:
+            for folder, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(folder, []).append(pa.ipc.read_record_batch(pa.py_buffer(x), schema))
+        for folder in sorted(held):
+            yield _block_rows(pa.Table.from_batches(held.pop(folder)).combine_chunks(), folder % (buckets + 1))
+
+    return run
+
+
+def _least(group: np.ndarray, tf: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least length of each group's frequencies, in order."""
+    bits = [int(x.max()).bit_length() for x in (group, tf, length)]
+    if sum(bits) < 64:
+        key = np.sort((group << (bits[1] + bits[2])) | (tf << bits[2]) | length)
+        group, tf, length = key >> (bits[1] + bits[2]), (key >> bits[2]) & ((1 << bits[1]) - 1), key & ((1 << bits[2]) - 1)
+    else:
+        order = np.lexsort((length, tf, group))
+        group, tf, length = group[order], tf[order], length[order]
+    first = np.concatenate(([True], (group[1:] != group[:-1]) | (tf[1:] != tf[:-1])))
+    return group[first], tf[first], length[first]
+
+
+def _block_rows(t: pa.Table, bucket: int) -> pa.RecordBatch:
+    """A folder's postings -> one row for each term and cell."""
+    term, cell, ids, tfs, lens = (t[c].chunk(0) for c in ("term", "cell", "chunk_id", "tf", "len"))
+    rank, at = _ranks(term), cell.to_numpy()
+    order = np.lexsort((ids.to_numpy() if pa.types.is_integer(ids.type) else _ranks(ids), at, rank))
+    rank, at = rank[order], at[order]
+    starts = np.flatnonzero(np.concatenate(([True], (rank[1:] != rank[:-1]) | (at[1:] != at[:-1]))))
+    edges = np.append(starts, len(order))
+    n, first, by = np.diff(edges), pa.array(order[starts]), pa.array(order)
+    ids, tfs, lens = ids.take(by), tfs.take(by), lens.take(by)
+    group, tf, length = _least(np.repeat(np.arange(len(starts)), n), tfs.to_numpy().astype(np.int64), lens.to_numpy().astype(np.int64))
+    top = pa.StructArray.from_arrays([pa.array(tf.astype(np.int32)), pa.array(length.astype(np.int32))], ["tf", "len"])
+    tops = pa.ListArray.from_arrays(pa.array(np.searchsorted(group, np.arange(len(starts) + 1)).astype(np.int32)), top)
+    edges = pa.array(edges.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(edges, x) for x in (ids, tfs, lens)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), bucket, np.int32)), term.take(first), cell.take(first), pa.array(n.astype(np.int32)), tops, *lists], names=["bucket", "term", "cell", "n", "tops", "ids", "tfs", "lens"])
 
 
 def write_blocks(chunks: DataFrame, tokens: Column, path: str, stop_words: tuple[str, ...] = (), buckets: int = BUCKETS, cell_chunks: int = CELL_CHUNKS, slice_chunks: int = SLICE_CHUNKS) -> None:
     """``chunks (chunk_id, ...)`` as blocks, document frequencies and one row of statistics under ``path``.
 
-    Each chunk's tokens are counted where they are; one shuffle brings a term's postings of a slice together. A task sorts one
-    folder's postings of about ``slice_chunks`` chunks, so its memory doesn't grow with the table. Cells follow the ids
-    where these are whole numbers without large gaps, since neighbours are alike, and a hash of the id otherwise.
+    ``tokens`` is an array, or a lower-cased text whose runs of ``[a-z0-9]`` are the tokens: those are found where they are counted.
+    Each chunk's tokens are counted where they are; one shuffle brings a term's postings of a slice together, packed by many
+    into a row. A task sorts one folder's postings of about ``slice_chunks`` chunks, so its memory doesn't grow with the
+    table. Cells follow the ids where these are whole numbers without large gaps, since neighbours are alike, and a hash of the id otherwise.
     """
-    words = F.filter(tokens, lambda t: ~t.isin(*stop_words)) if stop_words else tokens
+    if isinstance(chunks.select(tokens).schema[0].dataType, StringType):
+        words = F.regexp_extract_all(tokens, F.lit("[a-z0-9]+"), F.lit(0)) if stop_words else tokens
+    else:
+        words = F.coalesce(tokens, F.array().cast("array<string>"))
+    words = F.filter(words, lambda t: ~t.isin(*stop_words)) if stop_words else words
     kind = chunks.schema["chunk_id"].dataType.simpleString()
     whole = kind in _INTEGRAL
     shape = chunks.agg(F.count("*").alias("n"), *([F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")] if whole else [])).first()
     n = max(shape.n, 1)
     dense = whole and shape.lo is not None and shape.hi - shape.lo < 4 * n
 
-    rows = chunks.select("chunk_id", F.coalesce(words, F.array().cast("array<string>")).alias("ts")).mapInArrow(_counted, f"chunk_id {kind}, len int, term string, tf int")
     cell = F.floor(F.col("chunk_id") / cell_chunks) if dense else F.pmod(F.xxhash64("chunk_id"), F.lit(-(-n // cell_chunks)))
-    rows = rows.withColumns({"cell": cell.cast("long"), "bucket": _bucket(F.col("term"), buckets)})
-    # a folder's slice of the cells is in one partition, sorted, so that blocks are cut where term or cell change
     slices = -(-n // slice_chunks)
-    of_slice = F.pmod(F.xxhash64("cell"), F.lit(slices)).cast("int")
-    n_parts = min((buckets + 1) * slices, max(8, n // cell_chunks))  # a small table's folders share tasks
-    rows = rows.repartitionById(n_parts, F.pmod(of_slice * (buckets + 1) + F.col("bucket"), F.lit(n_parts))).sortWithinPartitions("bucket", "term", "cell", "chunk_id")
-    blocks = rows.mapInArrow(_blocks, f"bucket int, term string, cell long, n int, tops array<struct<tf: int, len: int>>, postings array<struct<chunk_id: {kind}, tf: int, len: int>>")
-    blocks.sortWithinPartitions("bucket", "term", "cell").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
+    n_parts = min((buckets + 1) * slices, max(8, n // min(cell_chunks, PART_CHUNKS)))  # a small table's folders share tasks
+    schema = _posting_schema(chunks.schema["chunk_id"].dataType)
+    rows = chunks.select("chunk_id", words.alias("ts"), cell.cast("long").alias("cell")).withColumn("slice", F.pmod(F.xxhash64("cell"), F.lit(slices)).cast("long"))
+    packed = rows.mapInArrow(_packed(buckets, n_parts, schema), "part int, folder int, piece binary")
+    blocks = packed.repartitionById(n_parts, "part").select("folder", "piece").mapInArrow(_blocks(buckets, schema), BLOCK.format(kind=kind))
+    blocks.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/blocks")
     spark = chunks.sparkSession
     saved = spark.read.schema(BLOCK.format(kind=kind)).parquet(f"{path}/blocks")
     saved.where("term is not null").groupBy("term").agg(F.sum("n").alias("df")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
-    lengths = saved.where(F.col("bucket") == buckets).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.aggregate("postings.len", F.lit(0).cast("long"), lambda a, x: a + x)) / F.sum("n")).alias("avg_len"))
+    lengths = saved.where(F.col("bucket") == buckets).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)) / F.sum("n")).alias("avg_len"))
     lengths.withColumns({"buckets": F.lit(buckets), "cells": F.lit(-(-n // cell_chunks)), "kind": F.lit(kind)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
@@ -179,12 +256,12 @@ def _best_of_cells(blocks: DataFrame, wanted: DataFrame, cells: DataFrame | None
     Each block meets the questions that ask for its term in its cell, at most ``QUERY_BLOCK`` of them in a row. A task takes
     the rows of a cell together and adds up a small table of questions by chunks.
     """
-    kind = blocks.schema["postings"].dataType.elementType["chunk_id"].dataType.simpleString()
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
     of_block = F.pmod(F.xxhash64("q"), F.lit(-(-n_queries // QUERY_BLOCK))).alias("qb")
     by = ["term"] if cells is None else ["term", "cell"]
     asked = wanted if cells is None else cells.select("q", "cell").join(wanted, "q")
     asked = asked.groupBy(*by, of_block).agg(F.collect_list(F.struct("q", "weight")).alias("asks"))
-    rows = blocks.select("term", "cell", "postings").join(asked, by).select("qb", "cell", "postings", "asks")
+    rows = blocks.select("term", "cell", "ids", "tfs", "lens").join(asked, by).select("qb", "cell", "ids", "tfs", "lens", "asks")
 
     def best(batches):
         at, held = None, []
@@ -208,12 +285,12 @@ def _best_of_cells(blocks: DataFrame, wanted: DataFrame, cells: DataFrame | None
 def _best_rows(rows: list[pa.RecordBatch], mean: float, k: int) -> pa.RecordBatch:
     """Scores of one cell for the questions of one block."""
     t = pa.Table.from_batches(rows)
-    postings, asks = t["postings"].combine_chunks(), t["asks"].combine_chunks()
+    postings, asks = t["ids"].combine_chunks(), t["asks"].combine_chunks()
     p, a = postings.flatten(), asks.flatten()
-    ids = pc.unique(p.field("chunk_id")).sort()
+    ids = pc.unique(p).sort()
     qs, q_at = np.unique(a.field("q").to_numpy(), return_inverse=True)
-    c_at = pc.index_in(p.field("chunk_id"), value_set=ids).to_numpy()
-    tf, length, weight = p.field("tf").to_numpy().astype(float), p.field("len").to_numpy(), a.field("weight").to_numpy()
+    c_at = pc.index_in(p, value_set=ids).to_numpy()
+    tf, length, weight = t["tfs"].combine_chunks().flatten().to_numpy().astype(float), t["lens"].combine_chunks().flatten().to_numpy(), a.field("weight").to_numpy()
     gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
     p_row, a_row = (np.repeat(np.arange(len(x)), x.value_lengths().to_numpy()) for x in (postings, asks))
     scores = np.zeros((len(qs), len(ids)))

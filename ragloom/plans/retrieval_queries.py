@@ -47,7 +47,7 @@ def saved_index(spark, d) -> str:
     key = (spark.sparkContext.applicationId, at, ps.table_state(spark, at))
     if key not in _INDEXES or not ps.is_there(spark, _INDEXES[key]):
         path = shared_path(spark, "blocks")
-        ps.write_blocks(chunks(spark, d), ascii_tokens(F.col("contents")), path)
+        ps.write_blocks(chunks(spark, d), F.lower("contents"), path)
         _INDEXES[key] = path
     return _INDEXES[key]
 
