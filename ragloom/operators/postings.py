@@ -10,7 +10,8 @@ cells that can hold one of the ``k`` best:
 2. the cells with the highest bounds are scored whole, and the ``k``-th score is a threshold;
 3. of the other cells only those whose bound reaches the threshold are scored.
 
-The result is the one of a full scan. Rows without term hold each chunk's length, cut into cells as the others.
+The result is the one of a full scan, which is what an index of up to ``FULL_SCAN_CELLS`` gets. Rows without term hold each chunk's
+length, cut into cells as the others.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .retrieval import EPSILON, K1, B, top_k
 CELL_CHUNKS, BUCKETS, SLICE_CHUNKS, FIRST_CELLS = 2048, 64, 1 << 15, 4
 #: Chunks of a task that writes blocks, in small tables.
 PART_CHUNKS = 512
-#: Cells up to which bounds don't pay: long questions of frequent terms reach the threshold in all cells, and are read thrice.
+#: Cells up to which bounds don't pay: long questions of frequent terms reach the threshold in all cells, and are read three times.
 FULL_SCAN_CELLS = 1 << 14
 #: Questions that a task scores together, and terms that it takes at a time.
 QUERY_BLOCK, TERM_ROWS = 2048, 1024
@@ -322,7 +323,7 @@ def search_blocks(spark: SparkSession, path: str, queries: DataFrame, tokens: Co
     n_queries = max(1, numbers.count())
     blocks = read_blocks(spark, path, wanted)
     mean = one.avg_len or 1.0
-    if one.cells <= full_scan_cells:  # a small index is read once rather than bounded first
+    if one.cells <= full_scan_cells:  # read once rather than bounded first
         found = _best_of_cells(blocks, wanted, None, mean, k, n_queries)
     else:
         cells = materialize(bounds(blocks, wanted, F.lit(mean)), "cell-bounds")
