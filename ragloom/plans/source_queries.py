@@ -175,7 +175,7 @@ def _ingested(spark: SparkSession, d: str, **options) -> str:
     """Every document arrives twice: first with another text, which the second batch replaces."""
     docs, at = table(spark, d, "documents").select("doc_id", "text"), shared_path(spark, "ingest")
     for text in (F.concat(F.lit("old "), F.coalesce("text", F.lit(""))), F.col("text")):
-        docs.select("doc_id", text.alias("text")).write.mode("append").parquet(f"{at}/in")
+        docs.select("doc_id", text.alias("text")).write.mode("append").option("compression", "zstd").parquet(f"{at}/in")
         arrived = spark.readStream.schema(docs.schema).parquet(f"{at}/in").select("*", F.col("_metadata.file_modification_time").alias("arrived"))
         st.ingest_stream(arrived, f"{at}/out", f"{at}/state", st.chunk_tables, st.CHUNK_SCHEMAS, buckets=8, **options).awaitTermination()
     return f"{at}/out"
