@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.durable import materialize
+from ragloom.durable import materialize, settings
 from ragloom.functions.text import clean_text, reflow_paragraphs, strip
 
 BENCHMARK = "id string, question string, golden_answers array<string>"
@@ -26,8 +28,11 @@ IMAGE_NAMES = r"(?i)\.(jpe?g|png|gif|bmp|webp)$"
 
 #: Folders of a tree that is written as files, and what a file counts beside its bytes where a task's share of a tree is cut.
 FOLDERS, FILE_COST = 256, 65_536
-#: Bytes of files that a task reads.
-TASK_BYTES = 64 << 20
+#: Bytes of files that a task reads, and bytes or files that it hands on at once.
+TASK_BYTES, BATCH_BYTES, BATCH_FILES = 64 << 20, 4 << 20, 4096
+#: Files that Spark's readers leave out, by name.
+HIDDEN = re.compile(r"_[^=]*\Z|\.|.*\._COPYING_\Z", re.S)
+_LEVEL = "root int, rel string, is_dir boolean, length long, modified long"
 
 
 def benchmark(spark: SparkSession, path: str, schema: str = BENCHMARK) -> DataFrame:
@@ -113,26 +118,82 @@ def write_tree(files: DataFrame, path: str, extension: str) -> None:
     files.select(F.monotonically_increasing_id(), "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
-def _read_tree(files: DataFrame, *columns: Column, name: str) -> DataFrame:
-    """Columns of a tree's files, read once and written as a table: a file costs its bytes and ``FILE_COST``, not 4 MB, so that small
-    files are read many to a task."""
-    conf, wanted = files.sparkSession.conf, {"spark.sql.files.openCostInBytes": str(FILE_COST), "spark.sql.files.maxPartitionBytes": str(TASK_BYTES)}
-    before = {k: conf.get(k) for k in wanted}
+def _listed(spark: SparkSession, roots: list[tuple[str, str]], found: DataFrame) -> DataFrame:
+    """``(root, rel, is_dir, length, modified)`` of the files below ``found``. Tasks list the folders of a level, the next job those they found there."""
+    schema = pa.schema([("root", pa.int32()), ("rel", pa.string()), ("is_dir", pa.bool_()), ("length", pa.int64()), ("modified", pa.int64())])
+
+    def listed(batches):
+        stores = [pafs.FileSystem.from_uri(uri) for _, uri in roots]
+        for b in batches:
+            for r, rel in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                fs, top = stores[r]
+                below = [x for x in fs.get_file_info(pafs.FileSelector(f"{top}/{rel}" if rel else top)) if x.type in (pafs.FileType.File, pafs.FileType.Directory) and not HIDDEN.match(x.base_name)]
+                for lo in range(0, len(below), BATCH_FILES):
+                    rows = [(r, f"{rel}/{x.base_name}" if rel else x.base_name, x.type == pafs.FileType.Directory, x.size or 0, (x.mtime_ns or 0) // 1_000_000) for x in below[lo : lo + BATCH_FILES]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    files, folders = found.where("not is_dir"), found.where("is_dir")
+    while n := folders.count():
+        tasks = min(n, 4 * spark.sparkContext.defaultParallelism)
+        found = materialize(folders.select("root", "rel").repartition(tasks).mapInArrow(listed, _LEVEL), "tree-level")
+        files, folders = files.unionByName(found.where("not is_dir")), found.where("is_dir")
+    return files.where("length > 0")
+
+
+def _tree(spark: SparkSession, path: str, names: str, first_bytes: int | None, name: str) -> DataFrame:
+    """``(path, modificationTime, length, content)`` of the files of a tree whose path matches ``names``, as Spark's ``binaryFile`` gives them:
+    hidden and empty files are left out. ``content`` is the whole file, its first bytes, or null where none are asked for.
+
+    The tasks list the folders and read the files, many to a task, so that the driver holds no file names. A folder's own names are held by one task.
+    """
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    if not there:
+        raise FileNotFoundError(path)
+    roots = [(s.getPath().toString().rstrip("/"), s.getPath().toUri().toString()) for s in there]
     try:
-        for k, v in wanted.items():
-            conf.set(k, v)
-        return materialize(files.select(*columns), name)
-    finally:
-        for k, v in before.items():
-            conf.set(k, v)
+        for _, uri in roots:
+            pafs.FileSystem.from_uri(uri)
+    except (OSError, pa.ArrowException):  # a store that only Spark reads: its listing is held by the driver
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("path").rlike(names))
+        content = F.lit(None).cast("binary") if first_bytes == 0 else F.col("content") if first_bytes is None else F.substring("content", 1, first_bytes)
+        with settings(spark, {"spark.sql.files.openCostInBytes": str(FILE_COST), "spark.sql.files.maxPartitionBytes": str(TASK_BYTES)}):
+            return materialize(files.select("path", "modificationTime", "length", content.alias("content")), name)
+    tops = [(i, "", s.isDirectory(), s.getLen(), s.getModificationTime()) for i, s in enumerate(there)]
+    found = _listed(spark, roots, spark.createDataFrame(tops, _LEVEL))
+    full = F.element_at(F.array(*[F.lit(base) for base, _ in roots]), F.col("root") + 1)
+    full = F.when(F.col("rel") == "", full).otherwise(F.concat(full, F.lit("/"), F.col("rel")))
+    files = found.select("root", "rel", full.alias("path"), F.timestamp_millis("modified").alias("modificationTime"), "length").where(F.col("path").rlike(names))
+    if first_bytes == 0:
+        return files.select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+
+    def read(batches):
+        stores = [pafs.FileSystem.from_uri(uri) for _, uri in roots]
+        for b in batches:
+            held, size, lo = [], 0, 0
+            for i, (r, rel) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                fs, top = stores[r]
+                with fs.open_input_file(f"{top}/{rel}" if rel else top) as f:
+                    held.append(f.read(first_bytes))
+                size += len(held[-1])
+                if size >= BATCH_BYTES or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*b.slice(lo, len(held)).columns[2:], pa.array(held, pa.binary())], names=["path", "modificationTime", "length", "content"])
+                    held, size, lo = [], 0, i + 1
+
+    n, total = files.agg(F.count("*"), F.sum("length")).first()
+    tasks = 1 + (n * FILE_COST + (total or 0 if first_bytes is None else 0)) // TASK_BYTES
+    return files.repartition(tasks).mapInArrow(read, "path string, modificationTime timestamp, length long, content binary")
+
+
+def _stem() -> Column:
+    return F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", "")
 
 
 def text_corpus(spark: SparkSession, path: str, reflow: bool = False) -> DataFrame:
     """Text files of a tree: the stem is id and title, contents are cleaned, empty ones go."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(path, wholetext=True)
-    name = F.regexp_replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), r"\.[^.]+$", "")
-    body = clean_text(F.col("value"))
-    out = _read_tree(files, name.alias("id"), name.alias("title"), (reflow_paragraphs(body) if reflow else body).alias("contents"), name="text-corpus")
+    body = clean_text(F.col("content").cast("string"))
+    files = _tree(spark, path, r"\.(txt|md)\z", None, "text-files")
+    out = materialize(files.select(_stem().alias("id"), _stem().alias("title"), (reflow_paragraphs(body) if reflow else body).alias("contents")), "text-corpus")
     return out.where("contents <> ''")
 
 
@@ -140,8 +201,8 @@ def image_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Images by name and first bytes, numbered by path."""
     from ragloom.functions.chunking import running_id
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    heads = _read_tree(files.where(F.col("path").rlike(IMAGE_NAMES)), F.col("path").alias("image_path"), F.lower(F.hex(F.substring("content", 1, 8))).alias("head"), name="image-heads")
+    heads = _tree(spark, path, IMAGE_NAMES, 8, "image-heads")
+    heads = materialize(heads.select(F.col("path").alias("image_path"), F.lower(F.hex("content")).alias("head")), "image-heads")
     fine = F.lit(False)
     for magic in IMAGE_MAGIC:
         fine = fine | F.col("head").startswith(magic)
@@ -223,8 +284,7 @@ def query_list(spark: SparkSession, path: str) -> DataFrame:
 
 def register_files(spark: SparkSession, path: str, kb_id: str) -> DataFrame:
     """Pending document rows of a file listing; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    files = _read_tree(files, *map(F.col, ("path", "modificationTime", "length")), name="file-listing")
+    files = _tree(spark, path, "", 0, "file-listing")
     return files.select(F.lit(kb_id).alias("kb_id"), F.element_at(F.split("path", "/"), -1).alias("doc_id"), "path", F.col("length").alias("n_bytes"), F.lit("pending").alias("state"), F.col("modificationTime").alias("created_at"))
 
 
